@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clauses import ALL, TITLE_ONLY, Clause, alternatives
 from ..functions.tokens import analyzed_pieces, analyzed_positions, is_stop_word, is_word, joined
-from ..operators.filters import size_gate
+from ..operators.filters import date_between, size_gate
 from ..schema import CLOUD_FIELDS, DATE, ID, SEARCH_FIELDS, SPATIAL, SUBJECT, TITLE
 from ..session import durable
 from ..sources.saved_queries import with_labels
@@ -80,15 +80,18 @@ class CompiledQueries:
     rules: DataFrame  # query_id -> alternatives as bit masks
     scopes: list[str] = field(default_factory=list)
     words: int = 1
+    date_lower: date | None = None
+    date_upper: date | None = None
 
 
 def compile_queries(queries: DataFrame, clauses: DataFrame, vocabulary: DataFrame) -> CompiledQueries:
     """Resolve clauses to keys and number their groups.
 
-    The lookup is stored once: wildcards may resolve to any number of words, and the join
-    with the articles is broadcast only if the stored table is small.
+    The small tables are stored, so that Catalyst knows their sizes. Wildcards may resolve
+    to any number of words: the join of the lookup with the articles is broadcast only if
+    the stored table is small.
     """
-    clauses = _numbered(_with_match_all(clauses))
+    clauses = durable(_numbered(_with_match_all(clauses)))
     seen = clauses.select("scope", F.floor(F.col("slot") / _BITS).cast("int").alias("word")).distinct()
     # One row for each phrase shape and mask word: bounded by what users type.
     rows = seen.collect()
@@ -108,7 +111,8 @@ def compile_queries(queries: DataFrame, clauses: DataFrame, vocabulary: DataFram
         F.floor(F.col("slot") / _BITS).cast("int").alias("word"),
         _bit(F.col("slot")).alias("bit"),
     ).join(with_labels(queries), "query_id")
-    return CompiledQueries(durable(lookup), durable(_rules(clauses, words)), scopes, words)
+    span = queries.agg(F.min("date_lower"), F.max("date_upper")).first()
+    return CompiledQueries(durable(lookup), durable(_rules(clauses, words)), scopes, words, *span)
 
 
 def _with_match_all(clauses: DataFrame) -> DataFrame:
@@ -192,6 +196,7 @@ def saved_query_matches(articles: DataFrame, compiled: CompiledQueries) -> DataF
     """``(query_id, identifier)`` for every match of every query."""
     if not compiled.scopes:
         return articles.where(F.lit(False)).select(F.lit(0).alias("query_id"), ID)
+    articles = articles.where(date_between(compiled.date_lower, compiled.date_upper))
     hits = article_keys(articles, compiled.scopes).join(compiled.lookup, ["scope", "key"]).where(
         F.col(DATE).between(F.col("date_lower"), F.col("date_upper"))
         & ~F.coalesce(F.array_contains("article_types", F.col(SUBJECT)), F.lit(False))

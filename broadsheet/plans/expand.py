@@ -65,7 +65,8 @@ def _pieces_at(word: Column, at: str, n: int) -> Column:
     size = F.lit(n)
     if at == "inside":
         starts = F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: _anchor(at, F.substr(word, i, size))))
+        pieces = F.array_distinct(F.transform(starts, lambda i: F.substr(word, i, size)))
+        return F.transform(pieces, lambda piece: _anchor(at, piece))
     piece = {"any": F.lit(""), "start": F.left(word, size), "end": F.right(word, size)}
     return F.array(_anchor(at, piece[at]))
 
@@ -77,7 +78,7 @@ def _matches() -> Column:
         F.lit("^"), F.replace(F.replace(literal, F.lit("?"), F.lit(".")), F.lit("*"), F.lit(".*")), F.lit("$")
     )
     near = (F.abs(F.length(word) - F.length(pattern)) <= distance) & (
-        F.levenshtein(word, pattern) <= distance
+        F.call_function("levenshtein", word, pattern, distance) >= 0
     )
     return F.when(F.col("kind") == "fuzzy", near).otherwise(F.rlike(word, rule))
 
