@@ -19,12 +19,10 @@ from itertools import product
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schema import ALL, TITLE_ONLY
 from .tokens import analyze_query
 
-ALL = "all"
-TITLE_ONLY = "title"
-
-Tokens = dict[str, Column]
+PerField = dict[str, Column]
 
 
 @dataclass(frozen=True)
@@ -176,7 +174,7 @@ def word_test(leaf: Leaf) -> Callable[[Column], Column]:
     return lambda w: w.contains(body)
 
 
-def _leaf_condition(leaf: Leaf, tokens: Tokens) -> Column:
+def _leaf_condition(leaf: Leaf, tokens: PerField) -> Column:
     words = tokens[leaf.field]
     if leaf.kind == "term":
         return F.array_contains(words, F.lit(leaf.pattern))
@@ -190,7 +188,7 @@ def _leaf_condition(leaf: Leaf, tokens: Tokens) -> Column:
     return F.exists(words, word_test(leaf))
 
 
-def condition(clause: Clause, tokens: Tokens) -> Column:
+def condition(clause: Clause, tokens: PerField) -> Column:
     """The clause as a predicate over positioned tokens, one array per field in use."""
     match clause:
         case Leaf():
@@ -204,7 +202,7 @@ def condition(clause: Clause, tokens: Tokens) -> Column:
     return F.lit(False)
 
 
-def _some(parts: tuple, tokens: Tokens) -> Column:
+def _some(parts: tuple, tokens: PerField) -> Column:
     """Terms of one field share a single overlap test; the rest are or-ed."""
     shared: dict[str, list[str]] = {}
     tests = []
@@ -218,20 +216,17 @@ def _some(parts: tuple, tokens: Tokens) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def hint(clause: Clause, lowered: Column) -> Column | None:
+def hint(clause: Clause, lowered: PerField) -> Column | None:
     """A cheap substring test that every match passes, or None if there is none.
 
     It runs before a text is cut into words, so most texts never are.
     """
     match clause:
-        case Leaf(kind="term"):
-            return lowered.contains(clause.pattern)
-        case Leaf(kind="phrase"):
-            tests = [lowered.contains(w) for w in clause.pattern.split(" ") if w]
-            return reduce(lambda a, b: a & b, tests)
-        case Leaf(kind="wildcard"):
-            runs = [r for r in re.split(r"[*?]", clause.pattern) if r]
-            return reduce(lambda a, b: a & b, [lowered.contains(r) for r in runs]) if runs else None
+        case Leaf(kind=kind, pattern=pattern, field=field):
+            runs = [r for r in re.split("[*?]" if kind == "wildcard" else " ", pattern) if r]
+            if kind == "fuzzy" or not runs:
+                return None
+            return reduce(lambda a, b: a & b, [lowered[field].contains(r) for r in runs])
         case Every(parts):
             tests = [t for p in parts if (t := hint(p, lowered)) is not None]
             return reduce(lambda a, b: a & b, tests) if tests else None

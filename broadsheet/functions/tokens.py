@@ -63,10 +63,9 @@ def stripped_tokens(text: Column, min_length: int = 1) -> Column:
     return F.filter(stripped_pieces(text), lambda w: F.length(w) >= max(min_length, 1))
 
 
-def words(text: Column) -> Column:
-    """Lower-cased words in order, stop words included."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0))
-    return F.filter(found, is_word)
+def pieces_of(lowered: Column) -> Column:
+    """Words of a lower-cased text before the checks ``is_word`` and ``is_stop_word``."""
+    return F.regexp_extract_all(lowered, F.lit(WORD_PATTERN), F.lit(0))
 
 
 def is_word(word: Column) -> Column:
@@ -78,8 +77,8 @@ def is_stop_word(word: Column) -> Column:
 
 
 def analyzed_pieces(text: Column) -> Column:
-    """Words before the checks ``is_word`` and ``is_stop_word``, for use with ``explode``."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0))
+    """As ``pieces_of``, for use with ``explode``."""
+    return pieces_of(F.lower(text))
 
 
 def analyzed_tokens(text: Column) -> Column:
@@ -89,7 +88,12 @@ def analyzed_tokens(text: Column) -> Column:
 
 def analyzed_positions(text: Column) -> Column:
     """Words with their places kept: a stop word leaves an empty string behind."""
-    return F.transform(words(text), lambda w: F.when(is_stop_word(w), "").otherwise(w))
+    return positions_of(F.lower(text))
+
+
+def positions_of(lowered: Column) -> Column:
+    words = F.filter(pieces_of(lowered), is_word)
+    return F.transform(words, lambda w: F.when(is_stop_word(w), "").otherwise(w))
 
 
 def analyze_query(text: str) -> list[str]:

@@ -7,16 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clauses import ALL, TITLE_ONLY, Clause, condition, hint, leaves
-from ..functions.tokens import analyzed_positions, joined
+from ..functions.clauses import Clause, condition, hint, leaves
+from ..functions.once import once
+from ..functions.tokens import joined, positions_of
 from ..schema import (
     ARTICLE_TYPE_LABELS,
     DATE,
     DISTRIBUTION_LABELS,
-    SEARCH_FIELDS,
+    SEARCH_TEXT,
     SPATIAL,
     SUBJECT,
-    TITLE,
     labels_for,
 )
 
@@ -45,21 +45,23 @@ def not_excluded(
 def search(articles: DataFrame, clause: Clause) -> DataFrame:
     """Articles that match a text clause.
 
-    Texts that cannot match are dropped by a substring test first. The others are cut into
-    words once, whatever the number of leaves: a one-row generator holds the word arrays,
-    because a filter over a plain projection would repeat the work for every leaf.
+    Texts that cannot match are dropped by a substring test; the others are cut into words.
+    Both the lower-cased text and the words are made once, whatever the number of leaves:
+    one-row generators hold them, because a filter over a plain projection would repeat
+    the work for every leaf.
     """
-    used = {leaf.field for leaf in leaves(clause)}
+    used = sorted({leaf.field for leaf in leaves(clause)})
     if not used:
         return articles.where(F.lit(False))
-    text = {ALL: joined(*SEARCH_FIELDS), TITLE_ONLY: joined(TITLE)}
-    maybe = hint(clause, F.lower(text[ALL]))
+    lowered = {f: F.lower(joined(*SEARCH_TEXT[f])) for f in used}
+    found = once(articles, {f"_{f}_text": c for f, c in lowered.items()})
+    text = {f: F.col(f"_{f}_text") for f in used}
+    maybe = hint(clause, text)
     if maybe is not None:
-        articles = articles.where(maybe)
-    arrays = [analyzed_positions(text[f]).alias(f"_{f}_words") for f in sorted(used)]
-    tokens = {f: F.col(f"_{f}_words") for f in used}
-    cut = articles.select("*", F.inline(F.array(F.struct(*arrays))))
-    return cut.where(condition(clause, tokens)).select(*articles.columns)
+        found = found.where(maybe)
+    found = once(found, {f"_{f}_words": positions_of(c) for f, c in text.items()})
+    words = {f: F.col(f"_{f}_words") for f in used}
+    return found.where(condition(clause, words)).select(*articles.columns)
 
 
 def filtered_query(

@@ -17,10 +17,10 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.clauses import ALL, TITLE_ONLY, Clause, alternatives
+from ..functions.clauses import Clause, alternatives
 from ..functions.tokens import analyzed_pieces, analyzed_positions, is_stop_word, is_word, joined
 from ..operators.filters import date_between, size_gate
-from ..schema import CLOUD_FIELDS, DATE, ID, SEARCH_FIELDS, SPATIAL, SUBJECT, TITLE
+from ..schema import ALL, CLOUD_FIELDS, DATE, ID, SEARCH_FIELDS, SEARCH_TEXT, SPATIAL, SUBJECT
 from ..session import durable
 from ..sources.saved_queries import with_labels
 from .expand import expand
@@ -30,7 +30,7 @@ CLAUSE_COLUMNS = (
     "pattern string, distance int"
 )
 _BITS = 62
-_TEXT = {ALL: SEARCH_FIELDS, TITLE_ONLY: (TITLE,)}
+_MOST_FIRST_WORDS = 2000
 
 
 @dataclass(frozen=True)
@@ -76,10 +76,11 @@ def phrase_pattern(text: Column) -> Column:
 class CompiledQueries:
     """Small tables that the pass over the articles needs."""
 
-    lookup: DataFrame  # scope, key -> query_id, word, bit and the filters of the query
-    rules: DataFrame  # query_id -> alternatives as bit masks
+    lookup: DataFrame  # scope, key -> query_id, word, bit
+    rules: DataFrame  # query_id -> filters, and alternatives as bit masks
     scopes: list[str] = field(default_factory=list)
     words: int = 1
+    first_words: dict[str, list[str]] = field(default_factory=dict)
     date_lower: date | None = None
     date_upper: date | None = None
 
@@ -110,9 +111,27 @@ def compile_queries(queries: DataFrame, clauses: DataFrame, vocabulary: DataFram
         "query_id",
         F.floor(F.col("slot") / _BITS).cast("int").alias("word"),
         _bit(F.col("slot")).alias("bit"),
-    ).join(with_labels(queries), "query_id")
+    )
+    rules = with_labels(queries).join(_rules(clauses, words), "query_id")
     span = queries.agg(F.min("date_lower"), F.max("date_upper")).first()
-    return CompiledQueries(durable(lookup), durable(_rules(clauses, words)), scopes, words, *span)
+    return CompiledQueries(
+        durable(lookup), durable(rules), scopes, words, _first_words(clauses), *span
+    )
+
+
+def _first_words(clauses: DataFrame) -> dict[str, list[str]]:
+    """The words that phrases start with, by scope, or nothing when there are too many.
+
+    They only save work: without them every run of words in an article is looked up.
+    """
+    phrases = clauses.where(F.col("kind") == "phrase")
+    first = phrases.select("scope", F.substring_index("pattern", " ", 1).alias("word")).distinct()
+    rows = first.limit(_MOST_FIRST_WORDS + 1).collect()
+    found: dict[str, list[str]] = {}
+    if len(rows) <= _MOST_FIRST_WORDS:
+        for row in rows:
+            found.setdefault(row["scope"], []).append(row["word"])
+    return found
 
 
 def _with_match_all(clauses: DataFrame) -> DataFrame:
@@ -155,12 +174,14 @@ def _rules(clauses: DataFrame, words: int) -> DataFrame:
     return alts.groupBy("query_id").agg(F.collect_list(F.struct("need", "never")).alias("alts"))
 
 
-def _sequences(words: Column, shape: str) -> Column:
+def _sequences(words: Column, shape: str, first_words: list[str]) -> Column:
     """Runs of words as long as a phrase; the places of its stop words are left empty."""
     n = len(shape)
     starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(
         F.array().cast("array<int>")
     )
+    if first_words:
+        starts = F.filter(starts, lambda i: F.get(words, i).isin(*first_words))
 
     def key(start: Column) -> Column:
         if "0" not in shape:
@@ -173,22 +194,25 @@ def _sequences(words: Column, shape: str) -> Column:
     return F.transform(starts, key)
 
 
-def article_keys(articles: DataFrame, scopes: list[str]) -> DataFrame:
+def article_keys(
+    articles: DataFrame, scopes: list[str], first_words: dict[str, list[str]] | None = None
+) -> DataFrame:
     """Every key an article offers, for the scopes in use, next to its filter columns."""
     fields = sorted({s.split("/")[0] for s in scopes if s != "doc"})
     kept = [ID, DATE, SUBJECT, SPATIAL]
-    cut = [analyzed_positions(joined(*_TEXT[f])).alias(f"{f}_words") for f in fields]
+    cut = [analyzed_positions(joined(*SEARCH_TEXT[f])).alias(f"{f}_words") for f in fields]
     worded = articles.select(*kept, *cut)
-    return worded.select(*kept, F.inline(F.concat(*[_scope_keys(s) for s in scopes])))
+    keys = [_scope_keys(s, (first_words or {}).get(s, [])) for s in scopes]
+    return worded.select(*kept, F.inline(F.concat(*keys)))
 
 
-def _scope_keys(scope: str) -> Column:
+def _scope_keys(scope: str, first_words: list[str]) -> Column:
     if scope == "doc":
         values = F.array(F.lit(""))
     else:
         name, shape = scope.split("/")
         words = F.col(f"{name}_words")
-        values = words if shape == "1" else _sequences(words, shape)
+        values = words if shape == "1" else _sequences(words, shape, first_words)
     return F.transform(values, lambda v: F.struct(F.lit(scope).alias("scope"), v.alias("key")))
 
 
@@ -197,7 +221,9 @@ def saved_query_matches(articles: DataFrame, compiled: CompiledQueries) -> DataF
     if not compiled.scopes:
         return articles.where(F.lit(False)).select(F.lit(0).alias("query_id"), ID)
     articles = articles.where(date_between(compiled.date_lower, compiled.date_upper))
-    hits = article_keys(articles, compiled.scopes).join(compiled.lookup, ["scope", "key"]).where(
+    keys = article_keys(articles, compiled.scopes, compiled.first_words)
+    filters = compiled.rules.drop("alts")
+    hits = keys.join(compiled.lookup, ["scope", "key"]).join(filters, "query_id").where(
         F.col(DATE).between(F.col("date_lower"), F.col("date_upper"))
         & ~F.coalesce(F.array_contains("article_types", F.col(SUBJECT)), F.lit(False))
         & ~F.coalesce(F.array_contains("distributions", F.col(SPATIAL)), F.lit(False))
@@ -215,7 +241,8 @@ def saved_query_matches(articles: DataFrame, compiled: CompiledQueries) -> DataF
             test = test & (hit.bitwiseAND(need) == need) & (hit.bitwiseAND(never) == 0)
         return test
 
-    return masks.join(compiled.rules, "query_id").where(F.exists("alts", holds)).select("query_id", ID)
+    alts = compiled.rules.select("query_id", "alts")
+    return masks.join(alts, "query_id").where(F.exists("alts", holds)).select("query_id", ID)
 
 
 def query_counts(queries: DataFrame, matches: DataFrame) -> DataFrame:

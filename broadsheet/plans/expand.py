@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_NEAR = "length:"
 _KEYS = "array<struct<at:string,piece:string>>"
 
 
@@ -34,16 +35,28 @@ def _wildcard_anchors(pattern: Column) -> Column:
 
 
 def _fuzzy_anchors(word: Column, distance: Column) -> Column:
-    """``distance + 1`` pieces: that many edits always leave one of them whole."""
+    """``distance + 1`` pieces: that many edits always leave one of them whole.
+
+    The place also names the length of the word to look in, which differs from that of the
+    pattern by the distance at most.
+    """
     size = F.floor(F.length(word) / (distance + 1)).cast("int")
     pieces = F.transform(
         F.sequence(F.lit(0), distance),
-        lambda i: _anchor(
-            "inside",
-            F.substr(word, i * size + 1, F.when(i == distance, F.length(word)).otherwise(size)),
+        lambda i: F.substr(
+            word, i * size + 1, F.when(i == distance, F.length(word)).otherwise(size)
+        ),
+    )
+    pieces = F.when(size > 0, pieces).otherwise(F.array(F.lit("")))
+    lengths = F.sequence(F.greatest(F.length(word) - distance, F.lit(1)), F.length(word) + distance)
+    keys = F.transform(
+        lengths,
+        lambda n: F.transform(
+            pieces,
+            lambda p: F.struct(F.concat(F.lit(_NEAR), n.cast("string")).alias("at"), p.alias("piece")),
         ),
     )
-    return F.when(size > 0, pieces).otherwise(F.array(_anchor("any", F.lit(""))))
+    return F.flatten(keys)
 
 
 def pattern_anchors(patterns: DataFrame) -> DataFrame:
@@ -57,16 +70,34 @@ def _pieces(word: Column, used: list[tuple[str, int]]) -> Column:
     """The pieces of a word for the places and lengths in use."""
     length = F.length(word)
     none = F.array().cast(_KEYS)
-    found = [(n, _pieces_at(word, at, n).cast(_KEYS)) for at, n in used]
-    return F.concat(*[F.when(length >= n, pieces).otherwise(none) for n, pieces in found])
+    near: dict[int, list[int]] = {}
+    tests = []
+    for at, n in used:
+        if at.startswith(_NEAR):
+            near.setdefault(n, []).append(int(at.removeprefix(_NEAR)))
+        else:
+            tests.append((length >= n, _pieces_at(word, at, n)))
+    for n, lengths in near.items():
+        tests.append((length.isin(*lengths) & (length >= n), _near_pieces(word, n)))
+    return F.concat(*[F.when(test, keys.cast(_KEYS)).otherwise(none) for test, keys in tests])
+
+
+def _near_pieces(word: Column, n: int) -> Column:
+    at = F.concat(F.lit(_NEAR), F.length(word).cast("string"))
+    return F.transform(
+        _substrings(word, n), lambda p: F.struct(at.alias("at"), p.alias("piece"))
+    )
+
+
+def _substrings(word: Column, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(word, i, F.lit(n))))
 
 
 def _pieces_at(word: Column, at: str, n: int) -> Column:
-    size = F.lit(n)
     if at == "inside":
-        starts = F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1)))
-        pieces = F.array_distinct(F.transform(starts, lambda i: F.substr(word, i, size)))
-        return F.transform(pieces, lambda piece: _anchor(at, piece))
+        return F.transform(_substrings(word, n), lambda piece: _anchor(at, piece))
+    size = F.lit(n)
     piece = {"any": F.lit(""), "start": F.left(word, size), "end": F.right(word, size)}
     return F.array(_anchor(at, piece[at]))
 

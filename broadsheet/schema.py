@@ -18,6 +18,11 @@ ID = "identifier"
 SEARCH_FIELDS = (TITLE, PAPER, CONTENT)
 CLOUD_FIELDS = (CONTENT, TITLE)
 
+# The two scopes of a text clause and the fields that they read.
+ALL = "all"
+TITLE_ONLY = "title"
+SEARCH_TEXT = {ALL: SEARCH_FIELDS, TITLE_ONLY: (TITLE,)}
+
 # Names in the input markup. A paper field is the first occurrence of its
 # name in a document; an article field gives the name and which occurrence it is.
 PAPER_FIELDS = (

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.once import once
 from ..functions.text import escape_ampersands, html_unescape, paragraph_join, parse_date
 from ..schema import ARTICLE_COLUMNS, ARTICLE_FIELDS, CONTENT, DATE, ID, PAPER_FIELDS
 
@@ -55,17 +56,13 @@ def parse(docs: DataFrame) -> DataFrame:
     A document is rejected when it is not well-formed or when a required field is missing.
     Only that document is set aside, not its whole file.
     """
-    parsed = docs.withColumn("doc", F.from_xml(escape_ampersands(F.col("xml")), F.lit(_MARKUP), _OPTIONS))
+    tree = F.from_xml(escape_ampersands(F.col("xml")), F.lit(_MARKUP), _OPTIONS)
+    parsed = once(docs, {"doc": tree})
     fields = {f"paper_{n}": _named(n, 0) for n in PAPER_FIELDS}
     fields |= {f"article_{n}": _named(n, at) for n, at in ARTICLE_FIELDS.items()}
     content = _named("content", 0)
-    found = parsed.select(
-        "xml",
-        "zipfilename",
-        F.col("doc._corrupt_record").isNotNull().alias("broken"),
-        content.alias("content"),
-        *[c.alias(n) for n, c in fields.items()],
-    )
+    picked = {"content": content, **fields}
+    found = once(parsed.withColumn("broken", F.col("doc._corrupt_record").isNotNull()), picked)
     missing = F.col("content").isNull()
     for name in fields:
         missing = missing | F.col(name).isNull()
@@ -81,10 +78,11 @@ def parse(docs: DataFrame) -> DataFrame:
     values = {n: F.col(n)["_VALUE"] for n in fields}
     values[DATE] = parse_date(values[DATE])
     values |= {CONTENT: text, "zipfilename": F.col("zipfilename"), ID: identifier}
-    return found.select(
+    judged = once(found, {"status": status})
+    return judged.select(
         *[values[c].alias(c) for c in ARTICLE_COLUMNS],
-        status.alias("status"),
-        F.when(status != "ok", F.col("xml")).alias("rejected_xml"),
+        "status",
+        F.when(F.col("status") != "ok", F.col("xml")).alias("rejected_xml"),
     )
 
 

@@ -48,10 +48,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def articles(spark: SparkSession, sf: str) -> DataFrame:
+def scanned(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles for queries that only filter."""
     return articles_from_documents(table(spark, sf, "documents"))
 
 
+def articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles for queries that cut texts into words: an input in one piece is spread."""
+    return spread(scanned(spark, sf))
+
+
 def selected(spark: SparkSession, sf: str) -> DataFrame:
     return filters.filtered_query(
         articles(spark, sf), CLAUSE, LOWER, UPPER, DISTRIBUTIONS, TYPES
@@ -64,7 +70,7 @@ def selected(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def corpus_scan_filtered(spark, sf):
     kept = filters.date_between(LOWER, UPPER) & filters.not_excluded(DISTRIBUTIONS)
-    return articles(spark, sf).where(kept).select(ID, TITLE, CONTENT)
+    return scanned(spark, sf).where(kept).select(ID, TITLE, CONTENT)
 
 
 @query
@@ -81,12 +87,12 @@ def saved_query_scan(spark, sf):
 
 @query
 def id_pages(spark, sf):
-    return paging.id_pages(articles(spark, sf), 64)
+    return paging.id_pages(scanned(spark, sf), 64)
 
 
 @query
 def page_offset(spark, sf):
-    return paging.page(articles(spark, sf), 30, 30)
+    return paging.page(scanned(spark, sf), 30, 30)
 
 
 @query
@@ -163,14 +169,14 @@ def incremental_ingest(spark, sf):
 @query
 def bulk_roundtrip(spark, sf):
     path = shared_dir(spark)
-    bulk_json.write_bulk(articles(spark, sf), path)
-    return bulk_json.read_bulk(spark, path).select(*articles(spark, sf).columns)
+    bulk_json.write_bulk(scanned(spark, sf), path)
+    return bulk_json.read_bulk(spark, path).select(*scanned(spark, sf).columns)
 
 
 @query
 def corpus_load(spark, sf):
     path = shared_dir(spark)
-    loaded = articles(spark, sf).withColumn("zipfilename", F.lit("part"))
+    loaded = scanned(spark, sf).withColumn("zipfilename", F.lit("part"))
     corpus.write_corpus(corpus.latest_by_id(loaded.unionByName(loaded)), path)
     target = shared_dir(spark)
     corpus.compact_corpus(spark, path, target, 1)
@@ -302,13 +308,13 @@ def streaming_wordcount(spark, sf):
 
 @query
 def filter_date_range(spark, sf):
-    return articles(spark, sf).where(filters.date_between(LOWER, UPPER)).select(ID, DATE)
+    return scanned(spark, sf).where(filters.date_between(LOWER, UPPER)).select(ID, DATE)
 
 
 @query
 def filter_exclude(spark, sf):
     kept = filters.not_excluded(DISTRIBUTIONS, TYPES)
-    return articles(spark, sf).where(kept).select(ID, SUBJECT, SPATIAL)
+    return scanned(spark, sf).where(kept).select(ID, SUBJECT, SPATIAL)
 
 
 @query

@@ -103,9 +103,11 @@ MATCHES = {
         "(x like '%heitkeit' or x like 'th_nt%' or x like '%ßü%' or x like 'a%ti_n')"
     ),
     "match_fuzzy": some_word(
-        " or ".join(
+        "("
+        + " or ".join(
             f"{distance('x', _text(w))} <= {n}" for w, n in (("ander", 1), ("heitkeit", 2), ("oionai", 2))
-        ).join("()")
+        )
+        + ")"
     ),
     "match_title": "list_contains(tw, 'the') or contains(ts, ' de la ') or regexp_matches(ts, ' la ')",
 }
