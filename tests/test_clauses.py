@@ -1,0 +1,252 @@
+"""Clauses: one column predicate, one batch, and a brute-force reading must agree."""
+
+import random
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from broadsheet.functions import clauses as C
+from broadsheet.functions.clauses import (
+    all_of, any_of, bool_match, fuzzy, in_title, not_, phrase, term, wildcard,
+)
+from broadsheet.functions.tokens import analyze_query
+from broadsheet.operators.filters import filtered_query, search
+from broadsheet.plans import batch
+
+TEXTS = [
+    ("Film nieuws", "Greta Garbo speelt in de film van het jaar"),
+    ("Kunst", "De garbo greta is geen film"),
+    ("Sport", "Voetbal en radio: draagbare transistor-radio verboden"),
+    ("Reclame", "Drink coca-cola, de moderne frisdrank uit Amerika"),
+    ("Film", "flim fim films filmster"),
+    ("Staten", "De Verenigde Staten van Amerika; gast van de amerikaanse regering"),
+    ("Cocaïne", "cocaïne of cocaine, morfine en morphine"),
+    (None, "een titel ontbreekt maar film en radio niet"),
+    ("Leeg", None),
+]
+
+
+def rows():
+    days = [date(1900 + 10 * i, 1, 1) for i in range(len(TEXTS))]
+    subjects = ["artikel", "advertentie", None]
+    places = ["Landelijk", None, "Suriname"]
+    return [
+        (str(i), t, "Krant", c, days[i], subjects[i % 3], places[i % 3]) for i, (t, c) in enumerate(TEXTS)
+    ]
+
+
+COLUMNS = (
+    "identifier string, article_dc_title string, paper_dc_title string, text_content string, "
+    "paper_dc_date date, article_dc_subject string, paper_dcterms_spatial string"
+)
+
+
+@pytest.fixture(scope="module")
+def articles(spark):
+    return spark.createDataFrame(rows(), COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def found(articles):
+    return lambda clause: {int(r["identifier"]) for r in search(articles, clause).collect()}
+
+
+def edits(a, b):
+    line = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, line[0] = line[0], i
+        for j, y in enumerate(b, 1):
+            last, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, last + (x != y))
+    return line[-1]
+
+
+def wild(pattern, word):
+    if not pattern:
+        return not word
+    if pattern[0] == "*":
+        return any(wild(pattern[1:], word[i:]) for i in range(len(word) + 1))
+    return bool(word) and pattern[0] in ("?", word[0]) and wild(pattern[1:], word[1:])
+
+
+def brute(clause, title, text):
+    match clause:
+        case C.Leaf(kind, pattern, distance, field):
+            source = title if field == C.TITLE_ONLY else " ".join(t for t in (title, "Krant", text) if t)
+            words = analyze_query(source or "")
+            if kind == "term":
+                return pattern in words
+            if kind == "phrase":
+                places = pattern.split(" ")
+                runs = (words[i : i + len(places)] for i in range(len(words) - len(places) + 1))
+                return any(all(p in ("", w) for p, w in zip(places, run)) for run in runs)
+            if kind == "fuzzy":
+                return any(w and edits(pattern, w) <= distance for w in words)
+            return any(w and wild(pattern, w) for w in words)
+        case C.Every(parts):
+            return all(brute(p, title, text) for p in parts)
+        case C.Some(parts):
+            return any(brute(p, title, text) for p in parts)
+        case C.Never(part):
+            return not brute(part, title, text)
+    return False
+
+
+def expected(clause):
+    return {i for i, (title, text) in enumerate(TEXTS) if brute(clause, title, text)}
+
+
+CASES = {
+    "single term": (term("VOETBAL"), {2}),
+    "any of adjacent terms": (term("greta voetbal"), {0, 1, 2}),
+    "or": (any_of(term("voetbal"), term("cola")), {2, 3}),
+    "and": (all_of(term("greta"), term("garbo")), {0, 1}),
+    "and not": (all_of(term("film"), not_(term("garbo"))), {4, 7}),
+    "not alone": (not_(term("film")), {2, 3, 5, 6, 8}),
+    "phrase": (phrase("greta garbo"), {0}),
+    "phrase over a stop word": (phrase("staten van amerika"), {5}),
+    "phrase over two stop words": (phrase("gast van de amerikaanse"), {5}),
+    "quoted single word": (phrase('"Amerika"'), {3, 5}),
+    "question mark": (wildcard("f?lm"), {0, 1, 4, 7}),
+    "suffix star": (wildcard("film*"), {0, 1, 4, 7}),
+    "infix star": (wildcard("mor*ine"), {6}),
+    "leading star": (wildcard("*ster"), {4}),
+    "star on both sides": (wildcard("*sist*"), {2}),
+    "star does not find stop words": (wildcard("va*"), set()),
+    "wildcard inside quotes is a separator": (phrase("modern*"), set()),
+    "fuzzy with distance": (fuzzy("fllm", 1), {0, 1, 4, 7}),
+    "transposition costs two": (fuzzy("felim", 2), {0, 1, 4, 7}),
+    "fuzzy by length": (fuzzy("Gretta"), {0, 1}),
+    "wildcard with tilde": (wildcard("frisd*~"), {3}),
+    "title only": (in_title(term("film nieuws")), {0, 4}),
+    "title phrase": (in_title(phrase("film nieuws")), {0}),
+    "hyphen bare": (term("transistor-radio"), {2, 7}),
+    "hyphen quoted": (phrase("transistor-radio"), {2}),
+    "lower-case or is a word": (term("boegeroep or ovaties"), set()),
+    "diacritics count": (term("cocaïne"), {6}),
+    "stop word next to a word is ignored": (all_of(term("de"), term("voetbal")), {2}),
+    "stop word alone finds nothing": (term("de"), set()),
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_clause(found, case):
+    clause, ids = CASES[case]
+    assert expected(clause) == ids
+    assert found(clause) == ids
+
+
+def test_required_clauses_make_optional_ones_irrelevant(found):
+    radio, film, garbo = term("radio"), term("film"), term("garbo")
+    assert found(bool_match(must=[radio], should=[film])) == {2, 7}
+    assert found(bool_match(should=[radio, garbo])) == {0, 1, 2, 7}
+    assert found(bool_match(must=[film], must_not=[garbo])) == {4, 7}
+    assert found(bool_match(must_not=[film])) == expected(not_(film))
+    # "a OR b AND c": b and c are required, a is optional
+    assert found(bool_match(must=[film, garbo], should=[radio])) == {0, 1}
+
+
+def random_clause(rng, depth=3):
+    words = ["film", "greta", "garbo", "radio", "de", "cola", "amerika", "cocaïne", "titel", "krant", "x"]
+    if depth == 0 or rng.random() < 0.3:
+        leaf = rng.choice(
+            [
+                lambda: term(rng.choice(words)),
+                lambda: phrase(" ".join(rng.choices(words + ["van", "staten"], k=rng.choice([2, 3])))),
+                lambda: wildcard(rng.choice(["f?lm*", "*o", "*ar*", "c*a*", "?????", "*", "gr*"])),
+                lambda: fuzzy(rng.choice(words), rng.choice([1, 2])),
+            ]
+        )()
+        return in_title(leaf) if rng.random() < 0.2 else leaf
+    make = rng.choice([all_of, any_of, lambda *p: not_(p[0]), lambda *p: bool_match(p[:1], p[1:2], p[2:])])
+    return make(*[random_clause(rng, depth - 1) for _ in range(rng.choice([1, 2, 3]))])
+
+
+def run(articles, spark, clauses, **kwargs):
+    saved = [
+        batch.SavedQuery(i, c, date(1850, 1, 1), date(1990, 12, 31), **kwargs) for i, c in enumerate(clauses)
+    ]
+    queries, rows = batch.query_tables(spark, saved)
+    compiled = batch.compile_queries(queries, rows, batch.corpus_vocabulary(articles))
+    ids = {i: set() for i in range(len(clauses))}
+    for r in batch.saved_query_matches(articles, compiled).collect():
+        assert int(r["identifier"]) not in ids[r["query_id"]]
+        ids[r["query_id"]].add(int(r["identifier"]))
+    return ids
+
+
+def test_batch_agrees_with_brute_force(articles, spark):
+    rng = random.Random(7)
+    clauses = [c for c, _ in CASES.values()] + [random_clause(rng) for _ in range(120)]
+    ids = run(articles, spark, clauses)
+    for i, clause in enumerate(clauses):
+        assert ids[i] == expected(clause), clause
+
+
+def test_search_agrees_with_brute_force(found):
+    rng = random.Random(11)
+    for _ in range(40):
+        clause = random_clause(rng)
+        assert found(clause) == expected(clause), clause
+
+
+def test_batch_without_any_broadcast(articles, spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        clauses = [c for c, _ in CASES.values()]
+        ids = run(articles, spark, clauses)
+    finally:
+        spark.conf.set(key, before)
+    assert ids == {i: expected(c) for i, c in enumerate(clauses)}
+
+
+def test_more_groups_than_bits_in_a_mask(articles, spark):
+    many = all_of(*[any_of(term("film"), term(f"w{i}")) for i in range(150)])
+    never = all_of(term("film"), *[not_(term(f"w{i}")) for i in range(150)], not_(term("garbo")))
+    assert run(articles, spark, [many, never]) == {0: {0, 1, 4, 7}, 1: {4, 7}}
+
+
+def test_many_phrases_need_no_first_words(articles, spark, monkeypatch):
+    monkeypatch.setattr(batch, "_MOST_FIRST_WORDS", 0)
+    clauses = [phrase("greta garbo"), phrase("staten van amerika"), term("film")]
+    assert run(articles, spark, clauses) == {i: expected(c) for i, c in enumerate(clauses)}
+
+
+def test_dates_and_exclusions(articles, spark):
+    one = lambda **k: {
+        int(r["identifier"])
+        for r in filtered_query(articles, wildcard("*"), k.pop("lo", "1850-01-01"), k.pop("hi", "1990-12-31"), **k).collect()
+    }
+    assert one(lo="1910-01-01", hi="1930-01-01") == {1, 2, 3}
+    assert one(exclude_distributions=["sd_national"]) == {1, 2, 4, 5, 7, 8}
+    assert one(exclude_article_types=["st_article", "st_advert"]) == {2, 5, 8}
+    with pytest.raises(ValueError, match="unknown"):
+        one(exclude_article_types=["st_none"])
+    ids = run(articles, spark, [wildcard("*")], exclude_distributions=("sd_surinam", "sd_national"))
+    assert ids == {0: {1, 4, 7}}
+
+
+def test_unknown_code_stops_the_batch(articles, spark):
+    with pytest.raises(Exception, match="unknown filter code"):
+        run(articles, spark, [term("film")], exclude_distributions=("sd_mars",))
+
+
+def test_counts_gate_and_clouds(articles, spark):
+    saved = [
+        batch.SavedQuery(i, c, date(1850, 1, 1), date(1990, 12, 31))
+        for i, c in enumerate([term("film"), term("voetbal"), term("nergens"), wildcard("*")])
+    ]
+    result = batch.run_batch(articles, *batch.query_tables(spark, saved), smallest=2, largest=5, k=2)
+    status = {r["query_id"]: (r["count"], r["status"]) for r in result.counts.collect()}
+    assert status == {0: (4, "ok"), 1: (1, "too_few"), 2: (0, "too_few"), 3: (9, "too_many")}
+    cloud = result.clouds.orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["term"], r["count"], r["rank"]) for r in cloud] == [(0, "film", 5, 1), (0, "garbo", 2, 2)]
+
+
+def test_one_article_copied_to_a_third_of_the_corpus(articles, spark):
+    copies = spark.range(300).select(F.concat(F.lit("1"), F.lpad("id", 4, "0")).alias("identifier"))
+    hot = articles.where("identifier = '0'").drop("identifier").crossJoin(copies)
+    ids = run(articles.unionByName(hot), spark, [phrase("greta garbo"), term("film")])
+    assert len(ids[0]) == 301 and len(ids[1]) == 304
