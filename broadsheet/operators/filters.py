@@ -16,6 +16,7 @@ from ..schema import (
     DISTRIBUTION_LABELS,
     SEARCH_TEXT,
     SPATIAL,
+    STORED_WORDS,
     SUBJECT,
     labels_for,
 )
@@ -27,10 +28,10 @@ def date_between(lower, upper, column: str = DATE) -> Column:
 
 
 def label_not_in(column: str, labels: Sequence[str]) -> Column:
-    """Exact match on a label; an article without a label is kept."""
+    """Exact match on a label; an article without a label is kept. The scan can test this."""
     if not labels:
         return F.lit(True)
-    return ~F.coalesce(F.col(column).isin(*labels), F.lit(False))
+    return F.col(column).isNull() | ~F.col(column).isin(*labels)
 
 
 def not_excluded(
@@ -48,11 +49,14 @@ def search(articles: DataFrame, clause: Clause) -> DataFrame:
     Texts that cannot match are dropped by a substring test; the others are cut into words.
     Both the lower-cased text and the words are made once, whatever the number of leaves:
     one-row generators hold them, because a filter over a plain projection would repeat
-    the work for every leaf.
+    the work for every leaf. A corpus that stores its words (``with_words``) needs neither.
     """
     used = sorted({leaf.field for leaf in leaves(clause)})
     if not used:
         return articles.where(F.lit(False))
+    stored = {f: F.col(STORED_WORDS[f]) for f in used if STORED_WORDS[f] in articles.columns}
+    if len(stored) == len(used):
+        return articles.where(condition(clause, stored))
     lowered = {f: F.lower(joined(*SEARCH_TEXT[f])) for f in used}
     found = once(articles, {f"_{f}_text": c for f, c in lowered.items()})
     text = {f: F.col(f"_{f}_text") for f in used}
@@ -64,6 +68,12 @@ def search(articles: DataFrame, clause: Clause) -> DataFrame:
     return found.where(condition(clause, words)).select(*articles.columns)
 
 
+def with_words(articles: DataFrame) -> DataFrame:
+    """Articles with their positioned words as columns, to be stored once and searched often."""
+    words = {STORED_WORDS[f]: positions_of(F.lower(joined(*t))) for f, t in SEARCH_TEXT.items()}
+    return articles.withColumns(words)
+
+
 def filtered_query(
     articles: DataFrame,
     clause: Clause,

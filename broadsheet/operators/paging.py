@@ -33,5 +33,8 @@ def id_pages(articles: DataFrame, chunk_size: int = 1000) -> DataFrame:
 
 
 def page(articles: DataFrame, offset: int, size: int) -> DataFrame:
-    """One page of ids by offset and size."""
+    """One page of ids by offset and size, for the first pages of a result.
+
+    The rows before it are ranked too; ``id_pages`` serves deep pages.
+    """
     return articles.select(ID).orderBy(ID).offset(offset).limit(size)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.clauses import Clause, alternatives
 from ..functions.tokens import analyzed_pieces, analyzed_positions, is_stop_word, is_word, joined
 from ..operators.filters import date_between, size_gate
-from ..schema import ALL, CLOUD_FIELDS, DATE, ID, SEARCH_FIELDS, SEARCH_TEXT, SPATIAL, SUBJECT
+from ..schema import ALL, CLOUD_FIELDS, DATE, ID, SEARCH_FIELDS, SEARCH_TEXT, SPATIAL, STORED_WORDS, SUBJECT
 from ..session import durable
 from ..sources.saved_queries import with_labels
 from .expand import expand
@@ -194,14 +194,20 @@ def _sequences(words: Column, shape: str, first_words: list[str]) -> Column:
     return F.transform(starts, key)
 
 
+def _words(articles: DataFrame, name: str) -> Column:
+    """Stored words where the corpus has them."""
+    if STORED_WORDS[name] in articles.columns:
+        return F.col(STORED_WORDS[name])
+    return analyzed_positions(joined(*SEARCH_TEXT[name]))
+
+
 def article_keys(
     articles: DataFrame, scopes: list[str], first_words: dict[str, list[str]] | None = None
 ) -> DataFrame:
     """Every key an article offers, for the scopes in use, next to its filter columns."""
     fields = sorted({s.split("/")[0] for s in scopes if s != "doc"})
     kept = [ID, DATE, SUBJECT, SPATIAL]
-    cut = [analyzed_positions(joined(*SEARCH_TEXT[f])).alias(f"{f}_words") for f in fields]
-    worded = articles.select(*kept, *cut)
+    worded = articles.select(*kept, *[_words(articles, f).alias(STORED_WORDS[f]) for f in fields])
     keys = [_scope_keys(s, (first_words or {}).get(s, [])) for s in scopes]
     return worded.select(*kept, F.inline(F.concat(*keys)))
 
@@ -211,7 +217,7 @@ def _scope_keys(scope: str, first_words: list[str]) -> Column:
         values = F.array(F.lit(""))
     else:
         name, shape = scope.split("/")
-        words = F.col(f"{name}_words")
+        words = F.col(STORED_WORDS[name])
         values = words if shape == "1" else _sequences(words, shape, first_words)
     return F.transform(values, lambda v: F.struct(F.lit(scope).alias("scope"), v.alias("key")))
 
@@ -254,18 +260,30 @@ def query_counts(queries: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
-def query_clouds(articles: DataFrame, matches: DataFrame, k: int = 100, min_length: int = 2) -> DataFrame:
+def query_clouds(
+    articles: DataFrame,
+    matches: DataFrame,
+    k: int = 100,
+    min_length: int = 2,
+    terms: DataFrame | None = None,
+) -> DataFrame:
     """Top ``k`` words of title and content for each query: ``(query_id, term, count, rank)``.
 
-    An article is cut into words once, however many queries it matches.
+    An article is cut into words once, however many queries it matches; with stored term
+    frequencies in ``terms`` it is not cut at all.
     """
     of_article = matches.groupBy(ID).agg(F.collect_set("query_id").alias("query_ids"))
-    matched = articles.select(ID, *CLOUD_FIELDS).join(of_article, ID)
-    pieces = matched.select("query_ids", F.explode(analyzed_pieces(joined(*CLOUD_FIELDS))).alias("term"))
     word = F.col("term")
-    kept = pieces.where((F.length(word) >= min_length) & is_word(word) & ~is_stop_word(word))
-    per_query = kept.select("term", F.explode("query_ids").alias("query_id"))
-    counts = per_query.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("count"))
+    if terms is None:
+        matched = articles.select(ID, *CLOUD_FIELDS).join(of_article, ID)
+        pieces = F.explode(analyzed_pieces(joined(*CLOUD_FIELDS)))
+        rows = matched.select("query_ids", pieces.alias("term"), F.lit(1).cast("bigint").alias("tf"))
+        rows = rows.where(is_word(word) & ~is_stop_word(word))
+    else:
+        rows = terms.where(F.col("field").isin(*CLOUD_FIELDS)).join(of_article, ID)
+    kept = rows.where(F.length(word) >= min_length)
+    per_query = kept.select("term", "tf", F.explode("query_ids").alias("query_id"))
+    counts = per_query.groupBy("query_id", "term").agg(F.sum("tf").alias("count"))
     best = Window.partitionBy("query_id").orderBy(F.desc("count"), "term")
     ranked = counts.withColumn("rank", F.row_number().over(best).cast("bigint"))
     return ranked.where(F.col("rank") <= k)
@@ -273,6 +291,9 @@ def query_clouds(articles: DataFrame, matches: DataFrame, k: int = 100, min_leng
 
 def corpus_vocabulary(articles: DataFrame) -> DataFrame:
     """Distinct analysed words of the searchable fields."""
+    if STORED_WORDS[ALL] in articles.columns:
+        stored = articles.select(F.explode(STORED_WORDS[ALL]).alias("term"))
+        return stored.where(F.col("term") != "").distinct()
     words = articles.select(F.explode(analyzed_pieces(joined(*SEARCH_FIELDS))).alias("term"))
     return words.where(is_word(F.col("term")) & ~is_stop_word(F.col("term"))).distinct()
 
@@ -291,12 +312,17 @@ def run_batch(
     smallest: int = 10_000,
     largest: int = 50_000,
     k: int = 100,
+    terms: DataFrame | None = None,
 ) -> BatchResult:
-    """Match, count, gate and draw a word cloud for every saved query."""
+    """Match, count, gate and draw a word cloud for every saved query.
+
+    Pass the stored ``vocabulary`` and term frequencies (``terms``) of a corpus to save a
+    pass over its texts each.
+    """
     if vocabulary is None:
         vocabulary = corpus_vocabulary(articles)
     compiled = compile_queries(queries, clauses, vocabulary)
     matches = durable(saved_query_matches(articles, compiled))
     counts = size_gate(query_counts(queries, matches), smallest, largest)
     passed = matches.join(counts.where(F.col("status") == "ok"), "query_id", "left_semi")
-    return BatchResult(counts, query_clouds(articles, passed, k))
+    return BatchResult(counts, query_clouds(articles, passed, k, terms=terms))

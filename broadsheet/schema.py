@@ -22,6 +22,8 @@ CLOUD_FIELDS = (CONTENT, TITLE)
 ALL = "all"
 TITLE_ONLY = "title"
 SEARCH_TEXT = {ALL: SEARCH_FIELDS, TITLE_ONLY: (TITLE,)}
+# Columns of a corpus that keeps its words next to its texts.
+STORED_WORDS = {ALL: "all_words", TITLE_ONLY: "title_words"}
 
 # Names in the input markup. A paper field is the first occurrence of its
 # name in a document; an article field gives the name and which occurrence it is.

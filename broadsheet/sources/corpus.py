@@ -6,17 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import DATE, ID
+from ..session import durable
 
 
 def latest_by_id(articles: DataFrame) -> DataFrame:
     """One row for each id; the row of the last source file wins.
 
-    The aggregation combines rows before the shuffle, so many copies of one id are no
-    hot key.
+    Meant for a stored table: one pass over the ids finds those that repeat, and only their
+    rows are shuffled. They are combined before the shuffle, so many copies of one id are
+    no hot key.
     """
+    seen = articles.groupBy(ID).agg(F.count(F.lit(1)).alias("n"))
+    repeated = durable(seen.where(F.col("n") > 1).select(ID))
     columns = [c for c in articles.columns if c != ID]
-    last = F.max_by(F.struct(*columns), F.struct(F.coalesce("zipfilename", F.lit("")), F.xxhash64(*columns)))
-    return articles.groupBy(ID).agg(last.alias("row")).select(ID, "row.*").select(*articles.columns)
+    order = F.struct(F.coalesce("zipfilename", F.lit("")), F.xxhash64(*columns))
+    copies = articles.join(repeated, ID, "left_semi").groupBy(ID)
+    last = copies.agg(F.max_by(F.struct(*columns), order).alias("row")).select(ID, "row.*")
+    return articles.join(repeated, ID, "left_anti").unionByName(last)
 
 
 def with_year(articles: DataFrame) -> DataFrame:

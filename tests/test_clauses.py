@@ -11,8 +11,9 @@ from broadsheet.functions.clauses import (
     all_of, any_of, bool_match, fuzzy, in_title, not_, phrase, term, wildcard,
 )
 from broadsheet.functions.tokens import analyze_query
-from broadsheet.operators.filters import filtered_query, search
+from broadsheet.operators.filters import filtered_query, search, with_words
 from broadsheet.plans import batch
+from broadsheet.session import durable
 
 TEXTS = [
     ("Film nieuws", "Greta Garbo speelt in de film van het jaar"),
@@ -44,7 +45,7 @@ COLUMNS = (
 
 @pytest.fixture(scope="module")
 def articles(spark):
-    return spark.createDataFrame(rows(), COLUMNS)
+    return durable(spark.createDataFrame(rows(), COLUMNS).coalesce(2))
 
 
 @pytest.fixture(scope="module")
@@ -214,6 +215,17 @@ def test_many_phrases_need_no_first_words(articles, spark, monkeypatch):
     assert run(articles, spark, clauses) == {i: expected(c) for i, c in enumerate(clauses)}
 
 
+def test_stored_words_give_the_same(articles, spark, plan_of):
+    stored = durable(with_words(articles))
+    rng = random.Random(3)
+    clauses = [random_clause(rng) for _ in range(10)]
+    for clause in clauses:
+        got = search(stored, clause)
+        assert {int(r["identifier"]) for r in got.collect()} == expected(clause)
+    assert "regexp_extract_all" not in plan_of(got.select("identifier"))
+    assert run(stored, spark, clauses) == {i: expected(c) for i, c in enumerate(clauses)}
+
+
 def test_dates_and_exclusions(articles, spark):
     one = lambda **k: {
         int(r["identifier"])

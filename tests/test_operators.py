@@ -124,4 +124,18 @@ def test_unused_columns_are_not_read(articles, plan_of):
 def test_clouds_limit_each_query_before_the_shuffle(spark, articles, plan_of):
     matches = articles.select(F.lit(1).alias("query_id"), "identifier")
     plan = plan_of(batch.query_clouds(articles, matches))
-    assert "WindowGroupLimit" in plan and "partial_count" in plan
+    assert "WindowGroupLimit" in plan and "partial_sum" in plan
+
+
+def test_clouds_from_stored_terms_are_the_same(articles):
+    matches = articles.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("query_id"), "identifier")
+    stored = postings.doc_terms(articles)
+    direct = batch.query_clouds(articles, matches, 50).collect()
+    assert sorted(batch.query_clouds(articles, matches, 50, terms=stored).collect()) == sorted(direct)
+
+
+def test_exclusions_reach_the_scan(spark, articles, plan_of):
+    path = shared_dir(spark)
+    articles.write.parquet(path)
+    plan = plan_of(spark.read.parquet(path).where(filters.not_excluded(["sd_surinam"])))
+    assert "PushedFilters: [Or(IsNull(paper_dcterms_spatial),Not(" in plan
