@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # The characters that split words, and the blanks between words.
 PUNCTUATION = "_|$#<>^=[]*/\\,;.-:()?!\"'"
-BLANKS = "\t\n\r\f"
+BLANKS = " \t\n\r\f"
 
 # The Dutch stop words (the Snowball list, as Spark ML ships it).
 DUTCH_STOP_WORDS = tuple(
@@ -46,7 +46,7 @@ def joined(*columns: Column | str) -> Column:
 
 def raw_pieces(text: Column) -> Column:
     """Text cut at blanks, case and punctuation kept; may hold empty pieces."""
-    return F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " ")
+    return F.split(text, f"[{BLANKS}]+")
 
 
 def raw_tokens(text: Column) -> Column:
@@ -55,8 +55,8 @@ def raw_tokens(text: Column) -> Column:
 
 def stripped_pieces(text: Column) -> Column:
     """Lower-cased text cut at blanks and punctuation; may hold empty pieces."""
-    drop = PUNCTUATION + BLANKS
-    return F.split(F.translate(F.lower(text), drop, " " * len(drop)), " ")
+    marks = "".join("\\" + mark for mark in PUNCTUATION)
+    return F.split(F.lower(text), f"[{marks}{BLANKS}]+")
 
 
 def stripped_tokens(text: Column, min_length: int = 1) -> Column:

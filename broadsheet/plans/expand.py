@@ -79,7 +79,7 @@ def _pieces(word: Column, used: list[tuple[str, int]]) -> Column:
             tests.append((length >= n, _pieces_at(word, at, n)))
     for n, lengths in near.items():
         tests.append((length.isin(*lengths) & (length >= n), _near_pieces(word, n)))
-    return F.concat(*[F.when(test, keys.cast(_KEYS)).otherwise(none) for test, keys in tests])
+    return F.concat(*[F.when(test, keys).otherwise(none) for test, keys in tests])
 
 
 def _near_pieces(word: Column, n: int) -> Column:
@@ -91,7 +91,7 @@ def _near_pieces(word: Column, n: int) -> Column:
 
 def _substrings(word: Column, n: int) -> Column:
     starts = F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(word, i, F.lit(n))))
+    return F.transform(starts, lambda i: F.substr(word, i, F.lit(n)))
 
 
 def _pieces_at(word: Column, at: str, n: int) -> Column:
