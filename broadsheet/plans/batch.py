@@ -17,7 +17,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.clauses import Clause, alternatives
+from ..functions.clauses import Clause, Leaf, alternatives, word_test
 from ..functions.tokens import analyzed_pieces, analyzed_positions, is_stop_word, is_word, joined
 from ..operators.filters import date_between, size_gate
 from ..schema import ALL, CLOUD_FIELDS, DATE, ID, SEARCH_FIELDS, SEARCH_TEXT, SPATIAL, STORED_WORDS, SUBJECT
@@ -31,6 +31,9 @@ CLAUSE_COLUMNS = (
 )
 _BITS = 62
 _MOST_FIRST_WORDS = 2000
+_MOST_WORDS = 5000
+_PATTERN_KINDS = ("wildcard", "fuzzy")
+_PATTERN = ["kind", "pattern", "distance"]
 
 
 @dataclass(frozen=True)
@@ -81,6 +84,7 @@ class CompiledQueries:
     scopes: list[str] = field(default_factory=list)
     words: int = 1
     first_words: dict[str, list[str]] = field(default_factory=dict)
+    tests: dict[str, Leaf] = field(default_factory=dict)
     date_lower: date | None = None
     date_upper: date | None = None
 
@@ -88,24 +92,31 @@ class CompiledQueries:
 def compile_queries(queries: DataFrame, clauses: DataFrame, vocabulary: DataFrame) -> CompiledQueries:
     """Resolve clauses to keys and number their groups.
 
-    The small tables are stored, so that Catalyst knows their sizes. Wildcards may resolve
-    to any number of words: the join of the lookup with the articles is broadcast only if
-    the stored table is small.
+    The small tables are stored, so that Catalyst knows their sizes, and the join of the
+    lookup with the articles is broadcast only if the stored table is small.
     """
     clauses = durable(_numbered(_with_match_all(clauses)))
-    seen = clauses.select("scope", F.floor(F.col("slot") / _BITS).cast("int").alias("word")).distinct()
+    word = F.floor(F.col("slot") / _BITS).cast("int").alias("word")
     # One row for each phrase shape and mask word: bounded by what users type.
-    rows = seen.collect()
+    rows = clauses.select("scope", "kind", word).distinct().collect()
     words = max((r["word"] for r in rows), default=0) + 1
     scopes = sorted({r["scope"] for r in rows})
 
-    direct = clauses.where(~F.col("kind").isin("wildcard", "fuzzy")).withColumn("key", F.col("pattern"))
-    by_pattern = clauses.where(F.col("kind").isin("wildcard", "fuzzy"))
-    terms = expand(by_pattern, vocabulary).withColumnRenamed("term", "key")
-    resolved = by_pattern.join(terms, ["kind", "pattern", "distance"])
     columns = ["scope", "key", "query_id", "slot"]
-    keys = direct.select(columns).unionByName(resolved.select(columns)).distinct()
-    lookup = keys.select(
+    direct = ~F.col("kind").isin(*_PATTERN_KINDS)
+    keys = clauses.where(direct).select("scope", F.col("pattern").alias("key"), "query_id", "slot")
+    tests: dict[str, Leaf] = {}
+    if any(r["kind"] in _PATTERN_KINDS for r in rows):
+        by_pattern = clauses.where(~direct)
+        terms = durable(expand(by_pattern, vocabulary).withColumnRenamed("term", "key"))
+        wide, tests = _wide_patterns(by_pattern, terms)
+        few = by_pattern.join(wide, _PATTERN, "left_anti").join(terms, _PATTERN)
+        in_place = by_pattern.join(wide, _PATTERN, "left_semi").withColumns(
+            {"scope": _test_scope(), "key": F.lit("")}
+        )
+        keys = keys.unionByName(few.select(columns)).unionByName(in_place.select(columns))
+        scopes += sorted(tests)
+    lookup = keys.distinct().select(
         "scope",
         "key",
         "query_id",
@@ -115,10 +126,32 @@ def compile_queries(queries: DataFrame, clauses: DataFrame, vocabulary: DataFram
     rules = with_labels(queries).join(_rules(clauses, words), "query_id")
     span = queries.agg(F.min("date_lower"), F.max("date_upper")).first()
     return CompiledQueries(
-        durable(lookup), durable(rules), scopes, words, _first_words(clauses), *span
+        durable(lookup), durable(rules), scopes, words, _first_words(clauses), tests, *span
     )
 
 
+def _test_scope() -> Column:
+    return F.concat_ws("/", F.lit("test"), "field", "kind", "distance", "pattern")
+
+
+def _wide_patterns(by_pattern: DataFrame, terms: DataFrame) -> tuple[DataFrame, dict[str, Leaf]]:
+    """Patterns with so many words that testing each word of an article costs less.
+
+    They keep the lookup small: it holds a bounded number of words for each pattern.
+    """
+    sizes = terms.groupBy(*_PATTERN).agg(F.count(F.lit(1)).alias("words"))
+    wide = sizes.where(F.col("words") > _MOST_WORDS).select(*_PATTERN)
+    rows = by_pattern.join(wide, _PATTERN, "left_semi").select(
+        "field", *_PATTERN, _test_scope().alias("scope")
+    )
+    # One row for each such pattern that a user wrote.
+    tests = {
+        r["scope"]: Leaf(r["kind"], r["pattern"], r["distance"], r["field"])
+        for r in rows.distinct().collect()
+    }
+    return wide, tests
+
+
 def _first_words(clauses: DataFrame) -> dict[str, list[str]]:
     """The words that phrases start with, by scope, or nothing when there are too many.
 
@@ -201,24 +234,29 @@ def _words(articles: DataFrame, name: str) -> Column:
     return analyzed_positions(joined(*SEARCH_TEXT[name]))
 
 
-def article_keys(
-    articles: DataFrame, scopes: list[str], first_words: dict[str, list[str]] | None = None
-) -> DataFrame:
+def article_keys(articles: DataFrame, compiled: CompiledQueries) -> DataFrame:
     """Every key an article offers, for the scopes in use, next to its filter columns."""
-    fields = sorted({s.split("/")[0] for s in scopes if s != "doc"})
+    parts = [s.removeprefix("test/").split("/")[0] for s in compiled.scopes]
+    fields = sorted(set(parts) - {"doc"})
     kept = [ID, DATE, SUBJECT, SPATIAL]
     worded = articles.select(*kept, *[_words(articles, f).alias(STORED_WORDS[f]) for f in fields])
-    keys = [_scope_keys(s, (first_words or {}).get(s, [])) for s in scopes]
+    keys = [_scope_keys(s, compiled) for s in compiled.scopes]
     return worded.select(*kept, F.inline(F.concat(*keys)))
 
 
-def _scope_keys(scope: str, first_words: list[str]) -> Column:
+def _scope_keys(scope: str, compiled: CompiledQueries) -> Column:
+    once = F.array(F.lit(""))
     if scope == "doc":
-        values = F.array(F.lit(""))
+        values = once
+    elif scope in compiled.tests:
+        leaf = compiled.tests[scope]
+        hit = F.exists(F.col(STORED_WORDS[leaf.field]), word_test(leaf))
+        values = F.when(hit, once).otherwise(F.array().cast("array<string>"))
     else:
         name, shape = scope.split("/")
         words = F.col(STORED_WORDS[name])
-        values = words if shape == "1" else _sequences(words, shape, first_words)
+        first = compiled.first_words.get(scope, [])
+        values = words if shape == "1" else _sequences(words, shape, first)
     return F.transform(values, lambda v: F.struct(F.lit(scope).alias("scope"), v.alias("key")))
 
 
@@ -227,7 +265,7 @@ def saved_query_matches(articles: DataFrame, compiled: CompiledQueries) -> DataF
     if not compiled.scopes:
         return articles.where(F.lit(False)).select(F.lit(0).alias("query_id"), ID)
     articles = articles.where(date_between(compiled.date_lower, compiled.date_upper))
-    keys = article_keys(articles, compiled.scopes, compiled.first_words)
+    keys = article_keys(articles, compiled)
     filters = compiled.rules.drop("alts")
     hits = keys.join(compiled.lookup, ["scope", "key"]).join(filters, "query_id").where(
         F.col(DATE).between(F.col("date_lower"), F.col("date_upper"))

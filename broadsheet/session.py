@@ -58,12 +58,12 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str = "identifier") -> DataFrame:
-    """Spread an input that has fewer splits than the cluster has cores.
+    """Spread a scan that keeps at most half of the cores busy.
 
-    A small or unsplittable input (one row group, one gzip file) would keep a single core
-    busy. A large one already has more splits than cores and is returned as it is.
+    A small or unsplittable input (one row group, one gzip file) would leave most cores
+    idle. A large one has more splits than cores and is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() * 2 > cores:
         return df
     return df.repartition(cores, F.col(key))

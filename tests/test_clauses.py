@@ -215,6 +215,13 @@ def test_many_phrases_need_no_first_words(articles, spark, monkeypatch):
     assert run(articles, spark, clauses) == {i: expected(c) for i, c in enumerate(clauses)}
 
 
+def test_patterns_with_many_words_are_tested_in_place(articles, spark, monkeypatch):
+    monkeypatch.setattr(batch, "_MOST_WORDS", 1)
+    rng = random.Random(5)
+    clauses = [c for c, _ in CASES.values()] + [random_clause(rng) for _ in range(25)]
+    assert run(articles, spark, clauses) == {i: expected(c) for i, c in enumerate(clauses)}
+
+
 def test_stored_words_give_the_same(articles, spark, plan_of):
     stored = durable(with_words(articles))
     rng = random.Random(3)
