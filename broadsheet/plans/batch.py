@@ -31,7 +31,7 @@ CLAUSE_COLUMNS = (
 )
 _BITS = 62
 _MOST_FIRST_WORDS = 2000
-_MOST_WORDS = 5000
+_MOST_PATTERN_ROWS = 200_000
 _PATTERN_KINDS = ("wildcard", "fuzzy")
 _PATTERN = ["kind", "pattern", "distance"]
 
@@ -135,16 +135,19 @@ def _test_scope() -> Column:
 
 
 def _wide_patterns(by_pattern: DataFrame, terms: DataFrame) -> tuple[DataFrame, dict[str, Leaf]]:
-    """Patterns with so many words that testing each word of an article costs less.
+    """Patterns with so many words that they are tested on the words of each article.
 
-    They keep the lookup small: it holds a bounded number of words for each pattern.
+    Patterns are taken by size, smallest first, as long as their lookup rows stay below a
+    fixed number. So the lookup can be broadcast, whatever the vocabulary.
     """
-    sizes = terms.groupBy(*_PATTERN).agg(F.count(F.lit(1)).alias("words"))
-    wide = sizes.where(F.col("words") > _MOST_WORDS).select(*_PATTERN)
+    sizes = by_pattern.join(terms, _PATTERN).groupBy(*_PATTERN).agg(F.count(F.lit(1)).alias("rows"))
+    # One row for each pattern that a user wrote.
+    running = Window.orderBy("rows", *_PATTERN).rowsBetween(Window.unboundedPreceding, 0)
+    total = sizes.withColumn("total", F.sum("rows").over(running))
+    wide = durable(total.where(F.col("total") > _MOST_PATTERN_ROWS).select(*_PATTERN))
     rows = by_pattern.join(wide, _PATTERN, "left_semi").select(
         "field", *_PATTERN, _test_scope().alias("scope")
     )
-    # One row for each such pattern that a user wrote.
     tests = {
         r["scope"]: Leaf(r["kind"], r["pattern"], r["distance"], r["field"])
         for r in rows.distinct().collect()

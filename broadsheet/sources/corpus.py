@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import DATE, ID
 from ..session import durable
+from .bulk_json import read_bulk
 
 
 def latest_by_id(articles: DataFrame) -> DataFrame:
@@ -38,6 +39,11 @@ def write_corpus(articles: DataFrame, path: str, mode: str = "append") -> None:
     with_year(articles).hint("rebalance", "year").write.mode(mode).partitionBy("year").parquet(path)
 
 
+def load_bulk(spark: SparkSession, bulk: str | list[str], path: str) -> None:
+    """Add the articles of bulk NDJSON files to a corpus."""
+    write_corpus(read_bulk(spark, bulk), path)
+
+
 def read_corpus(spark: SparkSession, path: str, date_lower=None, date_upper=None) -> DataFrame:
     """Stored articles; a date range also prunes the year folders."""
     articles = spark.read.parquet(path)

@@ -30,6 +30,11 @@ def read_saved_queries(spark: SparkSession, path: str, format: str = "parquet",
     return typed(reader.load(path) if path else reader.load())
 
 
+def as_json(queries: DataFrame) -> DataFrame:
+    """``(id, json)``: each query as one JSON document, to hand to another job."""
+    return queries.select("id", F.to_json(F.struct(*queries.columns)).alias("json"))
+
+
 def in_random_order(queries: DataFrame, seed: int) -> DataFrame:
     return queries.orderBy(F.rand(seed))
 

@@ -394,6 +394,11 @@ def _batch(spark: SparkSession, sf: str) -> batch.BatchResult:
     )
 
 
+@query
+def query_json(spark, sf):
+    return saved_queries.as_json(_saved(spark, sf)[0])
+
+
 @query
 def decode_exclusions(spark, sf):
     return saved_queries.decode_exclusions(_saved(spark, sf)[0])

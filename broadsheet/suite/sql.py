@@ -234,6 +234,7 @@ def oracle_sql() -> dict[str, str]:
         "wordcloud_tv": f"with {SELECTED} {word_count} (select unnest({analyzed(CLOUD_TEXT)}) as term from selected) where length(term) >= 2 group by term",
         "wordcloud_stopwords": f"with {ARTICLES} {word_count} (select unnest({stripped(CLOUD_TEXT, 2)}) as term from articles) where term not in (select unnest({analyzed('text')}) from benchmark) group by term",
         "wordcloud_response": f"with {SELECTED}, top as ({word_count} (select unnest({stripped(CLOUD_TEXT, 2)}) as term from selected) group by term order by count desc, term limit 100) select max(count) as max_count, cast(to_json(list(struct_pack(term := term, count := count) order by count desc, term)) as varchar) as result, 'ok' as status, false as burstcloud from top",
+        "query_json": f"with {QUERIES} select id, cast(to_json(struct_pack(id := id, query := query, date_lower := date_lower, date_upper := date_upper, exclude_article_type := list_filter(string_split(types, '+'), lambda x: x <> ''), exclude_distributions := list_filter(string_split(places, '+'), lambda x: x <> ''), user_id := user_id)) as varchar) as json from stored",
         "decode_exclusions": f"with {QUERIES}, {LABELS}, {EXCLUDED} select id, kind, code, label from excluded",
         "saved_query_counts": f"with {BATCH} select query_id, count from counted",
         "query_size_gate": f"with {BATCH} select query_id, status from gated",

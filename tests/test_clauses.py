@@ -216,7 +216,7 @@ def test_many_phrases_need_no_first_words(articles, spark, monkeypatch):
 
 
 def test_patterns_with_many_words_are_tested_in_place(articles, spark, monkeypatch):
-    monkeypatch.setattr(batch, "_MOST_WORDS", 1)
+    monkeypatch.setattr(batch, "_MOST_PATTERN_ROWS", 20)
     rng = random.Random(5)
     clauses = [c for c, _ in CASES.values()] + [random_clause(rng) for _ in range(25)]
     assert run(articles, spark, clauses) == {i: expected(c) for i, c in enumerate(clauses)}

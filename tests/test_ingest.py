@@ -77,6 +77,9 @@ def test_bulk_round_trip(spark, archive, tmp_path):
     again = bulk_json.read_bulk(spark, out)
     assert again.schema == ARTICLE_SCHEMA
     assert sorted(again.collect()) == sorted(articles.collect())
+    corpus.load_bulk(spark, out, str(tmp_path / "corpus"))
+    loaded = corpus.read_corpus(spark, str(tmp_path / "corpus"))
+    assert sorted(loaded.select(*ARTICLE_COLUMNS).collect()) == sorted(articles.collect())
 
 
 def test_only_new_files_are_ingested(spark, archive, tmp_path):
