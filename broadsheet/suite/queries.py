@@ -169,8 +169,9 @@ def incremental_ingest(spark, sf):
 @query
 def bulk_roundtrip(spark, sf):
     path = shared_dir(spark)
-    bulk_json.write_bulk(scanned(spark, sf), path)
-    return bulk_json.read_bulk(spark, path).select(*scanned(spark, sf).columns)
+    source = articles(spark, sf)
+    bulk_json.write_bulk(source, path)
+    return bulk_json.read_bulk(spark, path).select(*source.columns)
 
 
 @query
