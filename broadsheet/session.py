@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_WRITTEN: list[str] = []
+
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 )
@@ -32,18 +35,44 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, which every executor can reach.
+def shared_base(spark: SparkSession) -> str:
+    """The folder that the driver and every executor can reach.
 
-    Only a local session may leave the setting out; it then gets a temporary folder.
+    ``spark.checkpoint.dir`` of the session, or else the folder given to
+    ``SparkContext.setCheckpointDir``. Where both are unset, a session that runs in one
+    process sets a folder of its own; any other is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="broadsheet-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/broadsheet/{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if re.fullmatch(r"local(\[[^\]]*\])?", context.master) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="broadsheet-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A path not yet used under ``shared_base``."""
+    path = f"{shared_base(spark)}/broadsheet/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the folders that this process has asked for so far; how many there were.
+
+    Call it when results that were built on them have been written. Frames that still read
+    them can no longer be evaluated.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def durable(df: DataFrame) -> DataFrame:
