@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, lines, packing, piece_counts, shards
+from . import byte_bpe, lines, packing, piece_counts, shards, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,3 +61,9 @@ def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), tokens.alias("n_tokens")
     )
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@query
+def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.withColumn("fingerprint", simhash.hexadecimal(F.col("fingerprint")))
