@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, lines, packing, piece_counts, shards, simhash
+from . import byte_bpe, language, lines, packing, piece_counts, shards, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,22 @@ def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.withColumn("fingerprint", simhash.hexadecimal(F.col("fingerprint")))
+
+
+@query
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = language.predicted(docs, language.fit(docs))
+    return docs.select("doc_id", language.held_out().alias("held_out"), found.alias("found")).select(
+        "doc_id", "held_out", "found.*"
+    )
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(docs, table(spark, sf, "labels"))
+    scored = docs.select(
+        "doc_id", language.held_out().alias("held_out"), toxicity.score(docs, model).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
