@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, lines, packing, piece_counts, shards, simhash, toxicity
+from . import (
+    ann,
+    byte_bpe,
+    language,
+    lines,
+    packing,
+    piece_counts,
+    shards,
+    simhash,
+    topk,
+    toxicity,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +97,13 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", language.held_out().alias("held_out"), toxicity.score(docs, model).alias("score")
     )
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op6_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.nearest(table(spark, sf, "embeddings"), k=20, every=20)
+
+
+@query
+def op10_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings"), k=10, every=100)

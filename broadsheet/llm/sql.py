@@ -26,6 +26,23 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
 from marked group by doc_id
 """
 
+_TOP_K = """
+with whole as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id,
+    cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from whole q join whole c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+), numbered as (
+  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank
+  from scored
+)
+select query_id, rank, vec_id, score from numbered where rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _LINE_DEDUP}
+    return {"op4_line_dedup": _LINE_DEDUP, "op10_exact_top_k": _TOP_K}
