@@ -77,7 +77,8 @@ def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
-    return found.withColumn("fingerprint", simhash.hexadecimal(F.col("fingerprint")))
+    digits = simhash.hexadecimal(F.col("fingerprint"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 @query

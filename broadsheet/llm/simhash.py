@@ -205,7 +205,7 @@ def near_duplicates(
     size: int = 3,
     radius: int = 2,
 ) -> DataFrame:
-    """``doc_id, fingerprint`` (signed), ``component_id``: the smallest doc_id that links reach.
+    """``doc_id, text_hash, fingerprint`` (signed), ``component_id``: the smallest linked doc_id.
 
     Documents link where their fingerprints differ in at most ``radius`` bits. Copies meet
     in one row a fingerprint first, so links join texts that differ. Texts without words
@@ -213,8 +213,10 @@ def near_duplicates(
     have their group's smallest id, null if it has none. An empty table gives no rows.
     """
     marked = durable(
-        docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).select(
-            "doc_id", fingerprint(F.col("text"), size).alias("fingerprint")
+        docs.select(
+            F.col(doc_id).cast("bigint").alias("doc_id"),
+            text_hash(text).alias("text_hash"),
+            fingerprint(F.col(text), size).alias("fingerprint"),
         )
     )
     distinct = durable(
@@ -227,10 +229,15 @@ def near_duplicates(
         "fingerprint", "rows", F.coalesce("component", "id").alias("component_id")
     )
     return lookup(marked, durable(labels), ["fingerprint"], "rows", marked.count()).select(
-        "doc_id", "fingerprint", "component_id"
+        "doc_id", "text_hash", "fingerprint", "component_id"
     )
 
 
+def text_hash(text: str) -> Column:
+    """A hash of a text, to tell rows with the same id apart; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def hexadecimal(fingerprint: Column) -> Column:
     """The 16 lower-case hex digits of a signed 64-bit number."""
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
