@@ -30,16 +30,13 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if top < 1 << 52:
         return (a @ b.T).astype(np.int64)
-    exact = np.array(a.astype(object) @ b.astype(object).T, object).reshape(len(a), len(b))
+    exact = _exact(a) @ _exact(b).T
     return np.clip(exact, -_MOST, _MOST).astype(np.int64)
 
 
-def _whole(column: pd.Series) -> np.ndarray:
-    """Whole numbers, as doubles where all are exact, else as Python's integers."""
-    values = matrix(column)
-    if values.size and np.abs(values).max() >= 1 << 53:
-        return np.vectorize(int, otypes=[object])(values)
-    return values
+def _exact(values: np.ndarray) -> np.ndarray:
+    """Whole doubles as Python's integers."""
+    return np.vectorize(int, otypes=[object])(values)
 
 
 def _lists(width: int) -> list[slice]:
@@ -51,21 +48,19 @@ def _local_lists(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.
     """Phase one: the k best full scores among the first entries of this block's lists."""
     out = []
     if len(queries) and len(candidates):
-        b = _whole(candidates["v"])
+        b = matrix(candidates["v"])
         ids = [np.asarray(i) for i in candidates["ids"]]
         take = min(k + 1, len(b))
         for at in range(0, len(queries), ROWS):
             part = queries.iloc[at : at + ROWS]
-            a = _whole(part["v"])
-            total = np.zeros((len(a), len(b)), np.int64)
-            first = np.zeros(total.shape, bool)
+            a = matrix(part["v"])
+            first = np.zeros((len(a), len(b)), bool)
             for s in _lists(b.shape[1]):
                 partial = _products(a[:, s], b[:, s])
-                total += partial
                 best = np.argpartition(partial, len(b) - take, axis=1)[:, len(b) - take :]
                 np.put_along_axis(first, best, True, axis=1)
             row, col = np.nonzero(first)
-            out.append(best_pairs(row, col, total[row, col], part["vec_id"].to_numpy(), ids, k))
+            out.append(best_pairs(row, col, _pairs(a, b, row, col), part["vec_id"].to_numpy(), ids, k))
     return together(out, dict.fromkeys(("query_id", "vec_id", "score"), "int64"))[["query_id", "score"]]
 
 
@@ -73,22 +68,20 @@ def _resolved(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.Dat
     """Phases two and three on one pair of blocks."""
     out = []
     if len(queries) and len(candidates):
-        b = _whole(candidates["v"])
+        b = matrix(candidates["v"])
         ids = [np.asarray(i) for i in candidates["ids"]]
         lists = _lists(b.shape[1])
         for at in range(0, len(queries), ROWS):
             part = queries.iloc[at : at + ROWS]
-            a = _whole(part["v"])
+            a = matrix(part["v"])
             cutoff = part["cutoff"].to_numpy()
-            enough = -(-cutoff // len(lists))  # rounded up: partial scores are whole
+            # Rounded up: partial scores are whole. The least number stands for "no cutoff".
+            enough = np.where(cutoff == -_MOST, -_MOST, -(-cutoff // len(lists)))
             reached = np.zeros((len(a), len(b)), bool)
             for s in lists:
                 reached |= _products(a[:, s], b[:, s]) >= enough[:, None]
             row, col = np.nonzero(reached)
-            score = np.concatenate(
-                [_pairs(a, b, row[i : i + PAIRS], col[i : i + PAIRS]) for i in range(0, len(row), PAIRS)]
-                or [np.zeros(0, np.int64)]
-            )
+            score = _pairs(a, b, row, col)
             kept = score >= cutoff[row]
             own = part["vec_id"].to_numpy()
             out.append(best_pairs(row[kept], col[kept], score[kept], own, ids, k))
@@ -96,11 +89,18 @@ def _resolved(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.Dat
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
-    """Exact products of pairs of rows."""
-    if a.dtype == object or b.dtype == object or float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] >= 1 << 52:
-        both = a.astype(object)[row] * b.astype(object)[col]
-        return np.clip(both.sum(axis=1), -_MOST, _MOST).astype(np.int64)
-    return np.einsum("ij,ij->i", a[row], b[col]).astype(np.int64)
+    """Exact products of pairs of rows, some PAIRS at a time."""
+    top = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1]
+    if top >= 1 << 52:
+        a, b = _exact(a), _exact(b)
+    out = np.zeros(len(row), np.int64)
+    for at in range(0, len(row), PAIRS):
+        left, right = a[row[at : at + PAIRS]], b[col[at : at + PAIRS]]
+        if top < 1 << 52:
+            out[at : at + PAIRS] = np.einsum("ij,ij->i", left, right)
+        else:
+            out[at : at + PAIRS] = np.clip((left * right).sum(axis=1), -_MOST, _MOST)
+    return out
 
 
 def top_k(
