@@ -89,8 +89,16 @@ class Model:
         return found, score
 
 
-def fit_rows(bits: np.ndarray, labels: list[str], landmarks: int = 256, ridge: float = 1e-3) -> Model:
-    """One-versus-rest kernel ridge regression on the Nystroem map of presence rows.
+def _unit(packed: np.ndarray) -> np.ndarray:
+    """Presence rows of length one from packed bits."""
+    rows = np.unpackbits(packed, axis=1).astype(np.float32)
+    return rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
+
+
+def fit_rows(packed: np.ndarray, labels: list[str], landmarks: int = 256, ridge: float = 1e-3) -> Model:
+    """One-versus-rest kernel ridge regression on the Nystroem map of packed presence rows.
+
+    Rows are unpacked some at a time: all of them would be 64 kB each.
 
     The first rows of each language, in turns, are the landmarks. One language gives a model
     that always answers it; none gives a model that answers ``und``.
@@ -103,12 +111,13 @@ def fit_rows(bits: np.ndarray, labels: list[str], landmarks: int = 256, ridge: f
     for c in range(len(languages)):
         turn[kind == c] = np.arange((kind == c).sum())
     chosen = np.lexsort((kind, turn))[:landmarks]
-    unit = bits.astype(np.float64) / np.sqrt(np.maximum(bits.sum(axis=1, keepdims=True), 1))
-    marks = unit[chosen]
-    values, vectors = np.linalg.eigh(marks @ marks.T)
+    marks = _unit(packed[chosen])
+    parts = [_unit(packed[at : at + ROWS]) @ marks.T for at in range(0, len(packed), ROWS)]
+    kernel = np.concatenate(parts).astype(np.float64)
+    values, vectors = np.linalg.eigh(kernel[chosen])
     kept = values > 1e-8 * values.max()
     whiten = vectors[:, kept] / np.sqrt(values[kept])
-    mapped = unit @ marks.T @ whiten
+    mapped = kernel @ whiten
     target = np.where(kind[:, None] == np.arange(len(languages)), 1.0, -1.0)
     middle, level = mapped.mean(axis=0), target.mean(axis=0)
     centred = mapped - middle
@@ -139,7 +148,7 @@ def fit(
     ).where(learnable("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = usable.groupBy("lang").count().collect()  # one row a language
     if not counts:
-        return fit_rows(np.zeros((0, BUCKETS), bool), [])
+        return fit_rows(np.zeros((0, BUCKETS // 8), np.uint8), [])
     share = max(1, sample_rows // len(counts))
     drawn = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, share / n))])
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
@@ -151,14 +160,14 @@ def fit(
     )
     rows = (
         usable.where(chance < F.try_element_at(drawn, F.col("lang")))
-        .limit(2 * sample_rows)
         .select("doc_id", "lang", bits(F.col("text")).alias("bits"))
+        .limit(2 * sample_rows)
         .toPandas()
         .dropna(subset=["bits"])
         .sort_values(["doc_id", "lang", "bits"])
     )
     found = np.array([np.frombuffer(b, np.uint8) for b in rows["bits"]], np.uint8).reshape(-1, BUCKETS // 8)
-    return fit_rows(np.unpackbits(found, axis=1).astype(bool), rows["lang"].tolist(), landmarks)
+    return fit_rows(found, rows["lang"].tolist(), landmarks)
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> Column:

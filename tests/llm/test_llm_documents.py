@@ -134,7 +134,7 @@ def test_folded_weights_are_the_kernel_machine():
     rng = np.random.default_rng(0)
     bits = rng.random((60, language.BUCKETS)) < 0.02
     labels = ["a", "b", "c"] * 20
-    model = language.fit_rows(bits, labels, landmarks=60, ridge=1e-2)
+    model = language.fit_rows(np.packbits(bits, axis=1), labels, landmarks=60, ridge=1e-2)
     kernel = (bits.astype(float) @ bits.T) / np.sqrt(np.outer(bits.sum(1), bits.sum(1)))
     target = np.where(np.array(labels)[:, None] == np.array(["a", "b", "c"]), 1.0, -1.0)
     middle = kernel.mean(0)
@@ -142,7 +142,7 @@ def test_folded_weights_are_the_kernel_machine():
     level = target.mean(0)
     want = level + centred @ np.linalg.solve(centred + 1e-2 * 60 * np.eye(60), target - level)
     assert np.abs(model.scores(bits.astype(np.float32)) - want).max() < 0.02
-    assert language.fit_rows(bits[:3], ["a"] * 3).predict(["some text"])[0] == ["a"]
+    assert language.fit_rows(np.packbits(bits[:3], axis=1), ["a"] * 3).predict(["some text"])[0] == ["a"]
 
 
 def test_presence_does_not_depend_on_the_cut(monkeypatch):
