@@ -3,7 +3,7 @@
 A clause is evaluated over *positioned tokens* (``tokens.analyzed_positions``): lower-cased
 words in order, with an empty string where a stop word stood. Build clauses with the
 functions below and use them through ``operators.filters.search``, or turn a clause into
-rows for the saved-query batch with ``alternatives``.
+rows for the saved-query batch with ``clause_rows``.
 
     all_of(term("film"), any_of(phrase("greta garbo"), wildcard("bioscoop*")))
 """
@@ -14,7 +14,6 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -119,7 +118,7 @@ def not_(part: Clause) -> Clause:
 
 def bool_match(must: list = (), should: list = (), must_not: list = ()) -> Clause:
     """Every ``must``, no ``must_not``; some ``should`` counts only where ``must`` is empty."""
-    required = list(must) or [any_of(*should)]
+    required = _kept(tuple(must)) or (any_of(*should),)
     return all_of(*required, *[not_(p) for p in must_not])
 
 
@@ -238,39 +237,95 @@ def hint(clause: Clause, lowered: PerField) -> Column | None:
     return None
 
 
-# --- alternatives for the saved-query batch ---------------------------------------------
+# --- rows for the saved-query batch -----------------------------------------------------
 
 
 @dataclass(frozen=True)
-class Alternative:
-    """A conjunction: one leaf of every group holds, and no leaf of ``never`` does."""
-
-    groups: tuple[frozenset[Leaf], ...] = ()
-    never: frozenset[Leaf] = frozenset()
-
-
-def alternatives(clause: Clause) -> list[Alternative]:
-    """The clause as a disjunction of alternatives; none for a clause that matches nothing."""
-    return [] if isinstance(clause, Nothing) else _alternatives(clause, True)
+class ClauseRow:
+    """One leaf of a group. ``node`` 0 is the query; other nodes are sub-clauses of it.
 
+    A node holds if one of its alternatives does: every group has a leaf that holds, and no
+    leaf of a negated group does. A leaf of kind ``node`` holds if that node (a larger number)
+    does.
+    """
 
-def _alternatives(clause: Clause, wanted: bool) -> list[Alternative]:
-    match clause:
-        case Leaf():
-            one = frozenset([clause])
-            return [Alternative((one,)) if wanted else Alternative(never=one)]
-        case Never(part):
-            return _alternatives(part, not wanted)
-    parts = [_alternatives(p, wanted) for p in clause.parts]
-    if isinstance(clause, Every) == wanted:
-        return [_both(choice) for choice in product(*parts)]
-    flat = [a for part in parts for a in part]
-    mergeable = [a for a in flat if len(a.groups) == 1 and not a.never]
-    other = [a for a in flat if a not in mergeable]
-    merged = frozenset(leaf for a in mergeable for leaf in a.groups[0])
-    return ([Alternative((merged,))] if merged else []) + other
-
-
-def _both(choice: tuple[Alternative, ...]) -> Alternative:
-    groups = dict.fromkeys(g for a in choice for g in a.groups)
-    return Alternative(tuple(groups), frozenset(leaf for a in choice for leaf in a.never))
+    node: int
+    alt: int
+    grp: int
+    neg: bool
+    leaf: Leaf
+
+
+_Group = tuple[frozenset[Leaf], bool]
+
+
+class _Rows:
+    """Numbers the sub-clauses that are no plain groups, so nothing is multiplied out."""
+
+    def __init__(self):
+        self.rows: list[ClauseRow] = []
+        self.nodes: dict[tuple, int] = {}
+
+    def define(self, clause: Clause, wanted: bool) -> int:
+        if (clause, wanted) not in self.nodes:
+            node = self.nodes[clause, wanted] = len(self.nodes)
+            for alt, groups in enumerate(self.alternatives(clause, wanted)):
+                for grp, (members, neg) in enumerate(dict.fromkeys(groups)):
+                    for leaf in sorted(members, key=repr):
+                        self.rows.append(ClauseRow(node, alt, grp, neg, leaf))
+        return self.nodes[clause, wanted]
+
+    def alternatives(self, clause: Clause, wanted: bool) -> list[list[_Group]]:
+        if _is_all(clause, wanted):
+            return [self.groups(clause, wanted)]
+        found, plain = [], set()
+        for part, want in _flat(clause, wanted):
+            if isinstance(part, Leaf) and want:
+                plain.add(part)
+            else:
+                found.append(self.groups(part, want))
+        return ([[(frozenset(plain), False)]] if plain else []) + found
+
+    def groups(self, clause: Clause, wanted: bool) -> list[_Group]:
+        """Groups that all must hold."""
+        if isinstance(clause, Leaf):
+            return [(frozenset([clause]), not wanted)]
+        if _is_all(clause, wanted):
+            return [g for part, want in _flat(clause, wanted) for g in self.groups(part, want)]
+        parts = _flat(clause, wanted)
+        if all(isinstance(p, Leaf) and want for p, want in parts):
+            return [(frozenset(p for p, _ in parts), False)]
+        return [(frozenset([Leaf("node", str(self.define(clause, wanted)))]), False)]
+
+
+def _bare(clause: Clause, wanted: bool) -> tuple[Clause, bool]:
+    while isinstance(clause, Never):
+        clause, wanted = clause.part, not wanted
+    return clause, wanted
+
+
+def _is_all(clause: Clause, wanted: bool) -> bool:
+    clause, wanted = _bare(clause, wanted)
+    return not isinstance(clause, Leaf) and isinstance(clause, Every) == wanted
+
+
+def _flat(clause: Clause, wanted: bool) -> list[tuple[Clause, bool]]:
+    """The parts of a clause, with those of the same kind inside it taken up."""
+    clause, wanted = _bare(clause, wanted)
+    if isinstance(clause, Leaf):
+        return [(clause, wanted)]
+    out = []
+    for part in clause.parts:
+        part, want = _bare(part, wanted)
+        same = not isinstance(part, Leaf) and _is_all(part, want) == _is_all(clause, wanted)
+        out += _flat(part, want) if same else [(part, want)]
+    return out
+
+
+def clause_rows(clause: Clause) -> list[ClauseRow]:
+    """The clause as rows, as many as it has leaves; none for a clause that matches nothing."""
+    if isinstance(clause, Nothing):
+        return []
+    made = _Rows()
+    made.define(clause, True)
+    return made.rows

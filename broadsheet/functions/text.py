@@ -23,6 +23,30 @@ def escape_ampersands(markup: Column) -> Column:
     return F.replace(markup, F.lit("&"), F.lit("&amp;"))
 
 
+def escape_markup(markup: Column) -> Column:
+    """Markup in which every ``&`` is text, and CDATA sections are written as escaped text.
+
+    What stands in a section comes out of ``html_unescape`` as it was; its ``<`` begins no
+    element. A section that does not end is left, so the markup stays malformed.
+    """
+
+    def section(part: Column, at: Column) -> Column:
+        inside = F.substring_index(part, "]]>", 1)
+        text = F.replace(F.replace(inside, F.lit("&"), F.lit("&amp;amp;")), F.lit("<"), F.lit("&amp;lt;"))
+        after = escape_ampersands(F.substr(part, F.length(inside) + 4))
+        open_ = F.concat(F.lit("<![CDATA["), escape_ampersands(part))
+        return (
+            F.when(at == 0, escape_ampersands(part))
+            .when(part.contains("]]>"), F.concat(text, after))
+            .otherwise(open_)
+        )
+
+    parts = F.transform(F.split(markup, r"<!\[CDATA\["), section)
+    return F.when(markup.contains("<![CDATA["), F.array_join(parts, "")).otherwise(
+        escape_ampersands(markup)
+    )
+
+
 _REFERENCE = r"^(#[xX][0-9a-fA-F]+|#[0-9]+|\w{1,8});"
 
 

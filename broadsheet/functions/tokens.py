@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,10 +34,10 @@ WORD_PATTERN = (
     rf"|\p{{N}}++(?:{_MID_NUMBER}\p{{N}}++)*+"
     r"|_++)++"
 )
-# The same for the few words of a query, which are analysed where the query is written.
-_QUERY_WORD = re.compile(
-    rf"(?:[^\W\d_]+(?:{_MID_LETTER}[^\W\d_]+)*|\d+(?:{_MID_NUMBER}\d+)*|_+)+"
-)
+# The same for the few words of a query, which are analysed where the query is written. Python's
+# patterns know no marks, so letters and marks are written as ``a`` and numbers as ``0`` first.
+_QUERY_WORD = re.compile(rf"(?:a+(?:{_MID_LETTER}a+)*|0+(?:{_MID_NUMBER}0+)*|_+)+")
+_KINDS = {"L": "a", "M": "a", "N": "0"}
 
 
 def joined(*columns: Column | str) -> Column:
@@ -98,5 +99,9 @@ def positions_of(lowered: Column) -> Column:
 
 def analyze_query(text: str) -> list[str]:
     """The words of a query text; a stop word leaves an empty string, as above."""
-    found = [w for w in _QUERY_WORD.findall(text.lower()) if w.strip("_")]
+    lower = text.lower()
+    other = lambda c: c if c in "'’‘.:·,;_" else " "
+    kinds = "".join(_KINDS.get(unicodedata.category(c)[0], other(c)) for c in lower)
+    found = [lower[m.start() : m.end()] for m in _QUERY_WORD.finditer(kinds)]
+    found = [w for w in found if w.strip("_")]
     return ["" if w in DUTCH_STOP_WORDS else w for w in found]

@@ -91,9 +91,8 @@ def average_words(articles: DataFrame) -> DataFrame:
 
 
 def articles_per_source(articles: DataFrame, source: str = "zipfilename") -> DataFrame:
-    """Articles of each input file, and of all of them in a last row without a file."""
-    per_file = articles.groupBy(F.col(source).alias("source")).agg(
-        F.count(F.lit(1)).alias("articles")
+    """``source, articles, total``: each input file, and all of them in a row where total is true."""
+    counted = articles.rollup(F.col(source).alias("source")).agg(
+        F.count(F.lit(1)).alias("articles"), (F.grouping("source") == 1).alias("total")
     )
-    total = per_file.agg(F.coalesce(F.sum("articles"), F.lit(0)).alias("articles"))
-    return per_file.unionByName(total.select(F.lit(None).cast("string").alias("source"), "articles"))
+    return counted.select("source", "articles", "total")

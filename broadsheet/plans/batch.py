@@ -1,12 +1,15 @@
 """All saved queries over the corpus in one pass.
 
-A query is a disjunction of alternatives. An alternative is a set of groups, each of which
-needs one hit, and of negated groups, which must have none. The rows of the clause table
-carry ``(query_id, alt, grp, neg, field, kind, pattern, distance)``.
+The clause table holds ``(query_id, node, alt, grp, neg, field, kind, pattern, distance)``. Node 0
+is the query itself; it is a disjunction of alternatives, and an alternative is a set of groups,
+each of which needs one hit, and of negated groups, which must have none. A leaf of kind ``node``
+stands for a sub-clause with rows of its own under a larger number, so a table grows with the
+text of its queries, however they are nested. ``node`` may be left out where all is node 0.
 
 Every group becomes a bit. Words (and word sequences, for phrases) of the articles are
 joined to the clause table on equality, hits are or-ed together per query and article, and
-an article matches when the bits of one alternative are right. Nothing but hits is shuffled.
+the bits are then carried from the innermost sub-clauses to the query. Words that no query
+uses fall out before the join, by a bitmap of fixed size. Nothing but hits is shuffled.
 """
 
 from __future__ import annotations
@@ -17,23 +20,33 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.clauses import Clause, Leaf, alternatives, word_test
-from ..functions.tokens import analyzed_pieces, analyzed_positions, is_stop_word, is_word, joined
+from ..functions.clauses import Clause, clause_rows
+from ..functions.tokens import (
+    analyzed_pieces,
+    analyzed_positions,
+    is_stop_word,
+    is_word,
+    joined,
+    stripped_pieces,
+)
+from ..operators.counts import token_count
 from ..operators.filters import date_between, size_gate
 from ..schema import ALL, CLOUD_FIELDS, DATE, ID, SEARCH_FIELDS, SEARCH_TEXT, SPATIAL, STORED_WORDS, SUBJECT
 from ..session import durable
 from ..sources.saved_queries import with_labels
-from .expand import expand
+from .expand import expand, expand_lengths
 
 CLAUSE_COLUMNS = (
-    "query_id int, alt int, grp int, neg boolean, field string, kind string, "
+    "query_id int, node int, alt int, grp int, neg boolean, field string, kind string, "
     "pattern string, distance int"
 )
 _BITS = 62
-_MOST_FIRST_WORDS = 2000
-_MOST_PATTERN_ROWS = 200_000
+#: Bits of the map of words in use. It only saves work, and has this size for any table.
+_MAP_BITS = 1 << 18
 _PATTERN_KINDS = ("wildcard", "fuzzy")
 _PATTERN = ["kind", "pattern", "distance"]
+# What stands after the field in a scope: one word, any word at all, the length of a word.
+_WORD, _SOME, _LENGTH = "1", "some", "length"
 
 
 @dataclass(frozen=True)
@@ -56,13 +69,11 @@ def query_tables(spark: SparkSession, saved: list[SavedQuery]) -> tuple[DataFram
             (q.id, q.query, q.date_lower, q.date_upper, list(q.exclude_article_type),
              list(q.exclude_distributions), q.user_id)
         )
-        for alt, choice in enumerate(alternatives(q.clause)):
-            groups = [(g, False) for g in choice.groups] + [({n}, True) for n in choice.never]
-            for grp, (members, neg) in enumerate(groups):
-                for leaf in members:
-                    clauses.append(
-                        (q.id, alt, grp, neg, leaf.field, leaf.kind, leaf.pattern, leaf.distance)
-                    )
+        for row in clause_rows(q.clause):
+            leaf = row.leaf
+            clauses.append(
+                (q.id, row.node, row.alt, row.grp, row.neg, leaf.field, leaf.kind, leaf.pattern, leaf.distance)
+            )
     schema = (
         "id int, query string, date_lower date, date_upper date, "
         "exclude_article_type array<string>, exclude_distributions array<string>, user_id int"
@@ -80,11 +91,10 @@ class CompiledQueries:
     """Small tables that the pass over the articles needs."""
 
     lookup: DataFrame  # scope, key -> query_id, word, bit
-    rules: DataFrame  # query_id -> filters, and alternatives as bit masks
+    rules: DataFrame  # query_id -> filters, and the steps of its program
     scopes: list[str] = field(default_factory=list)
     words: int = 1
-    first_words: dict[str, list[str]] = field(default_factory=dict)
-    tests: dict[str, Leaf] = field(default_factory=dict)
+    used: Column | None = None  # the bitmap, as an array of 64-bit numbers
     date_lower: date | None = None
     date_upper: date | None = None
 
@@ -92,30 +102,37 @@ class CompiledQueries:
 def compile_queries(queries: DataFrame, clauses: DataFrame, vocabulary: DataFrame) -> CompiledQueries:
     """Resolve clauses to keys and number their groups.
 
-    The small tables are stored, so that Catalyst knows their sizes, and the join of the
-    lookup with the articles is broadcast only if the stored table is small.
+    ``vocabulary`` holds the words of the articles that are searched (``corpus_vocabulary``); it
+    is read only if there are patterns. The tables are stored, so that Catalyst knows their
+    sizes, and a join with the articles is broadcast only if the stored table is small.
     """
-    clauses = durable(_numbered(_with_match_all(clauses)))
+    clauses = durable(_numbered(_analysed(clauses)))
     word = F.floor(F.col("slot") / _BITS).cast("int").alias("word")
-    # One row for each phrase shape and mask word: bounded by what users type.
+    # One row for each phrase shape, pattern kind and mask word: bounded by what users type.
     rows = clauses.select("scope", "kind", word).distinct().collect()
     words = max((r["word"] for r in rows), default=0) + 1
-    scopes = sorted({r["scope"] for r in rows})
 
     columns = ["scope", "key", "query_id", "slot"]
-    direct = ~F.col("kind").isin(*_PATTERN_KINDS)
-    keys = clauses.where(direct).select("scope", F.col("pattern").alias("key"), "query_id", "slot")
-    tests: dict[str, Leaf] = {}
+    leaves = clauses.where(F.col("kind") != "node")
+    keys = leaves.where(~F.col("kind").isin(*_PATTERN_KINDS)).withColumn("key", F.col("pattern")).select(columns)
     if any(r["kind"] in _PATTERN_KINDS for r in rows):
-        by_pattern = clauses.where(~direct)
-        terms = durable(expand(by_pattern, vocabulary).withColumnRenamed("term", "key"))
-        wide, tests = _wide_patterns(by_pattern, terms)
-        few = by_pattern.join(wide, _PATTERN, "left_anti").join(terms, _PATTERN)
-        in_place = by_pattern.join(wide, _PATTERN, "left_semi").withColumns(
-            {"scope": _test_scope(), "key": F.lit("")}
+        patterns = durable(leaves.where(F.col("kind").isin(*_PATTERN_KINDS)))
+        literal = (F.col("kind") == "fuzzy") | F.rlike("pattern", F.lit("[^*?]"))
+        marks = ~literal & F.contains(F.col("pattern"), F.lit("?"))
+        terms = expand(patterns.where(literal), vocabulary).withColumnRenamed("term", "key")
+        lengths = expand_lengths(patterns.where(marks), vocabulary)
+        as_scope = lambda name: F.concat_ws("/", "field", F.lit(name))
+        keys = (
+            keys.unionByName(patterns.join(terms, _PATTERN).select(columns))
+            .unionByName(
+                patterns.join(lengths, _PATTERN).withColumn("scope", as_scope(_LENGTH)).select(columns)
+            )
+            .unionByName(
+                patterns.where(~literal & ~marks)
+                .withColumns({"scope": as_scope(_SOME), "key": F.lit("")})
+                .select(columns)
+            )
         )
-        keys = keys.unionByName(few.select(columns)).unionByName(in_place.select(columns))
-        scopes += sorted(tests)
     lookup = keys.distinct().select(
         "scope",
         "key",
@@ -123,74 +140,60 @@ def compile_queries(queries: DataFrame, clauses: DataFrame, vocabulary: DataFram
         F.floor(F.col("slot") / _BITS).cast("int").alias("word"),
         _bit(F.col("slot")).alias("bit"),
     )
-    rules = with_labels(queries).join(_rules(clauses, words), "query_id")
+    rules = durable(with_labels(queries).join(_rules(clauses, words), "query_id"))
+    # A query that no hit at all satisfies must see every article.
+    no_hit = F.array(*[F.lit(0).cast("bigint")] * words)
+    bare = rules.where(_holds(no_hit, words)).select(
+        F.lit("doc").alias("scope"), F.lit("").alias("key"), "query_id",
+        F.lit(0).alias("word"), F.lit(0).cast("bigint").alias("bit"),
+    )
+    stored = durable(lookup.unionByName(bare))
+    scopes = sorted(r["scope"] for r in stored.select("scope").distinct().collect())
     span = queries.agg(F.min("date_lower"), F.max("date_upper")).first()
-    return CompiledQueries(
-        durable(lookup), durable(rules), scopes, words, _first_words(clauses), tests, *span
-    )
-
-
-def _test_scope() -> Column:
-    return F.concat_ws("/", F.lit("test"), "field", "kind", "distance", "pattern")
+    return CompiledQueries(stored, rules, scopes, words, _bitmap(stored), *span)
 
 
-def _wide_patterns(by_pattern: DataFrame, terms: DataFrame) -> tuple[DataFrame, dict[str, Leaf]]:
-    """Patterns with so many words that they are tested on the words of each article.
+def _analysed(clauses: DataFrame) -> DataFrame:
+    """Clauses as the analyser leaves articles: a stored pattern may be any text.
 
-    Patterns are taken by size, smallest first, as long as their lookup rows stay below a
-    fixed number. So the lookup can be broadcast, whatever the vocabulary.
+    Terms become one row a word, phrases lose stop words at their ends, patterns are written in
+    lower case. What has no word left is dropped, and with it a group of nothing else.
     """
-    sizes = by_pattern.join(terms, _PATTERN).groupBy(*_PATTERN).agg(F.count(F.lit(1)).alias("rows"))
-    # One row for each pattern that a user wrote.
-    running = Window.orderBy("rows", *_PATTERN).rowsBetween(Window.unboundedPreceding, 0)
-    total = sizes.withColumn("total", F.sum("rows").over(running))
-    wide = durable(total.where(F.col("total") > _MOST_PATTERN_ROWS).select(*_PATTERN))
-    rows = by_pattern.join(wide, _PATTERN, "left_semi").select(
-        "field", *_PATTERN, _test_scope().alias("scope")
+    if "node" not in clauses.columns:
+        clauses = clauses.withColumn("node", F.lit(0))
+    lower = F.lower("pattern")
+    # A place that is empty already stands for any one word.
+    blank = F.array(F.lit(""))
+    cut = F.transform(F.split("pattern", " "), lambda p: F.when(p == "", blank).otherwise(analyzed_positions(p)))
+    places = F.trim(F.array_join(F.flatten(cut), " "))
+    term = F.struct(F.lit("term").alias("kind"), F.lit(0).alias("distance"))
+    own = F.struct("kind", "distance")
+    with_pattern = lambda head, text: F.array(F.struct(text.alias("pattern"), head.alias("as")))
+    bare = (F.col("kind") == "wildcard") & ~F.rlike(lower, F.lit("[*?]"))
+    exact = (F.col("kind") == "fuzzy") & (F.col("distance") <= 0)
+    words = F.transform(
+        F.array_distinct(analyzed_positions(F.col("pattern"))),
+        lambda w: F.struct(w.alias("pattern"), term.alias("as")),
     )
-    tests = {
-        r["scope"]: Leaf(r["kind"], r["pattern"], r["distance"], r["field"])
-        for r in rows.distinct().collect()
-    }
-    return wide, tests
-
-
-def _first_words(clauses: DataFrame) -> dict[str, list[str]]:
-    """The words that phrases start with, by scope, or nothing when there are too many.
-
-    They only save work: without them every run of words in an article is looked up.
-    """
-    phrases = clauses.where(F.col("kind") == "phrase")
-    first = phrases.select("scope", F.substring_index("pattern", " ", 1).alias("word")).distinct()
-    rows = first.limit(_MOST_FIRST_WORDS + 1).collect()
-    found: dict[str, list[str]] = {}
-    if len(rows) <= _MOST_FIRST_WORDS:
-        for row in rows:
-            found.setdefault(row["scope"], []).append(row["word"])
-    return found
-
-
-def _with_match_all(clauses: DataFrame) -> DataFrame:
-    """An alternative of negated groups only gets a group that every article hits."""
-    bare = clauses.groupBy("query_id", "alt").agg(F.bool_and("neg").alias("bare")).where("bare")
-    extra = bare.select(
-        "query_id", "alt", F.lit(-1).alias("grp"), F.lit(False).alias("neg"), F.lit(ALL).alias("field"),
-        F.lit("any").alias("kind"), F.lit("").alias("pattern"), F.lit(0).alias("distance"),
-    )
-    return clauses.unionByName(extra)
+    made = (
+        F.when(F.col("kind") == "term", words)
+        .when((F.col("kind") == "phrase") & ~F.contains(places, F.lit(" ")), with_pattern(term, places))
+        .when(F.col("kind") == "phrase", with_pattern(own, places))
+        .when(bare | exact, with_pattern(term, lower))
+        .otherwise(with_pattern(own, lower))
+    )
+    kept = ["query_id", "node", "alt", "grp", "neg", "field"]
+    rows = clauses.where(F.col("pattern").isNotNull()).select(*kept, F.inline(made))
+    return rows.where(F.col("pattern") != "").select(*kept, "pattern", "as.kind", "as.distance").distinct()
 
 
 def _numbered(clauses: DataFrame) -> DataFrame:
     """Clauses with the scope of their key and the slot of their group in its query."""
-    group = Window.partitionBy("query_id").orderBy("alt", "neg", "grp")
+    group = Window.partitionBy("query_id").orderBy("node", "alt", "neg", "grp")
     shape = F.array_join(
         F.transform(F.split("pattern", " "), lambda w: F.when(w == "", "0").otherwise("1")), ""
     )
-    scope = (
-        F.when(F.col("kind") == "any", "doc")
-        .when(F.col("kind") == "phrase", F.concat_ws("/", "field", shape))
-        .otherwise(F.concat_ws("/", "field", F.lit("1")))
-    )
+    scope = F.concat_ws("/", "field", F.when(F.col("kind") == "phrase", shape).otherwise(F.lit(_WORD)))
     return clauses.withColumn("slot", F.dense_rank().over(group) - 1).withColumn("scope", scope)
 
 
@@ -198,26 +201,84 @@ def _bit(slot: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % _BITS).cast("int"))
 
 
-def _mask(word: int, neg: bool) -> Column:
-    here = (F.floor(F.col("slot") / _BITS) == word) & (F.col("neg") == neg)
-    return F.bit_or(F.when(here, _bit(F.col("slot"))).otherwise(F.lit(0).cast("bigint")))
+def _masks(words: int, test: Column) -> Column:
+    """The slots of the rows that pass, as one number for each mask word."""
+    here = [test & (F.floor(F.col("slot") / _BITS) == w) for w in range(words)]
+    none = F.lit(0).cast("bigint")
+    return F.array(*[F.bit_or(F.when(h, _bit(F.col("slot"))).otherwise(none)) for h in here])
 
 
 def _rules(clauses: DataFrame, words: int) -> DataFrame:
-    need = F.array(*[_mask(w, False) for w in range(words)]).alias("need")
-    never = F.array(*[_mask(w, True) for w in range(words)]).alias("never")
-    alts = clauses.groupBy("query_id", "alt").agg(need, never)
-    return alts.groupBy("query_id").agg(F.collect_list(F.struct("need", "never")).alias("alts"))
+    """The program of each query: its nodes, innermost first, and the slots that each one sets."""
+    alts = clauses.groupBy("query_id", "node", "alt").agg(
+        _masks(words, ~F.col("neg")).alias("need"), _masks(words, F.col("neg")).alias("never")
+    )
+    nodes = alts.groupBy("query_id", "node").agg(F.collect_list(F.struct("need", "never")).alias("alts"))
+    sets = (
+        clauses.where(F.col("kind") == "node")
+        .groupBy("query_id", F.col("pattern").cast("int").alias("node"))
+        .agg(_masks(words, F.lit(True)).alias("sets"))
+    )
+    none = F.array(*[F.lit(0).cast("bigint")] * words)
+    step = F.struct((-F.col("node")).alias("order"), "alts", F.coalesce("sets", none).alias("sets"))
+    return nodes.join(sets, ["query_id", "node"], "left").groupBy("query_id").agg(
+        F.sort_array(F.collect_list(step)).alias("steps")
+    )
+
+
+def _holds(hits: Column, words: int) -> Column:
+    """Whether the query's program ends true on these hits (an array of mask words)."""
+    at = lambda masks, w: F.get(masks, F.lit(w))
+
+    def node(bits: Column, step: Column) -> Column:
+        def alternative(alt: Column) -> Column:
+            test = F.lit(True)
+            for w in range(words):
+                hit, need, never = at(bits, w), at(alt["need"], w), at(alt["never"], w)
+                test = test & (hit.bitwiseAND(need) == need) & (hit.bitwiseAND(never) == 0)
+            return test
 
+        return F.exists(step["alts"], alternative)
 
-def _sequences(words: Column, shape: str, first_words: list[str]) -> Column:
+    def run(bits: Column, step: Column) -> Column:
+        added = F.array(*[at(bits, w).bitwiseOR(at(step["sets"], w)) for w in range(words)])
+        return F.when(node(bits, step), added).otherwise(bits)
+
+    last = F.element_at("steps", -1)  # node 0
+    inner = F.slice("steps", F.lit(1), F.size("steps") - 1)
+    return F.aggregate(inner, hits, run, lambda bits: node(bits, last))
+
+
+def _place(scope: Column | str, key: Column) -> Column:
+    """Where a word stands in the bitmap."""
+    return F.pmod(F.xxhash64(F.lit(scope) if isinstance(scope, str) else scope, key), F.lit(_MAP_BITS))
+
+
+def _bitmap(lookup: DataFrame) -> Column:
+    """The words of the lookup, and the first words of its phrases, as a map of _MAP_BITS bits."""
+    first = F.substring_index("key", " ", 1)
+    places = lookup.select(_place(F.col("scope"), first).alias("at")).distinct().collect()
+    found = [0] * (_MAP_BITS // 64)
+    for (at,) in places:  # at most _MAP_BITS
+        found[at // 64] |= 1 << at % 64
+    signed = [n - (1 << 64) if n >> 63 else n for n in found]
+    return F.from_json(F.lit(str(signed)), "array<bigint>")  # a constant: folded before it runs
+
+
+def _used(scope: str, word: Column, compiled: CompiledQueries) -> Column:
+    """False for most words that no query needs in this scope, true for all others."""
+    at = _place(scope, word)
+    held = F.get(compiled.used, F.shiftright(at, 6).cast("int"))
+    return F.call_function("shiftright", held, F.pmod(at, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def _sequences(words: Column, shape: str, used) -> Column:
     """Runs of words as long as a phrase; the places of its stop words are left empty."""
     n = len(shape)
     starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(
         F.array().cast("array<int>")
     )
-    if first_words:
-        starts = F.filter(starts, lambda i: F.get(words, i).isin(*first_words))
+    starts = F.filter(starts, lambda i: used(F.get(words, i)))
 
     def key(start: Column) -> Column:
         if "0" not in shape:
@@ -238,9 +299,8 @@ def _words(articles: DataFrame, name: str) -> Column:
 
 
 def article_keys(articles: DataFrame, compiled: CompiledQueries) -> DataFrame:
-    """Every key an article offers, for the scopes in use, next to its filter columns."""
-    parts = [s.removeprefix("test/").split("/")[0] for s in compiled.scopes]
-    fields = sorted(set(parts) - {"doc"})
+    """Every key an article offers once, for the scopes in use, next to its filter columns."""
+    fields = sorted({s.split("/")[0] for s in compiled.scopes} - {"doc"})
     kept = [ID, DATE, SUBJECT, SPATIAL]
     worded = articles.select(*kept, *[_words(articles, f).alias(STORED_WORDS[f]) for f in fields])
     keys = [_scope_keys(s, compiled) for s in compiled.scopes]
@@ -248,18 +308,22 @@ def article_keys(articles: DataFrame, compiled: CompiledQueries) -> DataFrame:
 
 
 def _scope_keys(scope: str, compiled: CompiledQueries) -> Column:
-    once = F.array(F.lit(""))
+    name, _, shape = scope.partition("/")
+    once, none = F.array(F.lit("")), F.array().cast("array<string>")
     if scope == "doc":
         values = once
-    elif scope in compiled.tests:
-        leaf = compiled.tests[scope]
-        hit = F.exists(F.col(STORED_WORDS[leaf.field]), word_test(leaf))
-        values = F.when(hit, once).otherwise(F.array().cast("array<string>"))
     else:
-        name, shape = scope.split("/")
         words = F.col(STORED_WORDS[name])
-        first = compiled.first_words.get(scope, [])
-        values = words if shape == "1" else _sequences(words, shape, first)
+        used = lambda w: _used(scope, w, compiled)
+        if shape == _SOME:
+            values = F.when(F.exists(words, lambda w: w != ""), once).otherwise(none)
+        elif shape == _LENGTH:
+            sizes = F.array_distinct(F.transform(words, lambda w: F.length(w).cast("string")))
+            values = F.array_remove(sizes, "0")
+        elif shape == _WORD:
+            values = F.array_distinct(F.filter(words, used))
+        else:
+            values = F.array_distinct(_sequences(words, shape, used))
     return F.transform(values, lambda v: F.struct(F.lit(scope).alias("scope"), v.alias("key")))
 
 
@@ -269,7 +333,7 @@ def saved_query_matches(articles: DataFrame, compiled: CompiledQueries) -> DataF
         return articles.where(F.lit(False)).select(F.lit(0).alias("query_id"), ID)
     articles = articles.where(date_between(compiled.date_lower, compiled.date_upper))
     keys = article_keys(articles, compiled)
-    filters = compiled.rules.drop("alts")
+    filters = compiled.rules.drop("steps")
     hits = keys.join(compiled.lookup, ["scope", "key"]).join(filters, "query_id").where(
         F.col(DATE).between(F.col("date_lower"), F.col("date_upper"))
         & ~F.coalesce(F.array_contains("article_types", F.col(SUBJECT)), F.lit(False))
@@ -280,16 +344,9 @@ def saved_query_matches(articles: DataFrame, compiled: CompiledQueries) -> DataF
         for w in range(compiled.words)
     ]
     masks = hits.groupBy("query_id", ID).agg(*bits)
-
-    def holds(alt: Column) -> Column:
-        test = F.lit(True)
-        for w in range(compiled.words):
-            hit, need, never = F.col(f"hit{w}"), F.get(alt["need"], F.lit(w)), F.get(alt["never"], F.lit(w))
-            test = test & (hit.bitwiseAND(need) == need) & (hit.bitwiseAND(never) == 0)
-        return test
-
-    alts = compiled.rules.select("query_id", "alts")
-    return masks.join(alts, "query_id").where(F.exists("alts", holds)).select("query_id", ID)
+    hit = F.array(*[F.col(f"hit{w}") for w in range(compiled.words)])
+    programs = compiled.rules.select("query_id", "steps")
+    return masks.join(programs, "query_id").where(_holds(hit, compiled.words)).select("query_id", ID)
 
 
 def query_counts(queries: DataFrame, matches: DataFrame) -> DataFrame:
@@ -301,33 +358,54 @@ def query_counts(queries: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
+def _of_article(matches: DataFrame) -> DataFrame:
+    return matches.groupBy(ID).agg(F.sort_array(F.collect_set("query_id")).alias("query_ids"))
+
+
 def query_clouds(
     articles: DataFrame,
     matches: DataFrame,
-    k: int = 100,
+    k: int | None = 100,
     min_length: int = 2,
     terms: DataFrame | None = None,
+    tokeniser: str = "analyzed",
 ) -> DataFrame:
     """Top ``k`` words of title and content for each query: ``(query_id, term, count, rank)``.
 
-    An article is cut into words once, however many queries it matches; with stored term
-    frequencies in ``terms`` it is not cut at all.
+    ``tokeniser`` is ``analyzed`` or ``stripped``; ``k`` None keeps all words. An article is cut
+    into words once, however many queries it matches; with stored term frequencies in ``terms``
+    it is not cut at all. Articles that match the same queries are counted together before
+    their words are copied to each of them.
     """
-    of_article = matches.groupBy(ID).agg(F.collect_set("query_id").alias("query_ids"))
     word = F.col("term")
-    if terms is None:
-        matched = articles.select(ID, *CLOUD_FIELDS).join(of_article, ID)
-        pieces = F.explode(analyzed_pieces(joined(*CLOUD_FIELDS)))
-        rows = matched.select("query_ids", pieces.alias("term"), F.lit(1).cast("bigint").alias("tf"))
-        rows = rows.where(is_word(word) & ~is_stop_word(word))
+    if terms is not None:
+        rows = terms.where(F.col("field").isin(*CLOUD_FIELDS)).join(_of_article(matches), ID)
     else:
-        rows = terms.where(F.col("field").isin(*CLOUD_FIELDS)).join(of_article, ID)
+        matched = articles.select(ID, *CLOUD_FIELDS).join(_of_article(matches), ID)
+        cut = {"analyzed": analyzed_pieces, "stripped": stripped_pieces}[tokeniser]
+        pieces = F.explode(cut(joined(*CLOUD_FIELDS)))
+        rows = matched.select("query_ids", pieces.alias("term"), F.lit(1).cast("bigint").alias("tf"))
+        if tokeniser == "analyzed":
+            rows = rows.where(is_word(word) & ~is_stop_word(word))
     kept = rows.where(F.length(word) >= min_length)
-    per_query = kept.select("term", "tf", F.explode("query_ids").alias("query_id"))
+    together = kept.groupBy("query_ids", "term").agg(F.sum("tf").alias("tf"))
+    per_query = together.select("term", "tf", F.explode("query_ids").alias("query_id"))
     counts = per_query.groupBy("query_id", "term").agg(F.sum("tf").alias("count"))
     best = Window.partitionBy("query_id").orderBy(F.desc("count"), "term")
     ranked = counts.withColumn("rank", F.row_number().over(best).cast("bigint"))
-    return ranked.where(F.col("rank") <= k)
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
+def query_stats(articles: DataFrame, queries: DataFrame, matches: DataFrame) -> DataFrame:
+    """``query_id, words, docs`` for every query: the stripped words of its articles, and how many."""
+    sized = articles.select(ID, token_count().alias("words")).join(_of_article(matches), ID)
+    together = sized.groupBy("query_ids").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("docs"))
+    found = together.select("words", "docs", F.explode("query_ids").alias("query_id"))
+    totals = found.groupBy("query_id").agg(F.sum("words").alias("words"), F.sum("docs").alias("docs"))
+    none = F.lit(0).cast("bigint")
+    return queries.select(F.col("id").alias("query_id")).join(totals, "query_id", "left").select(
+        "query_id", F.coalesce("words", none).alias("words"), F.coalesce("docs", none).alias("docs")
+    )
 
 
 def corpus_vocabulary(articles: DataFrame) -> DataFrame:
@@ -341,29 +419,37 @@ def corpus_vocabulary(articles: DataFrame) -> DataFrame:
 
 @dataclass
 class BatchResult:
+    matches: DataFrame  # query_id, identifier
     counts: DataFrame  # query_id, count, status
-    clouds: DataFrame  # query_id, term, count, rank; queries inside the gate only
+    clouds: DataFrame  # query_id, term, count, rank; with a gate, of the queries inside it
+    articles: DataFrame  # those that any query can match by date
 
 
 def run_batch(
     articles: DataFrame,
     queries: DataFrame,
     clauses: DataFrame,
-    vocabulary: DataFrame | None = None,
-    smallest: int = 10_000,
-    largest: int = 50_000,
-    k: int = 100,
+    smallest: int | None = 10_000,
+    largest: int | None = 50_000,
+    k: int | None = 100,
     terms: DataFrame | None = None,
+    tokeniser: str = "analyzed",
 ) -> BatchResult:
     """Match, count, gate and draw a word cloud for every saved query.
 
-    Pass the stored ``vocabulary`` and term frequencies (``terms``) of a corpus to save a
-    pass over its texts each.
+    Without bounds there is no gate. The span of all date ranges holds for every pass over the
+    articles. Stored term frequencies (``terms``) of the corpus save the pass of the clouds.
     """
-    if vocabulary is None:
-        vocabulary = corpus_vocabulary(articles)
-    compiled = compile_queries(queries, clauses, vocabulary)
+    span = queries.agg(F.min("date_lower"), F.max("date_upper")).first()
+    articles = articles.where(date_between(*span))
+    compiled = compile_queries(queries, clauses, corpus_vocabulary(articles))
     matches = durable(saved_query_matches(articles, compiled))
-    counts = size_gate(query_counts(queries, matches), smallest, largest)
-    passed = matches.join(counts.where(F.col("status") == "ok"), "query_id", "left_semi")
-    return BatchResult(counts, query_clouds(articles, passed, k, terms=terms))
+    counts = query_counts(queries, matches)
+    if smallest is None and largest is None:
+        counts = size_gate(counts, 0, 1 << 62)
+        passed = matches
+    else:
+        counts = size_gate(counts, smallest or 0, 1 << 62 if largest is None else largest)
+        passed = matches.join(counts.where(F.col("status") == "ok"), "query_id", "left_semi")
+    clouds = query_clouds(articles, passed, k, terms=terms, tokeniser=tokeniser)
+    return BatchResult(matches, counts, clouds, articles)

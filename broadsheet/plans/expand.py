@@ -1,6 +1,6 @@
 """Wildcard and fuzzy patterns to the words of a vocabulary.
 
-Patterns meet words through equi joins only. Each pattern has *anchors*: pieces of text of
+Patterns without a letter match by length alone (``expand_lengths``). Others meet words through equi joins only. Each pattern has *anchors*: pieces of text of
 which every matching word holds at least one, at its start, at its end or anywhere. Words
 are exploded into their own pieces of the lengths in use, joined on the piece, and the pairs
 are then verified. Every step is exact.
@@ -20,14 +20,13 @@ def _anchor(at: str, piece: Column) -> Column:
 
 
 def _wildcard_anchors(pattern: Column) -> Column:
-    """The longest literal run, with the place where it must be in the word."""
+    """The longest literal run, with the place where it must be in the word. There is one."""
     runs = F.filter(F.split(pattern, "[*?]+"), lambda r: r != "")
     longest = F.aggregate(
         runs, F.lit(""), lambda a, r: F.when(F.length(r) > F.length(a), r).otherwise(a)
     )
     anchor = (
-        F.when(longest == "", _anchor("any", F.lit("")))
-        .when(pattern.startswith(longest), _anchor("start", longest))
+        F.when(pattern.startswith(longest), _anchor("start", longest))
         .when(pattern.endswith(longest), _anchor("end", longest))
         .otherwise(_anchor("inside", longest))
     )
@@ -98,7 +97,7 @@ def _pieces_at(word: Column, at: str, n: int) -> Column:
     if at == "inside":
         return F.transform(_substrings(word, n), lambda piece: _anchor(at, piece))
     size = F.lit(n)
-    piece = {"any": F.lit(""), "start": F.left(word, size), "end": F.right(word, size)}
+    piece = {"start": F.left(word, size), "end": F.right(word, size)}
     return F.array(_anchor(at, piece[at]))
 
 
@@ -114,8 +113,23 @@ def _matches() -> Column:
     return F.when(F.col("kind") == "fuzzy", near).otherwise(F.rlike(word, rule))
 
 
+def expand_lengths(patterns: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(kind, pattern, distance, key)``: the lengths of words that patterns without letters match.
+
+    Such a pattern only counts characters. It becomes a key for each length, never for each word.
+    """
+    own = patterns.select("kind", "pattern", "distance").distinct()
+    counted = own.withColumn("least", F.length(F.replace("pattern", F.lit("*"), F.lit(""))))
+    longest = vocabulary.agg(F.max(F.length("term"))).first()[0] or 0
+    open_ = F.contains(F.col("pattern"), F.lit("*"))
+    upto = F.when(open_, F.greatest(F.lit(longest), F.col("least"))).otherwise(F.col("least"))
+    return counted.select(
+        "kind", "pattern", "distance", F.explode(F.sequence("least", upto)).alias("key")
+    ).withColumn("key", F.col("key").cast("string"))
+
+
 def expand(patterns: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``(kind, pattern, distance, term)`` for each word that a pattern matches."""
+    """``(kind, pattern, distance, term)`` for each word that a pattern with letters matches."""
     anchors = pattern_anchors(patterns.select("kind", "pattern", "distance").distinct())
     lengths = anchors.select("at", F.length("piece").alias("n")).distinct()
     # One entry for each place and length of a piece, so bounded by the length of a pattern.

@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 
 _WRITTEN: list[str] = []
 
+INPUT_PARTITIONS = "broadsheet.input.partitions"
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 )
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int | None = None) -> SparkSession:
-    """A session for local work. On a cluster use the session you are given."""
+def build_session(
+    master: str = "local[*]", shuffle_partitions: int | None = None, input_partitions: int | None = None
+) -> SparkSession:
+    """A session for local work. On a cluster use the session you are given.
+
+    ``input_partitions`` is for inputs in one piece; see ``spread``.
+    """
     builder = (
         SparkSession.builder.master(master)
         .appName("broadsheet")
@@ -32,6 +38,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if input_partitions:
+        spark.conf.set(INPUT_PARTITIONS, str(input_partitions))
     return spark
 
 
@@ -87,12 +95,10 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str = "identifier") -> DataFrame:
-    """Spread a scan that keeps at most half of the cores busy.
+    """Deal rows to as many tasks as ``broadsheet.input.partitions`` says, if it is set.
 
-    A small or unsplittable input (one row group, one gzip file) would leave most cores
-    idle. A large one has more splits than cores and is returned as it is.
+    For an input in one piece (one row group, one gzip file) that a single task would read.
+    Where it is not set, the scan stays as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 > cores:
-        return df
-    return df.repartition(cores, F.col(key))
+    tasks = df.sparkSession.conf.get(INPUT_PARTITIONS, "")
+    return df.repartition(int(tasks), F.col(key)) if tasks else df

@@ -40,8 +40,37 @@ def write_corpus(articles: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def load_bulk(spark: SparkSession, bulk: str | list[str], path: str) -> None:
-    """Add the articles of bulk NDJSON files to a corpus."""
-    write_corpus(read_bulk(spark, bulk), path)
+    """Load the articles of bulk NDJSON files: new ids are added, known ones replaced."""
+    upsert(read_bulk(spark, bulk), path)
+
+
+def upsert(articles: DataFrame, path: str) -> None:
+    """Add articles to a corpus so that every id has one row, the one that was loaded last.
+
+    Only the years that hold a loaded id, before or after, are written again, each as a
+    whole. Readers of other years are not disturbed.
+    """
+    spark = articles.sparkSession
+    new = durable(with_year(latest_by_id(articles)))
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        new.hint("rebalance", "year").write.partitionBy("year").parquet(path)
+        return
+    stored = spark.read.parquet(path)
+    ids = new.select(ID)
+    before = stored.select(ID, "year").join(ids, ID, "left_semi").select("year")
+    touched = durable(before.union(new.select("year")).distinct())  # a row a year
+    match = stored["year"].eqNullSafe(touched["year"])
+    kept = stored.join(F.broadcast(touched), match, "left_semi").join(ids, ID, "left_anti")
+    rows = durable(kept.unionByName(new, allowMissingColumns=True))
+    empty = [r["year"] for r in touched.subtract(rows.select("year")).collect()]  # all ids moved away
+    rows.hint("rebalance", "year").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("year").parquet(path)
+    for year in empty:
+        name = "__HIVE_DEFAULT_PARTITION__" if year is None else year
+        files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/year={name}"), True)
 
 
 def read_corpus(spark: SparkSession, path: str, date_lower=None, date_upper=None) -> DataFrame:

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.once import once
-from ..functions.text import escape_ampersands, html_unescape, paragraph_join, parse_date
+from ..functions.text import escape_markup, html_unescape, paragraph_join, parse_date
 from ..schema import ARTICLE_COLUMNS, ARTICLE_FIELDS, CONTENT, DATE, ID, PAPER_FIELDS
 
 RECORD_END = "</doc>"
+READ_OPTIONS = {"lineSep": RECORD_END, "ignoreCorruptFiles": "true"}
 
 _MARKUP = (
     "field array<struct<_name:string,_VALUE:string,text:array<struct<p:array<string>>>>>, "
@@ -27,8 +28,16 @@ _OPTIONS = {
 
 
 def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row ``(xml, zipfilename)`` for each document in the files under ``path``."""
-    return records(spark.read.option("lineSep", RECORD_END).text(path))
+    """One row ``(xml, zipfilename)`` for each document in the files under ``path``.
+
+    A file that breaks off, or is no gzip file, gives the documents before the damage and does
+    not stop the others; ``unreadable_files`` names it.
+    """
+    return records(_lines(spark, path))
+
+
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.options(**READ_OPTIONS).text(path)
 
 
 def records(lines: DataFrame) -> DataFrame:
@@ -56,7 +65,7 @@ def parse(docs: DataFrame) -> DataFrame:
     A document is rejected when it is not well-formed or when a required field is missing.
     Only that document is set aside, not its whole file.
     """
-    tree = F.from_xml(escape_ampersands(F.col("xml")), F.lit(_MARKUP), _OPTIONS)
+    tree = F.from_xml(escape_markup(F.col("xml")), F.lit(_MARKUP), _OPTIONS)
     parsed = once(docs, {"doc": tree})
     fields = {f"paper_{n}": _named(n, 0) for n in PAPER_FIELDS}
     fields |= {f"article_{n}": _named(n, at) for n, at in ARTICLE_FIELDS.items()}
@@ -95,8 +104,45 @@ def quarantine(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("status") != "ok").select("zipfilename", "status", "rejected_xml")
 
 
-def pending_files(spark: SparkSession, input_dir: str, corpus: DataFrame) -> DataFrame:
-    """Files under ``input_dir`` that no article of the corpus comes from."""
-    listed = spark.read.format("binaryFile").load(input_dir).select(F.col("path").alias("zipfilename"))
-    done = corpus.select("zipfilename").distinct()
-    return listed.join(done, "zipfilename", "left_anti")
+def listed_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``zipfilename`` of every file, written as in the articles. No content is read."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.col("_metadata.file_path").alias("zipfilename"))
+
+
+def unreadable_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Quarantine rows, with status ``unreadable``, for files that do not end as XML does.
+
+    An intact file has the end tag of its root after its last document.
+    """
+    last = _lines(spark, path).where(F.rlike(F.col("value"), F.lit(r"</[^<>]+>\s*$")))
+    whole = last.select(F.col("_metadata.file_path").alias("zipfilename")).distinct()
+    return listed_files(spark, path).join(whole, "zipfilename", "left_anti").select(
+        "zipfilename", F.lit("unreadable").alias("status"), F.lit(None).cast("string").alias("rejected_xml")
+    )
+
+
+def ingest_report(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``zipfilename, articles, rejected, status`` for every file, also those without an article.
+
+    ``status`` is ``unreadable`` for a file that breaks off, ``empty`` for one without any
+    document, else ``ok``.
+    """
+    of = lambda test: F.count_if(test).alias
+    parsed = parse(read_records(spark, path)).groupBy("zipfilename").agg(
+        of(F.col("status") == "ok")("articles"), of(F.col("status") != "ok")("rejected")
+    )
+    broken = unreadable_files(spark, path).select("zipfilename", F.lit(True).alias("broken"))
+    none = F.lit(0).cast("bigint")
+    found = listed_files(spark, path).join(parsed, "zipfilename", "left").join(broken, "zipfilename", "left")
+    return found.select(
+        "zipfilename",
+        F.coalesce("articles", none).alias("articles"),
+        F.coalesce("rejected", none).alias("rejected"),
+        F.when(F.col("broken"), "unreadable").when(F.col("articles").isNull(), "empty").otherwise("ok").alias("status"),
+    )
+
+
+def pending_files(spark: SparkSession, path: str | list[str], seen: DataFrame) -> DataFrame:
+    """Files that no row of ``seen`` comes from; give it accepted and rejected documents."""
+    return listed_files(spark, path).join(seen.select("zipfilename").distinct(), "zipfilename", "left_anti")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..schema import ARTICLE_COLUMNS
-from ..sources.corpus import with_year
-from ..sources.xml_archive import RECORD_END, parse, records
+from ..sources.corpus import latest_by_id, with_year
+from ..sources.xml_archive import READ_OPTIONS, parse, records
 
 
 def ingest_new_files(
@@ -21,7 +21,7 @@ def ingest_new_files(
     """
     lines = (
         spark.readStream.format("text")
-        .option("lineSep", RECORD_END)
+        .options(**READ_OPTIONS)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(input_dir)
     )
@@ -38,8 +38,14 @@ def ingest_new_files(
 
 
 def ingested(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Accepted articles; the status folder prunes the rest."""
-    return spark.read.parquet(out_dir).where(F.col("status") == "ok").select(*ARTICLE_COLUMNS)
+    """Accepted articles, one row an id; the status folder prunes the rest."""
+    stored = spark.read.parquet(out_dir).where(F.col("status") == "ok")
+    return latest_by_id(stored.select(*ARTICLE_COLUMNS))
+
+
+def converted_files(spark: SparkSession, out_dir: str) -> DataFrame:
+    """``zipfilename`` of every file that gave a document, accepted or not."""
+    return spark.read.parquet(out_dir).select("zipfilename").distinct()
 
 
 def rejected(spark: SparkSession, out_dir: str) -> DataFrame:

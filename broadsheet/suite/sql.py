@@ -225,7 +225,7 @@ def oracle_sql() -> dict[str, str]:
         "merge_counts": f"with {ARTICLES} {word_count} (select unnest({stripped('article_dc_title', 2)}) as term from articles union all select unnest({stripped('text_content', 2)}) from articles) group by term",
         "corpus_stats": f"with {ARTICLES}, n as (select sum(len({stripped(CLOUD_TEXT)})) as words, count(*) as docs from articles) select 'nrWords' as key, cast(words as bigint) as value from n union all select 'nrDocs', cast(docs as bigint) from n",
         "corpus_stats_avg": f"with {SELECTED} select cast(sum(len({stripped(CLOUD_TEXT)})) as double) / cast(count(*) as double) as words_per_doc from selected",
-        "articles_per_source": "select source, count(*) as articles from documents group by source union all select null, count(*) from documents",
+        "articles_per_source": "select source, count(*) as articles, false as total from documents group by source union all select null, count(*), true from documents",
         "filter_date_range": f"with {ARTICLES} select identifier, paper_dc_date from articles where {IN_DATES}",
         "filter_exclude": f"with {ARTICLES} select identifier, article_dc_subject, paper_dcterms_spatial from articles where {NOT_PLACES} and {NOT_TYPES}",
         "filtered_query": f"with {SELECTED} select identifier, paper_dc_date, article_dc_subject, paper_dcterms_spatial, article_dc_title from selected",

@@ -1,6 +1,7 @@
 """Clauses: one column predicate, one batch, and a brute-force reading must agree."""
 
 import random
+import time
 from datetime import date
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions import clauses as C
 from broadsheet.functions.clauses import (
-    all_of, any_of, bool_match, fuzzy, in_title, not_, phrase, term, wildcard,
+    all_of, any_of, bool_match, clause_rows, fuzzy, in_title, not_, phrase, term, wildcard,
 )
 from broadsheet.functions.tokens import analyze_query
 from broadsheet.operators.filters import filtered_query, search, with_words
@@ -209,19 +210,75 @@ def test_more_groups_than_bits_in_a_mask(articles, spark):
     assert run(articles, spark, [many, never]) == {0: {0, 1, 4, 7}, 1: {4, 7}}
 
 
-def test_many_phrases_need_no_first_words(articles, spark, monkeypatch):
-    monkeypatch.setattr(batch, "_MOST_FIRST_WORDS", 0)
-    clauses = [phrase("greta garbo"), phrase("staten van amerika"), term("film")]
+def test_a_full_bitmap_loses_nothing(articles, spark, monkeypatch):
+    monkeypatch.setattr(batch, "_MAP_BITS", 64)
+    rng = random.Random(5)
+    clauses = [c for c, _ in CASES.values()] + [random_clause(rng) for _ in range(25)]
     assert run(articles, spark, clauses) == {i: expected(c) for i, c in enumerate(clauses)}
 
 
-def test_patterns_with_many_words_are_tested_in_place(articles, spark, monkeypatch):
-    monkeypatch.setattr(batch, "_MOST_PATTERN_ROWS", 20)
-    rng = random.Random(5)
-    clauses = [c for c, _ in CASES.values()] + [random_clause(rng) for _ in range(25)]
+def test_the_plan_does_not_grow_with_the_patterns(articles, spark, plan_of):
+    sizes = []
+    for n in (5, 50):
+        saved = [
+            batch.SavedQuery(i, any_of(wildcard(f"f{i}*"), wildcard(f"*{i}m")), date(1850, 1, 1), date(1990, 12, 31))
+            for i in range(n)
+        ]
+        compiled = batch.compile_queries(*batch.query_tables(spark, saved), batch.corpus_vocabulary(articles))
+        sizes.append(len(plan_of(batch.saved_query_matches(articles, compiled)).splitlines()))
+    assert sizes[0] == sizes[1]
+
+
+def test_nested_groups_are_not_multiplied_out(articles, spark):
+    words = ["film", "greta", "garbo", "radio", "cola", "amerika", "titel", "krant"]
+    rng = random.Random(2)
+    pair = lambda: all_of(term(rng.choice(words)), term(rng.choice(words)))
+    deep = all_of(*[any_of(pair(), pair(), not_(term(rng.choice(words)))) for _ in range(20)])
+    start = time.perf_counter()
+    rows = clause_rows(deep)
+    assert time.perf_counter() - start < 1 and len(rows) <= 150
+    clauses = [deep, not_(deep), any_of(deep, term("film")), all_of(any_of(not_(term("film")), pair()), not_(pair()))]
     assert run(articles, spark, clauses) == {i: expected(c) for i, c in enumerate(clauses)}
 
 
+def test_stored_clauses_are_analysed(articles, spark):
+    queries, _ = batch.query_tables(
+        spark, [batch.SavedQuery(i, term("x"), date(1850, 1, 1), date(1990, 12, 31)) for i in range(8)]
+    )
+    stored = [
+        (0, 0, 0, False, "all", "term", "", 0),
+        (1, 0, 0, False, "all", "phrase", "de het", 0),
+        (2, 0, 0, False, "all", "term", "FILM", 0),
+        (3, 0, 0, False, "all", "term", "Coca-Cola", 0),
+        (4, 0, 0, False, "all", "phrase", "de Greta GARBO", 0),
+        (5, 0, 0, False, "all", "wildcard", "FILM", 0),
+        (6, 0, 0, False, "all", "term", "de", 0),
+        (6, 0, 1, False, "all", "term", "film", 0),
+        (7, 0, 0, False, "all", "wildcard", "F?LM", 0),
+    ]
+    rows = spark.createDataFrame(stored, batch.CLAUSE_COLUMNS.replace("node int, ", ""))
+    compiled = batch.compile_queries(queries, rows, batch.corpus_vocabulary(articles))
+    found = {}
+    for r in batch.saved_query_matches(articles, compiled).collect():
+        found.setdefault(r["query_id"], set()).add(int(r["identifier"]))
+    want = {2: term("film"), 3: term("coca-cola"), 4: phrase("greta garbo"), 5: term("film"), 6: term("film"), 7: wildcard("f?lm")}
+    assert found == {i: expected(c) for i, c in want.items()}
+
+
+def test_stop_words_in_must_leave_it_to_should(found):
+    clause = bool_match(must=[term("de")], should=[term("film")])
+    assert found(clause) == expected(term("film"))
+
+
+def test_query_words_are_those_of_articles(spark):
+    texts = ["cocai\u0308ne", "हिन्दी", "Coca-Cola's 3.14 1,000 a_b __ x·y", "ÉÉN\u0301 ı İ", "a1b2 ２ Ⅷ", "de 'film'"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    from broadsheet.functions.tokens import analyze_query, analyzed_positions
+
+    for text, words in rows.select("t", analyzed_positions(F.col("t"))).collect():
+        assert analyze_query(text) == words
+
+
 def test_stored_words_give_the_same(articles, spark, plan_of):
     stored = durable(with_words(articles))
     rng = random.Random(3)
