@@ -92,7 +92,7 @@ def average_words(articles: DataFrame) -> DataFrame:
 
 def articles_per_source(articles: DataFrame, source: str = "zipfilename") -> DataFrame:
     """``source, articles, total``: each input file, and all of them in a row where total is true."""
-    counted = articles.rollup(F.col(source).alias("source")).agg(
+    counted = articles.select(F.col(source).alias("source")).rollup("source").agg(
         F.count(F.lit(1)).alias("articles"), (F.grouping("source") == 1).alias("total")
     )
     return counted.select("source", "articles", "total")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ from ..functions.tokens import analyzed_tokens, joined
 from ..operators import cloud, counts, filters, paging, postings
 from ..plans import batch
 from ..schema import CONTENT, DATE, ID, SPATIAL, SUBJECT, TITLE, articles_from_documents
-from ..session import shared_dir, spread
+from ..session import durable, shared_dir, spread
 from ..sources import bulk_json, corpus, saved_queries, sinks, xml_archive
 from ..streaming import ingest, running
 from . import tables
@@ -54,7 +55,7 @@ def scanned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
-    """Articles for queries that cut texts into words: an input in one piece is spread."""
+    """Articles for queries that cut texts into words; spread where the session asks for it."""
     return spread(scanned(spark, sf))
 
 
@@ -97,7 +98,7 @@ def page_offset(spark, sf):
 
 @query
 def doc_terms_by_ids(spark, sf):
-    return postings.terms_of(postings.doc_terms(articles(spark, sf)), selected(spark, sf))
+    return postings.doc_terms(postings.terms_of(articles(spark, sf), selected(spark, sf)))
 
 
 @query
@@ -112,16 +113,20 @@ def _issue_path() -> F.Column:
 
 
 def _write_xml(spark: SparkSession, sf: str) -> str:
-    """The documents as gzip XML files; every 17th is broken and every 19th has no id."""
+    """The documents as gzip XML files; every 17th is broken and every 19th has no id.
+
+    Every fifth has its paragraphs in CDATA sections. A root ends each file.
+    """
     key = F.col("doc_id")
     label = key.cast("string")
     one = lambda name, value: F.concat(F.lit(f'<field name="{name}">'), value, F.lit("</field>"))
     plain = [n for n in xml_archive.PAPER_FIELDS if n not in ("dc_title", "dc_date", "dcx_recordIdentifier", "dc_identifier_resolver")]
     date = F.date_add(F.lit("1850-01-01").cast("date"), (key * 7919 % 51499).cast("int"))
     text = F.replace(F.replace("text", F.lit("<"), F.lit("&lt;")), F.lit("]]>"), F.lit("]]&gt;"))
-    paragraphs = F.concat(
-        F.lit("<text><p>"), F.replace(text, F.lit("\n"), F.lit("</p><p/><p>")), F.lit("</p></text>")
+    between = lambda body, a, b: F.concat(
+        F.lit(f"<text><p>{a}"), F.replace(body, F.lit("\n"), F.lit(f"{b}</p><p/><p>{a}")), F.lit(f"{b}</p></text>")
     )
+    paragraphs = F.when(key % 5 == 0, between(F.col("text"), "<![CDATA[", "]]>")).otherwise(between(text, "", ""))
     doc = F.concat_ws(
         "\n",
         F.lit("<doc>"),
@@ -139,18 +144,26 @@ def _write_xml(spark: SparkSession, sf: str) -> str:
         F.lit("</doc>"),
     )
     path = shared_dir(spark)
-    files = spread(table(spark, sf, "documents"), "doc_id").select(doc.alias("value"))
-    files.write.option("compression", "gzip").text(path)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int").alias("part")
+    docs = table(spark, sf, "documents").select(doc.alias("value"), part, F.lit(0).alias("last"))
+    roots = spark.range(8).select(F.lit("</docs>").alias("value"), F.col("id").cast("int").alias("part"), F.lit(1).alias("last"))
+    files = docs.unionByName(roots).repartitionByRange(8, "part").sortWithinPartitions("part", "last")
+    files.select("value").write.option("compression", "gzip").text(path)
     return path
 
 
-_XML_COLUMNS = (ID, "paper_dc_title", TITLE, DATE, CONTENT, "article_dc_identifier_resolver")
+def _xml_columns(found: DataFrame) -> DataFrame:
+    archive = F.rlike("zipfilename", F.lit(r"/part-[^/]*\.txt\.gz$"))
+    return found.select(
+        ID, "paper_dc_title", TITLE, DATE, CONTENT, "article_dc_identifier_resolver",
+        "article_dcx_recordIdentifier", archive.alias("from_archive"),
+    )
 
 
 @query
 def xml_ingest(spark, sf):
     parsed = xml_archive.parse(xml_archive.read_records(spark, _write_xml(spark, sf)))
-    return xml_archive.accepted(parsed).select(*_XML_COLUMNS)
+    return _xml_columns(xml_archive.accepted(parsed))
 
 
 @query
@@ -163,7 +176,7 @@ def xml_quarantine(spark, sf):
 def incremental_ingest(spark, sf):
     out, state = shared_dir(spark), shared_dir(spark)
     ingest.ingest_new_files(spark, _write_xml(spark, sf), out, state, 3).awaitTermination()
-    return ingest.ingested(spark, out).select(*_XML_COLUMNS)
+    return _xml_columns(ingest.ingested(spark, out))
 
 
 @query
@@ -174,12 +187,33 @@ def bulk_roundtrip(spark, sf):
     return bulk_json.read_bulk(spark, path).select(*source.columns)
 
 
+@query
+def ingest_report(spark, sf):
+    files = xml_archive.ingest_report(spark, _write_xml(spark, sf))
+    return files.agg(
+        F.sum("articles").alias("articles"), F.sum("rejected").alias("rejected"),
+        F.count_if(F.col("status") == "unreadable").alias("unreadable"),
+    )
+
+
+@query
+def bulk_quarantine(spark, sf):
+    path, key = shared_dir(spark), F.col("doc_id")
+    number = key.cast("string")
+    broken = F.when(key % 13 == 0, F.concat(F.lit('{"broken '), number)).when(
+        key % 29 == 0, F.concat(F.lit('{"no_id":'), number, F.lit("}"))
+    )
+    bad = table(spark, sf, "documents").select(broken.alias("value")).where(F.col("value").isNotNull())
+    bulk_json.bulk_lines(scanned(spark, sf)).unionByName(bad).write.text(path)
+    return bulk_json.bulk_quarantine(spark, path).select("line")
+
+
 @query
 def corpus_load(spark, sf):
-    path = shared_dir(spark)
-    loaded = scanned(spark, sf).withColumn("zipfilename", F.lit("part"))
-    corpus.write_corpus(corpus.latest_by_id(loaded.unionByName(loaded)), path)
-    target = shared_dir(spark)
+    bulk, path, target = shared_dir(spark), shared_dir(spark), shared_dir(spark)
+    bulk_json.write_bulk(scanned(spark, sf), bulk)
+    for _ in range(2):
+        corpus.load_bulk(spark, bulk, path)
     corpus.compact_corpus(spark, path, target, 1)
     return corpus.read_corpus(spark, target, LOWER, UPPER).select(ID, DATE, SUBJECT, SPATIAL, TITLE)
 
@@ -325,17 +359,20 @@ def filtered_query(spark, sf):
 
 CLAUSES: dict[str, Clause] = {
     "match_term": term("Heit"),
-    "match_any": any_of(term("heit keit"), term("oion"), term("ande-anre")),
+    "match_any": any_of(term("heit keit"), term("oion"), term("ande-anre"), term("ung or pas")),
     "match_all": all_of(term("the"), term("and"), term("this")),
     "match_not": all_of(term("the"), not_(term("with"))),
     "match_grouped": any_of(
         all_of(term("heit"), term("keit")), all_of(any_of(term("la"), term("les")), not_(term("un")))
     ),
-    "match_bool": bool_match(must=[term("the"), term("and")], should=[term("la")], must_not=[term("by")]),
+    "match_bool": any_of(
+        bool_match(must=[term("the"), term("and")], should=[term("la")], must_not=[term("by")]),
+        bool_match(must=[term("de")], should=[term("les")], must_not=[term("un")]),  # "de" is a stop word
+    ),
     "match_phrase": any_of(phrase("and the"), phrase("the of with"), phrase('"modern*"')),
     "match_prefix": wildcard("ung*"),
-    "match_wildcard": any_of(wildcard("*heitkeit"), wildcard("th?nt*"), wildcard("*ßü*"), wildcard("a*ti?n")),
-    "match_fuzzy": any_of(fuzzy("ander", 1), fuzzy("heitkeit"), fuzzy("oionai~".rstrip("~"), 2)),
+    "match_wildcard": any_of(wildcard("*heitkeit"), wildcard("th?nt*"), wildcard("*ßü*"), wildcard("a*ti?n"), wildcard("ver*~")),
+    "match_fuzzy": any_of(fuzzy("ander", 1), fuzzy("heitkeit"), fuzzy("oionai", 2)),
     "match_title": in_title(any_of(term("the"), phrase("de la"))),
 }
 
@@ -347,6 +384,14 @@ def _matching(clause: Clause) -> Query:
 _QUERIES |= {name: _matching(clause) for name, clause in CLAUSES.items()}
 
 
+@query
+def match_diacritics(spark, sf):
+    """Letters written with a combining accent, in the articles and in the query."""
+    split = F.replace(F.col(CONTENT), F.lit("é"), F.lit("e\u0301"))
+    clause = any_of(term("E\u0301T"), phrase("re\u0301 de la"), wildcard("que?e\u0301*"))
+    return filters.search(articles(spark, sf).withColumn(CONTENT, split), clause).select(ID)
+
+
 @query
 def count_matches(spark, sf):
     return selected(spark, sf).agg(F.count(F.lit(1)).alias("count"))
@@ -395,6 +440,11 @@ def _batch(spark: SparkSession, sf: str) -> batch.BatchResult:
     )
 
 
+def _ungated(spark: SparkSession, sf: str) -> batch.BatchResult:
+    queries, clauses = _saved(spark, sf)
+    return batch.run_batch(articles(spark, sf), queries, clauses, None, None, tokeniser="stripped")
+
+
 @query
 def query_json(spark, sf):
     return saved_queries.as_json(_saved(spark, sf)[0])
@@ -420,15 +470,40 @@ def saved_query_wordcloud(spark, sf):
     return _batch(spark, sf).clouds
 
 
+@query
+def saved_query_wordcloud_mr(spark, sf):
+    """Word clouds of stripped words for all saved queries, without a gate."""
+    return _ungated(spark, sf).clouds
+
+
+@query
+def saved_query_stats(spark, sf):
+    queries, _ = _saved(spark, sf)
+    result = _ungated(spark, sf)
+    return batch.query_stats(result.articles, queries, result.matches)
+
+
+@query
+def saved_query_patterns(spark, sf):
+    queries, _ = _saved(spark, sf)
+    clauses = tables.pattern_clauses(table(spark, sf, "benchmark"))
+    result = batch.run_batch(articles(spark, sf), queries, clauses, None, None)
+    return result.counts.select("query_id", "count")
+
+
 @query
 def result_log(spark, sf):
-    path = shared_dir(spark)
-    done = _batch(spark, sf).counts.select(
-        X.run_label(F.lit("run"), F.lit("kb")).alias("identifier"),
-        F.col("query_id").alias("queryid"), "status", "count", F.lit(None).alias("time"),
+    path, start = shared_dir(spark), time.perf_counter()
+    counted = durable(_batch(spark, sf).counts)
+    done = counted.select(
+        X.run_label(F.lit("run"), F.lit("documents")).alias("identifier"),
+        F.col("query_id").alias("queryid"), "status", "count",
+        F.lit(time.perf_counter() - start).alias("time"),
     )
     sinks.append_results(done, path)
-    return spark.read.parquet(path).select("identifier", "queryid", "status", "count")
+    return spark.read.parquet(path).select(
+        "identifier", "queryid", "status", "count", (F.col("time") > 0).alias("timed")
+    )
 
 
 def queries() -> dict[str, Query]:

@@ -67,6 +67,11 @@ WORDED = f"""{ARTICLES}, worded as (
   select *, ' ' || array_to_string(w, ' ') || ' ' as s, ' ' || array_to_string(tw, ' ') || ' ' as ts
   from (select *, {positions(ALL_TEXT)} as w, {positions("article_dc_title")} as tw from articles))"""
 
+# A letter e with a combining accent; texts are rewritten with it.
+_E = "e\u0301"
+_ET = _E + "t"
+DECOMPOSED = WORDED.replace("text as text_content", f"replace(text, 'é', '{_E}') as text_content")
+
 IN_DATES = f"paper_dc_date between date '{LOWER}' and date '{UPPER}'"
 NOT_PLACES = "coalesce(paper_dcterms_spatial not in ('Nederlandse Antillen', 'Suriname'), true)"
 NOT_TYPES = "coalesce(article_dc_subject not in ('advertentie', 'familiebericht'), true)"
@@ -92,15 +97,15 @@ def some_word(test: str) -> str:
 
 MATCHES = {
     "match_term": has("heit"),
-    "match_any": " or ".join(has(w) for w in ("heit", "keit", "oion", "ande", "anre")),
+    "match_any": " or ".join(has(w) for w in ("heit", "keit", "oion", "ande", "anre", "ung", "or", "pas")),
     "match_all": " and ".join(has(w) for w in ("the", "and", "this")),
     "match_not": f"{has('the')} and not {has('with')}",
     "match_grouped": f"({has('heit')} and {has('keit')}) or (({has('la')} or {has('les')}) and not {has('un')})",
-    "match_bool": f"{has('the')} and {has('and')} and not {has('by')}",
+    "match_bool": f"({has('the')} and {has('and')} and not {has('by')}) or ({has('les')} and not {has('un')})",
     "match_phrase": f"contains(s, ' and the ') or regexp_matches(s, ' the [^ ]* with ') or {has('modern')}",
     "match_prefix": some_word("starts_with(x, 'ung')"),
     "match_wildcard": some_word(
-        "(x like '%heitkeit' or x like 'th_nt%' or x like '%ßü%' or x like 'a%ti_n')"
+        "(x like '%heitkeit' or x like 'th_nt%' or x like '%ßü%' or x like 'a%ti_n' or x like 'ver%')"
     ),
     "match_fuzzy": some_word(
         "("
@@ -123,12 +128,22 @@ def _choose(key: str, values: tuple[str, ...]) -> str:
     return f"case {cases} end"
 
 
-QUERIES = f"""stored as (
-  select cast(item_id as integer) as id, array_to_string(list_slice({analyzed("text")}, 1, 3), ' ') as query,
+BY_LENGTH = (
+    f"list_transform(list_sort(list_transform(list_distinct({analyzed('text')}), "
+    "lambda x: struct_pack(n := -length(x), w := x))), lambda x: x.w)"
+)
+PICKED = """list_value(l[1], l[1 + (len(l) - 1) // 2], l[len(l)], l[1 + (len(l) - 1) // 4])"""
+MIDDLE = "trim(array_to_string(list_slice(q, greatest((len(q) - 3) // 2, 0) + 1, greatest((len(q) - 3) // 2, 0) + 3), ' '))"
+
+QUERIES = f"""passage_words as (
+  select item_id, {PICKED} as a, {MIDDLE} as p
+  from (select item_id, {BY_LENGTH} as l, {positions("text")} as q from benchmark)),
+stored as (
+  select cast(item_id as integer) as id, array_to_string(list_slice(a, 1, 3), ' ') as query,
     make_date(1850 + item_id % 40, 1, 1) as date_lower, make_date(1920 + item_id % 70, 12, 31) as date_upper,
     {_choose("item_id", TYPE_LISTS)} as types, {_choose("item_id", DISTRIBUTION_LISTS)} as places,
     cast(item_id % 6 as integer) as user_id
-  from benchmark)"""
+  from passage_words)"""
 
 LABELS = """labels_of(kind, code, label) as (values
   ('distribution', 'sd_national', 'Landelijk'), ('distribution', 'sd_regional', 'Regionaal/lokaal'),
@@ -145,13 +160,12 @@ EXCLUDED = """excluded as (
   where c.code <> '')"""
 
 # One leaf a row; ``hit`` decides an article from its leaves by the form of the query.
-BATCH = f"""{WORDED}, {QUERIES}, {LABELS}, {EXCLUDED},
-passages as (
-  select cast(item_id as integer) as query_id, item_id % 6 as form, {analyzed("text")} as a, {positions("text")} as p
-  from benchmark),
+BATCH_TABLES = f"""{WORDED}, {QUERIES}, {LABELS}, {EXCLUDED},
+passages as (select cast(item_id as integer) as query_id, item_id % 6 as form, a, p from passage_words),
 article_words as (select identifier, unnest(list_distinct(w)) as word from worded),
 title_words as (select identifier, unnest(list_distinct(tw)) as word from worded),
-leaf as (
+"""
+LEAVES = f"""leaf as (
   select query_id, form, 1 as n, a[1] as word from passages where form in (0, 1, 2)
   union all select query_id, form, 2, a[2] from passages where form in (0, 1)
   union all select query_id, form, 3, a[3] from passages where form = 0
@@ -160,7 +174,7 @@ leaf_hit as (
   select query_id, form, n, identifier from leaf join article_words using (word) where word <> ''
   union all
   select query_id, form, 1, identifier from passages, worded
-  where form = 3 and regexp_matches(s, ' ' || regexp_replace(trim(array_to_string(list_slice(p, 1, 3), ' ')), '  ', ' [^ ]* ') || ' ')
+  where form = 3 and p <> '' and regexp_matches(s, ' ' || regexp_replace(p, '  ', ' [^ ]* ') || ' ')
   union all
   select query_id, form, 1, identifier from (
     select distinct query_id, form, word from passages, (select distinct word from article_words)
@@ -173,7 +187,15 @@ decided as (
     select query_id, form, identifier, bool_or(n = 1) as h1, bool_or(n = 2) as h2, bool_or(n = 4) as h4
     from leaf_hit group by query_id, form, identifier)
   where case form when 1 then h1 and h2 when 2 then h1 and not h4 else true end),
-matches as (
+"""
+PATTERNS = f"""pattern_words as (
+  select distinct query_id, word from passages, (select distinct word from article_words where word <> '')
+  where case query_id % 4 when 0 then true when 1 then length(word) = 5
+    when 2 then length(word) <= 4 and {distance('word', 'left(a[2], 2)')} <= 2
+    else contains(word, substr(a[1], 2, 3)) end),
+decided as (select distinct query_id, identifier from pattern_words join article_words using (word)),
+"""
+COUNTED = f"""matches as (
   select d.query_id, d.identifier from decided d
   join stored q on q.id = d.query_id join worded x on x.identifier = d.identifier
   where x.paper_dc_date between q.date_lower and q.date_upper
@@ -186,11 +208,14 @@ gated as (
   select query_id, count, case when count <= 0 or count < 3 then 'too_few' when count > 200 then 'too_many' else 'ok' end as status
   from counted)"""
 
+BATCH = BATCH_TABLES + LEAVES + COUNTED
+PATTERN_BATCH = BATCH_TABLES + PATTERNS + COUNTED
+
 DAY = "strftime(o_orderdate, '%Y-%m-%d')"
 XML_COLUMNS = """'article:' || doc_id as identifier, source as paper_dc_title, 'A & B ' || doc_id as article_dc_title,
   date '1850-01-01' + cast((doc_id * 7919) % 51499 as integer) as paper_dc_date,
   case when doc_id % 23 = 0 then '' else array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10) || chr(10)) end as text_content,
-  'article' as article_dc_identifier_resolver"""
+  'article' as article_dc_identifier_resolver, 'article:' || doc_id as article_dcx_recordIdentifier, true as from_archive"""
 XML_OK = "doc_id % 17 <> 0 and doc_id % 19 <> 0"
 
 
@@ -239,7 +264,13 @@ def oracle_sql() -> dict[str, str]:
         "saved_query_counts": f"with {BATCH} select query_id, count from counted",
         "query_size_gate": f"with {BATCH} select query_id, status from gated",
         "saved_query_wordcloud": f"with {BATCH} select * from (select *, row_number() over (partition by query_id order by count desc, term) as rank from (select query_id, term, count(*) as count from (select m.query_id, unnest({analyzed(CLOUD_TEXT)}) as term from matches m join gated using (query_id) join worded x on x.identifier = m.identifier where status = 'ok') where length(term) >= 2 group by query_id, term)) where rank <= 100",
-        "result_log": f"with {BATCH} select 'run@kb' as identifier, query_id as queryid, status, count from gated",
+        "result_log": f"with {BATCH} select 'run@documents' as identifier, query_id as queryid, status, count, true as timed from gated",
+        "saved_query_patterns": f"with {PATTERN_BATCH} select query_id, count from counted",
+        "saved_query_wordcloud_mr": f"with {BATCH} select * from (select *, row_number() over (partition by query_id order by count desc, term) as rank from (select query_id, term, count(*) as count from (select m.query_id, unnest({stripped(CLOUD_TEXT, 2)}) as term from matches m join worded x on x.identifier = m.identifier) group by query_id, term)) where rank <= 100",
+        "saved_query_stats": f"with {BATCH}, sized as (select identifier, len({stripped('text_content')}) + len({stripped('article_dc_title')}) as words from worded) select s.id as query_id, cast(coalesce(sum(words), 0) as bigint) as words, count(z.identifier) as docs from stored s left join matches m on m.query_id = s.id left join sized z on z.identifier = m.identifier group by s.id",
+        "match_diacritics": f"with {DECOMPOSED} select identifier from worded where {has(_ET)} or regexp_matches(s, {_text(f' r{_E} [^ ]* la ')}) or {some_word('regexp_matches(x, ' + _text(f'^que.{_E}.*$') + ')')}",
+        "ingest_report": f"select count_if({XML_OK}) as articles, count_if(not ({XML_OK})) as rejected, 0 as unreadable from documents",
+        "bulk_quarantine": "select case when doc_id % 13 = 0 then '{\"broken ' || doc_id else '{\"no_id\":' || doc_id || '}' end as line from documents where doc_id % 13 = 0 or doc_id % 29 = 0",
     }
     for name, test in MATCHES.items():
         out[name] = f"with {WORDED} select identifier from worded where {test}"

@@ -20,10 +20,31 @@ def _choose(key: Column, values: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
 
 
+def picked_words(text: Column) -> Column:
+    """Four words of the whole passage: of its distinct words, longest first, the first one, the
+    middle one, the last one and the one after a quarter."""
+    by_length = F.array_sort(
+        F.transform(
+            F.array_distinct(analyzed_tokens(text)),
+            lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")),
+        )
+    )["w"]
+    last = F.size(by_length) - 1
+    places = [F.lit(0), F.floor(last / 2), last, F.floor(last / 4)]
+    return F.array(*[F.get(by_length, at.cast("int")) for at in places])
+
+
+def middle_places(text: Column) -> Column:
+    """Three places in the middle of a passage, as a phrase holds them."""
+    places = analyzed_positions(text)
+    start = F.greatest(F.floor((F.size(places) - 3) / 2).cast("int"), F.lit(0)) + 1
+    return F.trim(F.array_join(F.slice(places, start, F.lit(3)), " "))
+
+
 def stored_queries(benchmark: DataFrame) -> DataFrame:
     """A saved-query table in its stored form: numbers as reals, dates and lists as text."""
     key = F.col("item_id")
-    words = analyzed_tokens(F.col("text"))
+    words = picked_words(F.col("text"))
     return benchmark.select(
         key.cast("double").alias("id"),
         F.array_join(F.slice(words, 1, 3), " ").alias("query"),
@@ -41,8 +62,8 @@ def stored_clauses(benchmark: DataFrame) -> DataFrame:
     base = benchmark.select(
         key.cast("int").alias("query_id"),
         (key % 6).alias("form"),
-        analyzed_tokens(F.col("text")).alias("w"),
-        analyzed_positions(F.col("text")).alias("p"),
+        picked_words(F.col("text")).alias("w"),
+        middle_places(F.col("text")).alias("p"),
     )
     w = lambda n: F.get("w", F.lit(n - 1))
     row = lambda form, alt, grp, neg, field, kind, pattern, distance: F.struct(
@@ -68,7 +89,7 @@ def stored_clauses(benchmark: DataFrame) -> DataFrame:
         row(2, 0, 0, False, "all", "term", w(1), 0),
         row(2, 0, 1, True, "all", "term", w(4), 0),
         # a phrase of three places
-        row(3, 0, 0, False, "all", "phrase", F.trim(F.array_join(F.slice("p", 1, 3), " ")), 0),
+        row(3, 0, 0, False, "all", "phrase", F.col("p"), 0),
         # two wildcards, either will do
         row(4, 0, 0, False, "all", "wildcard", F.concat(F.left(w(1), F.lit(4)), F.lit("*")), 0),
         row(4, 0, 0, False, "all", "wildcard", question, 0),
@@ -78,3 +99,22 @@ def stored_clauses(benchmark: DataFrame) -> DataFrame:
     )
     rows = base.select("query_id", "form", F.inline(forms))
     return rows.where((F.col("of") == F.col("form")) & (F.col("pattern") != "")).drop("of", "form")
+
+
+def pattern_clauses(benchmark: DataFrame) -> DataFrame:
+    """One pattern a passage: any word, five characters, a short word with edits, an inner piece."""
+    key, w = F.col("item_id"), picked_words(F.col("text"))
+    inner = F.concat(F.lit("*"), F.substr(F.get(w, F.lit(0)), F.lit(2), F.lit(3)), F.lit("*"))
+    short = F.left(F.get(w, F.lit(1)), F.lit(2))
+    patterns = [("wildcard", F.lit("*"), 0), ("wildcard", F.lit("?????"), 0), ("fuzzy", short, 2), ("wildcard", inner, 0)]
+    made = F.array(
+        *[
+            F.struct(F.lit(kind).alias("kind"), text.alias("pattern"), F.lit(n).alias("distance"))
+            for kind, text, n in patterns
+        ]
+    )
+    chosen = benchmark.select(key, F.get(made, (key % 4).cast("int")).alias("leaf"))
+    return chosen.select(
+        key.cast("int").alias("query_id"), F.lit(0).alias("alt"), F.lit(0).alias("grp"),
+        F.lit(False).alias("neg"), F.lit("all").alias("field"), "leaf.*",
+    )

@@ -89,12 +89,113 @@ def test_only_new_files_are_ingested(spark, archive, tmp_path):
     first = {r["identifier"]: r["paper_dc_title"] for r in ingest.ingested(spark, out).collect()}
     assert len(first) == 5 and ingest.rejected(spark, out).count() == 2
     write(archive / "c.xml.gz", doc(8))
-    pending = xml_archive.pending_files(spark, str(archive), ingest.ingested(spark, out))
+    pending = xml_archive.pending_files(spark, str(archive), ingest.converted_files(spark, out))
     assert [r["zipfilename"].rsplit("/", 1)[1] for r in pending.collect()] == ["c.xml.gz"]
     run()
     run()
     assert ingest.ingested(spark, out).count() == 6
-    assert xml_archive.pending_files(spark, str(archive), ingest.ingested(spark, out)).count() == 0
+    assert xml_archive.pending_files(spark, str(archive), ingest.converted_files(spark, out)).count() == 0
+
+
+def test_cdata_is_kept_whole(spark, tmp_path):
+    content = "<text><p><![CDATA[a < b c & d &amp; ]]></p><p>x<b>y</b> &lt;</p><p><![CDATA[]]></p><p>p<![CDATA[<q>]]>r</p></text>"
+    write(tmp_path / "a.xml.gz", doc(1, content=content), doc(2, content="<text><p><![CDATA[open</p></text>"))
+    parsed = xml_archive.parse(xml_archive.read_records(spark, str(tmp_path / "a.xml.gz"))).collect()
+    got = {r["status"]: r for r in parsed}
+    assert got["ok"]["text_content"] == "a < b c & d &amp; \n\nx\n\np<q>r"
+    assert "malformed" in got
+
+
+def damage(folder):
+    whole = (folder / "b.xml.gz").read_bytes()
+    (folder / "cut off.xml.gz").write_bytes(whole[: len(whole) * 2 // 3])
+    (folder / "no gzip.xml.gz").write_bytes(b"<docs>plain</docs>")
+    with gzip.open(folder / "none.xml.gz", "wt") as out:
+        out.write("<docs></docs>")
+    write(folder / "only rejects.xml.gz", doc(9, extra="<field>broken</fiel>"))
+
+
+def names(rows):
+    from urllib.parse import unquote
+
+    return {unquote(r["zipfilename"]).rsplit("/", 1)[1] for r in rows.collect()}
+
+
+def test_one_bad_file_does_not_stop_the_others(spark, archive, tmp_path):
+    damage(archive)
+    path = str(archive)
+    parsed = xml_archive.parse(xml_archive.read_records(spark, path))
+    ids = {r["identifier"] for r in xml_archive.accepted(parsed).collect()}
+    assert {f"article:{n}" for n in (1, 2, 3, 6, 7)} <= ids
+    assert names(xml_archive.unreadable_files(spark, path)) == {"cut off.xml.gz", "no gzip.xml.gz"}
+    report = {names_of(r): (r["articles"], r["rejected"], r["status"]) for r in xml_archive.ingest_report(spark, path).collect()}
+    assert report["a.xml.gz"] == (3, 2, "ok") and report["only rejects.xml.gz"] == (0, 1, "ok")
+    assert report["none.xml.gz"] == (0, 0, "empty") and report["no gzip.xml.gz"] == (0, 0, "unreadable")
+    assert names(xml_archive.pending_files(spark, path, parsed)) >= {"none.xml.gz", "no gzip.xml.gz"}
+    assert "only rejects.xml.gz" not in names(xml_archive.pending_files(spark, path, parsed))
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    ingest.ingest_new_files(spark, path, out, state).awaitTermination()
+    assert {f"article:{n}" for n in (1, 2, 3, 6, 7)} <= {r["identifier"] for r in ingest.ingested(spark, out).collect()}
+
+
+def names_of(row):
+    from urllib.parse import unquote
+
+    return unquote(row["zipfilename"]).rsplit("/", 1)[1]
+
+
+def test_broken_bulk_lines_are_set_aside(spark, tmp_path):
+    good = some_articles(spark, 3)
+    bulk_json.write_bulk(good, str(tmp_path / "bulk"))
+    (tmp_path / "bulk" / "more.json").write_text('{"identifier": "x", "text_con\n{"title": "no id"}\n\n{"delete":{"_id":"1"}}\n')
+    lines = {r["line"] for r in bulk_json.bulk_quarantine(spark, str(tmp_path / "bulk")).collect()}
+    assert lines == {'{"identifier": "x", "text_con', '{"title": "no id"}'}
+    assert bulk_json.read_bulk(spark, str(tmp_path / "bulk")).count() == 3
+
+
+def test_a_second_load_replaces(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    first = some_articles(spark, 20)
+    corpus.upsert(first, path)
+    corpus.upsert(first, path)
+    moved = first.where("identifier in ('1', '5', '9', '13', '17')").withColumns(
+        {"paper_dc_date": F.lit("1955-01-01").cast("date"), "article_dc_title": F.lit("nieuw"), "zipfilename": F.lit("a")}
+    )
+    corpus.upsert(moved.unionByName(moved), path)
+    stored = corpus.read_corpus(spark, path).collect()
+    assert len(stored) == len({r["identifier"] for r in stored}) == 20
+    assert {r["identifier"] for r in stored if r["article_dc_title"] == "nieuw"} == {"1", "5", "9", "13", "17"}
+    assert not (tmp_path / "corpus" / "year=1901").exists()
+    corpus.upsert(first.where("identifier = '1'").withColumn("paper_dc_date", F.lit(None).cast("date")), path)
+    assert corpus.read_corpus(spark, path).where("paper_dc_date is null").count() == 1
+
+
+def test_total_is_told_from_a_missing_source(spark):
+    from broadsheet.operators.counts import articles_per_source
+
+    rows = spark.createDataFrame([("a",), ("a",), (None,)], "zipfilename string")
+    found = {tuple(r) for r in articles_per_source(rows).collect()}
+    assert found == {(None, 1, False), (None, 3, True), ("a", 2, False)}
+
+
+def test_shared_folder(spark, monkeypatch):
+    from broadsheet import session
+
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_base(Session)
+    monkeypatch.setattr(session, "_WRITTEN", [])
+    kept = session.durable(spark.range(3))
+    assert kept.count() == 3 and session.release(spark) == 1 and session.release(spark) == 0
 
 
 def some_articles(spark, n=60):
@@ -171,7 +272,7 @@ def test_sinks(spark, tmp_path):
     counts = spark.createDataFrame([('"de"', 2), ("a\\b", 1)], "term string, count bigint")
     sinks.write_counts(counts, str(tmp_path / "tsv"))
     assert {r["value"] for r in spark.read.text(str(tmp_path / "tsv")).collect()} == {'"de"\t2', "a\\b\t1"}
-    log = spark.createDataFrame([("run@kb", 1, "ok", 5, 0.5)], "identifier string, queryid int, status string, count bigint, time double")
+    log = spark.createDataFrame([("run@articles", 1, "ok", 5, 0.5)], "identifier string, queryid int, status string, count bigint, time double")
     for _ in range(2):
         sinks.append_results(log, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
