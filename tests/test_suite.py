@@ -4,6 +4,7 @@ import pytest
 from oracle import connect, difference
 
 import __spark_entry__ as driver
+from broadsheet.suite import queries, sql
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -14,10 +15,11 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(queries.queries()) == set(sql.oracle_sql())
+    assert set(queries.queries()) <= set(driver.queries())
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query_agrees_with_sql(spark, db, name):
     assert difference(spark, db, SMALL, name) == ""
 
