@@ -272,6 +272,10 @@ def test_sinks(spark, tmp_path):
     counts = spark.createDataFrame([('"de"', 2), ("a\\b", 1)], "term string, count bigint")
     sinks.write_counts(counts, str(tmp_path / "tsv"))
     assert {r["value"] for r in spark.read.text(str(tmp_path / "tsv")).collect()} == {'"de"\t2', "a\\b\t1"}
+    clouds = spark.createDataFrame([(1, "de", 2), (7, "a", 1), (7, "b", 3)], "query_id int, term string, count bigint")
+    sinks.write_query_counts(clouds, str(tmp_path / "clouds"))
+    lines = spark.read.text(str(tmp_path / "clouds" / "query_id=7")).collect()
+    assert {r["value"] for r in lines} == {"a\t1", "b\t3"}
     log = spark.createDataFrame([("run@articles", 1, "ok", 5, 0.5)], "identifier string, queryid int, status string, count bigint, time double")
     for _ in range(2):
         sinks.append_results(log, str(tmp_path / "log"))
