@@ -18,7 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .vectors import best_of_block, matrix, meet, ranked, stored, together, usable, without_copies
+from .vectors import (
+    best_of_block,
+    best_of_matrix,
+    best_pairs,
+    matrix,
+    meet,
+    ranked,
+    stored,
+    together,
+    usable,
+    without_copies,
+)
 
 BRANCHES, ROUNDS = 16, 8
 #: Vectors that the tree is fitted on, wanted rows of a leaf, and leaves at most. Where all
@@ -26,8 +37,8 @@ BRANCHES, ROUNDS = 16, 8
 SAMPLE, LEAF_ROWS, LEAVES = 20_000, 200, 4096
 #: Queries for calibration, and their wanted recall.
 TRIALS, RECALL = 200, 0.97
-#: Queries and candidates of a block.
-QUERIES, CANDIDATES = 4096, 8192
+#: Queries and candidates of a block, and queries scored at once.
+QUERIES, CANDIDATES, ROWS = 4096, 8192, 256
 
 
 @dataclass
@@ -148,27 +159,66 @@ def _assigned(rows: DataFrame, tree: Tree) -> DataFrame:
     return rows.mapInPandas(assign, "vec_id bigint, v array<double>, ids array<bigint>, leaf bigint")
 
 
-def _visits(queries: DataFrame, tree: Tree, most: int) -> DataFrame:
-    """One row a query and leaf that it visits."""
-    shared = queries.sparkSession.sparkContext.broadcast(tree)
+def bins_of(counts: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """For each leaf a bin of neighbouring leaves, and the blocks that the bin is cut into.
+
+    A bin holds about CANDIDATES vectors in one block. A leaf of more is a bin of its own.
+    """
+    found, current, filled = {}, -1, CANDIDATES
+    for leaf in sorted(counts):  # children have the numbers after their parent's
+        blocks = -(-counts[leaf] // CANDIDATES)
+        if filled + counts[leaf] > CANDIDATES:
+            current, filled = current + 1, 0
+        filled += counts[leaf]
+        found[leaf] = (current, blocks)
+    return found
+
+
+def _visits(queries: DataFrame, tree: Tree, most: int, bins: dict[int, tuple[int, int]]) -> DataFrame:
+    """One row a query and bin, with the leaves of the bin that it visits."""
+    shared = queries.sparkSession.sparkContext.broadcast((tree, bins))
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, bins = shared.value
         for frame in frames:
-            if len(frame):
-                yield frame.assign(leaf=shared.value.visits(matrix(frame["v"]), most))
-
-    found = queries.mapInPandas(visit, "vec_id bigint, v array<double>, leaf array<bigint>")
-    return found.withColumn("leaf", F.explode("leaf"))
+            rows = []
+            leaves = tree.visits(matrix(frame["v"]), most) if len(frame) else []
+            for query, vector, own in zip(frame["vec_id"], frame["v"], leaves):
+                of: dict[tuple[int, int], list[int]] = {}
+                for leaf in own:
+                    if leaf in bins:  # a leaf of the sample alone holds nothing
+                        of.setdefault(bins[leaf], []).append(leaf)
+                rows += [(query, vector, bin_, blocks, found) for (bin_, blocks), found in of.items()]
+            yield pd.DataFrame(rows, columns=["vec_id", "v", "bin", "blocks", "leaves"])
+
+    return queries.mapInPandas(
+        visit, "vec_id bigint, v array<double>, bin int, blocks int, leaves array<bigint>"
+    )
 
 
 def _block_scores(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best ``k`` of a block for each query, over all the leaves of it that it visits."""
     out = []
     if len(queries) and len(candidates):
+        candidates = candidates.sort_values(["leaf", "vec_id"])
         b = matrix(candidates["v"])
         ids = [np.asarray(i) for i in candidates["ids"]]
-        for at in range(0, len(queries), 256):
-            part = queries.iloc[at : at + 256]
-            out.append(best_of_block(matrix(part["v"]) @ b.T, part["vec_id"].to_numpy(), ids, k))
+        leaves, begins = np.unique(candidates["leaf"].to_numpy(), return_index=True)
+        ends = np.append(begins[1:], len(b))
+        for at in range(0, len(queries), ROWS):
+            part = queries.iloc[at : at + ROWS]
+            a = matrix(part["v"])
+            sizes = part["leaves"].map(len).to_numpy()
+            asks, asked = np.repeat(np.arange(len(part)), sizes), np.concatenate(part["leaves"].to_list())
+            pairs = []
+            for leaf, begin, end in zip(leaves, begins, ends):
+                own = asks[asked == leaf]
+                if len(own):
+                    row, col, value = best_of_matrix(a[own] @ b[begin:end].T, k)
+                    pairs.append((own[row], begin + col, value))
+            if pairs:
+                row, col, value = (np.concatenate(p) for p in zip(*pairs))
+                out.append(best_pairs(row, col, value, part["vec_id"].to_numpy(), ids, k))
     return together(out, {"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
 
@@ -188,6 +238,7 @@ def nearest(
     ``vectors.usable`` and zero vectors. An empty table gives no rows. A query gets fewer than
     ``k`` rows only if there are fewer candidates, or fewer in the leaves that it visits.
     """
+    spark = table.sparkSession
     rows, _ = stored(usable(table, vec_id, vector, nonzero=True))
     distinct, kinds = stored(without_copies(rows, k + 1))
     sample = _sample(distinct, kinds, SAMPLE)
@@ -200,21 +251,24 @@ def nearest(
     placed = durable(_assigned(distinct, tree))
     asked, questions = stored(rows.where(F.col("vec_id") % every == 0))
     most = calibrate(tree, placed, _sample(asked, questions, TRIALS), k, wanted)
-    visits = durable(_visits(asked, tree, most))
-    # How many blocks each leaf is cut into: one row a leaf.
-    sizes = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CANDIDATES).cast("int").alias("cs"))
-    demand = visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("qs"))
-    blocks = F.broadcast(durable(sizes.join(demand, "leaf")))
+    counts = dict(placed.groupBy("leaf").count().collect())  # a row a leaf
+    bins = bins_of(counts)
+    visits = durable(_visits(asked, tree, most, bins))
+    # How many blocks of queries each bin meets: a row a bin.
+    demand = durable(visits.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("qs")))
     number = lambda of: F.pmod(F.xxhash64("vec_id"), F.col(of)).cast("int")
     every_of = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    candidates = placed.join(blocks, "leaf").select(
-        "vec_id", "v", "ids", "leaf", number("cs").alias("cb"), every_of("qs").alias("qb")
+    homes = F.broadcast(
+        spark.createDataFrame([(leaf, *at) for leaf, at in bins.items()], "leaf bigint, bin int, blocks int")
+    )
+    candidates = placed.join(homes, "leaf").join(F.broadcast(demand), "bin").select(
+        "vec_id", "v", "ids", "leaf", "bin", number("blocks").alias("cb"), every_of("qs").alias("qb")
     )
-    queries = visits.join(blocks, "leaf").select(
-        "vec_id", "v", "leaf", number("qs").alias("qb"), every_of("cs").alias("cb")
+    queries = visits.join(F.broadcast(demand), "bin").select(
+        "vec_id", "v", "leaves", "bin", number("qs").alias("qb"), every_of("blocks").alias("cb")
     )
     found = meet(
-        queries, candidates, ["leaf", "qb", "cb"], lambda q, c: _block_scores(q, c, k),
+        queries, candidates, ["bin", "qb", "cb"], lambda q, c: _block_scores(q, c, k),
         "query_id bigint, vec_id bigint, score double",
     )
     return ranked(found, k)

@@ -65,15 +65,20 @@ def best_pairs(
     return pd.DataFrame({"query_id": own[row[kept]], "vec_id": flat[kept], "score": value[kept]})
 
 
-def best_of_block(scores: np.ndarray, own: np.ndarray, ids: list[np.ndarray], k: int) -> pd.DataFrame:
-    """``best_pairs`` of a whole matrix of scores, queries by distinct vectors."""
+def best_of_matrix(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and values of what may be among the best ``k`` of each row; ties stay."""
     width = scores.shape[1]
-    if width > k + 1:  # the query's own vector may be one of them; ties stay
+    if width > k + 1:  # the query's own vector may be one of them
         cut = np.partition(scores, width - k - 1, axis=1)[:, width - k - 1]
         row, col = np.nonzero(scores >= cut[:, None])
     else:
         row, col = np.nonzero(np.ones(scores.shape, bool))
-    return best_pairs(row, col, scores[row, col], own, ids, k)
+    return row, col, scores[row, col]
+
+
+def best_of_block(scores: np.ndarray, own: np.ndarray, ids: list[np.ndarray], k: int) -> pd.DataFrame:
+    """``best_pairs`` of a whole matrix of scores, queries by distinct vectors."""
+    return best_pairs(*best_of_matrix(scores, k), own, ids, k)
 
 
 def together(found: list[pd.DataFrame], columns: dict[str, str]) -> pd.DataFrame:
