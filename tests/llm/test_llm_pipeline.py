@@ -7,6 +7,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 import corpus_pipeline  # noqa: E402
 import odd  # noqa: E402
+import pytest  # noqa: E402
+from oracle import connect, difference  # noqa: E402
 
 import __spark_entry__  # noqa: E402
 from broadsheet.llm import queries, simhash, sql  # noqa: E402
@@ -61,3 +63,26 @@ def test_stages_on_odd_rows(spark):
     assert (None, "no id, but a text of its own") in rows and (7, "the same text in two rows") not in rows
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.table(spark, []), SF).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
+def test_queries_agree_with_sql(spark, name):
+    assert difference(spark, connect(SF), SF, name) == ""
+
+
+@pytest.mark.parametrize("name", ["op1_language_id", "op2_toxicity", "op3_byte_bpe", "op5_byte_shards", "op8_token_counts", "op9_simhash"])
+def test_every_document_has_one_row(spark, name):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = queries.queries()[name](spark, SF)
+    assert found.columns[: len(COLUMNS[name])] == COLUMNS[name]
+    assert sorted(r[0] for r in found.select("doc_id").collect()) == sorted(r[0] for r in docs.select("doc_id").collect())
+
+
+COLUMNS = {
+    "op1_language_id": ["doc_id", "held_out", "lang_pred", "score"],
+    "op2_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op3_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op5_byte_shards": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op8_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+    "op9_simhash": ["doc_id", "fingerprint", "component_id"],
+}
