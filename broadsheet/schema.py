@@ -81,18 +81,6 @@ ARTICLE_SCHEMA = T.StructType(
     [T.StructField(c, T.DateType() if c == DATE else T.StringType()) for c in ARTICLE_COLUMNS]
 )
 
-SAVED_QUERY_SCHEMA = T.StructType(
-    [
-        T.StructField("id", T.IntegerType()),
-        T.StructField("query", T.StringType()),
-        T.StructField("date_lower", T.DateType()),
-        T.StructField("date_upper", T.DateType()),
-        T.StructField("exclude_article_type", T.ArrayType(T.StringType())),
-        T.StructField("exclude_distributions", T.ArrayType(T.StringType())),
-        T.StructField("user_id", T.IntegerType()),
-    ]
-)
-
 RESULT_LOG_SCHEMA = T.StructType(
     [
         T.StructField("identifier", T.StringType()),
