@@ -187,7 +187,10 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
         mask = ~gone & (1 << 64) - 1
         kept = F.col("fingerprint").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
         keys.append(F.struct(F.lit(way).alias("way"), kept.alias("key")))
-    ways = distinct.select("fingerprint", "id", F.inline(F.array(*keys)))
+    # Narrow rows become one a key: dealt out first, since a small table comes in few pieces.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = distinct.repartition(tasks, "fingerprint")
+    ways = dealt.select("fingerprint", "id", F.inline(F.array(*keys)))
     groups = (
         ways.groupBy("way", "key")
         .agg(F.collect_list(F.struct("fingerprint", "id")).alias("members"))
