@@ -86,7 +86,7 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     found = language.predicted(docs, language.fit(docs))
     return docs.select("doc_id", language.held_out().alias("held_out"), found.alias("found")).select(
-        "doc_id", "held_out", "found.*"
+        "doc_id", "held_out", "found.lang_pred", "found.score"
     )
 
 

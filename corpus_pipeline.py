@@ -21,15 +21,22 @@ from broadsheet.llm import language, lines, packing, simhash, toxicity  # noqa:
 from broadsheet.llm.common import table  # noqa: E402
 from broadsheet.session import durable  # noqa: E402
 
-#: Language ID rejects a text without letters, and one for which the best one-versus-rest
-#: output is this far on the side of "rest" (the score is (output + 1) / 2).
+#: Language ID rejects a text without letters, one that is not familiar from training, and one
+#: for which the best one-versus-rest output is this far on the side of "rest" (the score is
+#: (output + 1) / 2). The outputs of L languages sum to 2 - L, so the score is at least 1 / L:
+#: alone it rejects nothing where there are four languages or fewer.
 LEAST_LANGUAGE_SCORE = 0.25
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose text is in some language."""
-    found = language.predicted(docs, language.fit(docs))
-    kept = (F.col("found.lang_pred") != language.UNKNOWN) & (F.col("found.score") >= LEAST_LANGUAGE_SCORE)
+    model = language.fit(docs)
+    found = language.predicted(docs, model)
+    kept = (
+        (F.col("found.lang_pred") != language.UNKNOWN)
+        & (F.col("found.score") >= LEAST_LANGUAGE_SCORE)
+        & (F.col("found.known") >= model.familiar)
+    )
     return docs.select(F.struct("*").alias("doc"), found.alias("found")).where(kept).select("doc.*")
 
 

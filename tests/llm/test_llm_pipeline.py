@@ -6,6 +6,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 import corpus_pipeline  # noqa: E402
+import numpy as np  # noqa: E402
 import odd  # noqa: E402
 import pytest  # noqa: E402
 from oracle import connect, difference  # noqa: E402
@@ -86,3 +87,28 @@ COLUMNS = {
     "op8_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
     "op9_simhash": ["doc_id", "fingerprint", "component_id"],
 }
+
+
+def invented(rng, letters, words, texts):
+    """Texts of a language that has its own words, made of its own syllables."""
+    syllables = ["".join(rng.choice(list(letters), 2)) for _ in range(30)]
+    lexicon = ["".join(rng.choice(syllables, int(rng.integers(1, 4)))) for _ in range(150)]
+    return [" ".join(rng.choice(lexicon, words)) for _ in range(texts)]
+
+
+@pytest.mark.parametrize("n_languages", [2, 4, 8])
+def test_texts_of_no_learned_language_go(spark, n_languages):
+    rng = np.random.default_rng(n_languages)
+    latin, greek, cyrillic = "abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "бвгдежзийклмнопрстуфхцч"
+    rows = [
+        (f"lang{n}", text)
+        for n in range(n_languages)
+        for text in invented(rng, greek if n % 4 == 3 else latin, int(rng.integers(20, 60)), 80)
+    ]
+    junk = [" ".join("".join(rng.choice(list(latin), int(rng.integers(3, 9)))) for _ in range(30)) for _ in range(12)]
+    # a few of them have a wrong label, so training sees them
+    rows += [("lang0" if n % 6 == 0 else None, text) for n, text in enumerate(junk + invented(rng, cyrillic, 30, 12))]
+    full = [(i, text, lang) for i, (lang, text) in enumerate(rows)]
+    docs = spark.createDataFrame(full, "doc_id bigint, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, SF).collect()}
+    assert kept == set(range(80 * n_languages))
