@@ -78,6 +78,43 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _blocks(rows: np.ndarray, cols: np.ndarray, chosen: np.ndarray, n: int, width: int):
+    """``chosen`` columns, some at a time, with their presence as a matrix of rows by columns."""
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    for at in range(0, len(chosen), width):
+        part = chosen[at : at + width]
+        begins, ends = np.searchsorted(cols, part), np.searchsorted(cols, part, side="right")
+        dense = np.zeros((n, len(part)), np.float32)
+        for i, (a, b) in enumerate(zip(begins.tolist(), ends.tolist())):
+            dense[rows[a:b], i] = 1
+        yield part, dense
+
+
+def paired(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, number: int, least: int, apart: float) -> np.ndarray:
+    """Which of ``number`` terms tell the labels apart among the rows that hold some other term.
+
+    ``rows`` and ``cols`` are the places of the terms. Other terms count if each label has
+    ``least`` rows with them, and pairs in ``least`` rows. Among the rows of the other term, the
+    shares of both labels must differ by more than ``apart`` standard errors; as many pairs are
+    tried as the square of the terms, so ``apart`` is larger than for one term.
+    """
+    seen = np.bincount(cols, minlength=number)
+    ones = np.bincount(cols, weights=labels[rows], minlength=number)
+    others = np.flatnonzero(np.minimum(ones, seen - ones) >= least)
+    toxic = labels == 1
+    told = np.zeros(number, bool)
+    for b, right in _blocks(rows, cols, others, len(labels), 2048):
+        of_ones, of_zeros = ones[b], (seen - ones)[b]
+        for a, left in _blocks(rows, cols, np.flatnonzero(seen >= least), len(labels), 512):
+            in_ones, both = left[toxic].T @ right[toxic], left.T @ right
+            rate = both / (of_ones + of_zeros)
+            error = np.sqrt(rate * (1 - rate) * (1 / of_ones + 1 / of_zeros))
+            far = np.abs(in_ones / of_ones - (both - in_ones) / of_zeros) > apart * error
+            told[a] |= (far & (both >= least) & (a[:, None] != b)).any(axis=1)
+    return told
+
+
 def fit_rows(
     rows: list[np.ndarray],
     labels: np.ndarray,
@@ -85,12 +122,16 @@ def fit_rows(
     steps: int = 400,
     least: int = 3,
     apart: float = 4.5,
+    pair_rows: int = 20,
+    pair_apart: float = 6.5,
+    ridge: float = 1e-3,
 ) -> Model:
     """Fit weights and factors to rows of distinct buckets by Adam on the weighted log loss.
 
-    Only terms that tell the labels apart take part, alone or in pairs: those in at least
-    ``least`` rows whose shares of both labels differ by more than ``apart`` standard errors.
-    Rare words would otherwise be learned by heart. Without both labels the model gives every
+    All terms in at least ``least`` rows have a weight. Factors are for those that tell the
+    labels apart: alone, when their shares of both labels differ by more than ``apart``
+    standard errors, or in a pair (``paired``). ``ridge`` holds down the weights of the
+    others, which would otherwise be learned by heart. Without both labels the model gives every
     text the share of label 1 (0 if there is no row at all).
     """
     empty = Model(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)), -30.0)
@@ -106,38 +147,48 @@ def fit_rows(
     in_ones = np.bincount(which, weights=labels[row_of], minlength=len(found))
     rate = seen / (ones + zeros)
     error = np.sqrt(rate * (1 - rate) * (1 / ones + 1 / zeros))
-    often = (seen >= least) & (np.abs(in_ones / ones - (seen - in_ones) / zeros) > apart * error)
-    use = often[which]
-    row_of, col = row_of[use], (np.cumsum(often) - 1)[which[use]]
+    often = seen >= least
     n = int(often.sum())
     if not n or prior in (0.0, 1.0):
         empty.bias = bias
         return empty
+    alone = often & (np.abs(in_ones / ones - (seen - in_ones) / zeros) > apart * error)
+    telling = (alone | paired(row_of, which, labels, len(found), pair_rows, pair_apart))[often]
+    use = often[which]
+    all_rows, every = row_of[use], (np.cumsum(often) - 1)[which[use]]
+    all_in_rows = np.bincount(all_rows, minlength=len(rows))
+    all_by_col = all_rows[np.argsort(every, kind="stable")]
+    all_in_cols = np.bincount(every, minlength=n)
+    use = telling[every]
+    row_of, col = all_rows[use], (np.cumsum(telling) - 1)[every[use]]
+    m = int(telling.sum())
     in_rows = np.bincount(row_of, minlength=len(rows))
     by_col = np.argsort(col, kind="stable")
-    in_cols = np.bincount(col, minlength=n)
+    in_cols = np.bincount(col, minlength=m)
     rng = np.random.default_rng(7)
-    state = [np.zeros(n), rng.normal(0, 0.02, (n, FACTORS)), np.array([bias])]
+    state = [np.zeros(n), rng.normal(0, 0.02, (m, FACTORS)), np.array([bias])]
     first = [np.zeros_like(s) for s in state]
     second = [np.zeros_like(s) for s in state]
     share = weights / weights.sum()
-    rates, decay = (0.1, 0.02, 0.1), (1e-6, 1e-5, 0.0)
+    rates, decay = (0.1, 0.02, 0.1), (np.where(telling, 1e-6, ridge), 1e-5, 0.0)
     for step in range(1, steps + 1):
         w, v, b = state
         of = v[col]
         sums = _sums(of, in_rows)
-        logit = b[0] + _sums(w[col], in_rows) + 0.5 * ((sums**2).sum(axis=1) - _sums((of**2).sum(axis=1), in_rows))
+        logit = b[0] + _sums(w[every], all_in_rows) + 0.5 * ((sums**2).sum(axis=1) - _sums((of**2).sum(axis=1), in_rows))
         delta = share * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels)
-        per_col = _sums(delta[row_of][by_col], in_cols)
+        per_col = _sums(delta[all_by_col], all_in_cols)
         pulled = _sums((delta[:, None] * sums)[row_of][by_col], in_cols)
-        gradient = [per_col, pulled - v * per_col[:, None], np.array([delta.sum()])]
+        gradient = [per_col, pulled - v * per_col[telling][:, None], np.array([delta.sum()])]
         for i, g in enumerate(gradient):
             g = g + decay[i] * state[i]
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g
             ahead = first[i] / (1 - 0.9**step)
             state[i] = state[i] - rates[i] * ahead / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
-    return Model(found[often].astype(np.int64), state[0], state[1], float(state[2][0]))
+    factors = np.zeros((n, FACTORS))
+    factors[telling] = state[1]
+    return Model(found[often].astype(np.int64), state[0], factors, float(state[2][0]))
 
 
 def fit(

@@ -171,6 +171,29 @@ def test_toxicity_needs_the_pair():
     assert np.mean((model.logits(known) > 0) == np.array(labels[2000:])) > 0.98
 
 
+def test_toxicity_needs_a_pair_of_terms_that_tell_nothing_alone():
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for n in range(4000):
+        words = set(rng.choice(200, 12).tolist())
+        first, second = n % 2 < 1, n % 4 < 2  # each in half of the texts of either label
+        words |= ({1000} if first else set()) | ({2000} if second else set())
+        rows.append(np.array(sorted(words)))
+        labels.append(float(first == second))
+    model = toxicity.fit_rows(rows[:3000], np.array(labels[:3000]), np.ones(3000))
+    assert {1000, 2000} <= set(model.known)
+    known = [[model.known[w] for w in r.tolist() if w in model.known] for r in rows[3000:]]
+    assert np.mean((model.logits(known) > 0) == np.array(labels[3000:])) > 0.98
+
+
+def test_toxicity_learns_a_rare_insult():
+    rng = np.random.default_rng(6)
+    rows = [np.array(sorted(set(rng.choice(200, 12).tolist()) | ({3000} if n < 12 else set()))) for n in range(4000)]
+    model = toxicity.fit_rows(rows, (np.arange(4000) < 2000).astype(float), np.ones(4000))
+    weights = model.weights[[model.known[w] for w in range(200)]]
+    assert model.weights[model.known[3000]] > max(0.3, np.abs(weights).max())
+
+
 def test_toxicity_of_the_test_table(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
