@@ -31,14 +31,19 @@ def usable(table: DataFrame, vec_id: str, vector: str, nonzero: bool) -> DataFra
 
 
 def without_copies(rows: DataFrame, keep: int) -> DataFrame:
-    """``vec_id, v, ids``: one row a distinct vector, with its ``keep`` smallest ids in order.
+    """``vec_id, v, ids``: one row a distinct vector, with its ``keep`` smallest distinct ids in order.
 
-    Copies score alike and rank by id, so no later copy can be among the best ``keep``. Each
-    task drops later copies before rows move.
+    Copies score alike and rank by id, so no later id can be among the best ``keep``. An id
+    stands as often as rows repeat it, at most ``keep - 1`` times: no answer uses more of them.
+    Repeats are counted first, so no task holds those of a hot vector.
     """
+    repeats = rows.groupBy("v", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(keep - 1)).cast("int").alias("n"))
     same = Window.partitionBy("v").orderBy("vec_id")
-    first = rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= keep)
-    grouped = first.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    first = repeats.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= keep)
+    listed = F.sort_array(F.collect_list(F.struct("vec_id", "n")))
+    grouped = first.groupBy("v").agg(
+        F.flatten(F.transform(listed, lambda x: F.array_repeat(x["vec_id"], x["n"]))).alias("ids")
+    )
     return grouped.select(F.col("ids")[0].alias("vec_id"), "v", "ids")
 
 

@@ -129,3 +129,13 @@ def test_copies_keep_their_smallest_ids(spark):
     rows = [(i, [1.0, 2.0]) for i in range(50)] + [(99, [2.0, 1.0])]
     kept = vectors.without_copies(vectors.usable(table(spark, rows), "vec_id", "embedding", True), 5).collect()
     assert sorted((r["vec_id"], r["ids"]) for r in kept) == [(0, [0, 1, 2, 3, 4]), (99, [99])]
+
+
+def test_repeats_of_an_id_hide_no_other(spark):
+    same = [0.5] * 8
+    rows = [(100, same)] * 14 + [(101, same), (102, same), (102, same)] + [(200, [-1.0] * 8)]
+    # as in the SQL, each of the 14 rows of query 100 finds 101 once
+    want = {(100, n, 101) for n in range(1, 11)} | {(200, n, 100) for n in range(1, 11)}
+    assert {tuple(r)[:3] for r in topk.top_k(table(spark, rows), 10, 100).collect()} == want
+    near = ann.nearest(table(spark, rows), 10, 100).collect()
+    assert {tuple(r)[:3] for r in near} == want
