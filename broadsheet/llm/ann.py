@@ -78,19 +78,26 @@ class Tree:
                 at[members] = node
         return at
 
-    def visits(self, queries: np.ndarray, most: int) -> list[list[int]]:
-        """The first ``most`` leaves for each query, best bin first."""
+    def visits(
+        self, queries: np.ndarray, most: int, held: dict[int, int] | None = None, wanted: int = 0
+    ) -> list[list[int]]:
+        """The first ``most`` leaves for each query, best bin first.
+
+        Goes on until the leaves hold ``wanted`` rows by the counts ``held``, or none is left.
+        """
+        held = held or {}
         weights = queries @ np.array(self.centres).T
         out = []
         for weight in -weights:
-            heap, leaves = [(weight[0], 0)], []
-            while heap and len(leaves) < most:
+            heap, leaves, rows = [(weight[0], 0)], [], 0
+            while heap and (len(leaves) < most or rows < wanted):
                 _, node = heapq.heappop(heap)
                 if self.children[node]:
                     for child in self.children[node]:
                         heapq.heappush(heap, (weight[child], child))
                 else:
                     leaves.append(node)
+                    rows += held.get(node, 0)
             out.append(leaves)
         return out
 
@@ -174,15 +181,20 @@ def bins_of(counts: dict[int, int]) -> dict[int, tuple[int, int]]:
     return found
 
 
-def _visits(queries: DataFrame, tree: Tree, most: int, bins: dict[int, tuple[int, int]]) -> DataFrame:
-    """One row a query and bin, with the leaves of the bin that it visits."""
-    shared = queries.sparkSession.sparkContext.broadcast((tree, bins))
+def _visits(
+    queries: DataFrame, tree: Tree, most: int, bins: dict[int, tuple[int, int]], held: dict[int, int], wanted: int
+) -> DataFrame:
+    """One row a query and bin, with the leaves of the bin that it visits.
+
+    The leaves that a query visits hold at least ``wanted`` rows by the counts ``held``.
+    """
+    shared = queries.sparkSession.sparkContext.broadcast((tree, bins, held))
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, bins = shared.value
+        tree, bins, held = shared.value
         for frame in frames:
             rows = []
-            leaves = tree.visits(matrix(frame["v"]), most) if len(frame) else []
+            leaves = tree.visits(matrix(frame["v"]), most, held, wanted) if len(frame) else []
             for query, vector, own in zip(frame["vec_id"], frame["v"], leaves):
                 of: dict[tuple[int, int], list[int]] = {}
                 for leaf in own:
@@ -236,7 +248,7 @@ def nearest(
     go to the smaller id. A row is no candidate for its own id. Copies of a vector share one
     entry of the index and are written out. Rows that take no part are those of
     ``vectors.usable`` and zero vectors. An empty table gives no rows. A query gets fewer than
-    ``k`` rows only if there are fewer candidates, or fewer in the leaves that it visits.
+    ``k`` rows only if there are fewer candidates: it visits leaves until they hold enough.
     """
     spark = table.sparkSession
     rows, _ = stored(usable(table, vec_id, vector, nonzero=True))
@@ -251,9 +263,11 @@ def nearest(
     placed = durable(_assigned(distinct, tree))
     asked, questions = stored(rows.where(F.col("vec_id") % every == 0))
     most = calibrate(tree, placed, _sample(asked, questions, TRIALS), k, wanted)
-    counts = dict(placed.groupBy("leaf").count().collect())  # a row a leaf
+    per_leaf = placed.groupBy("leaf").agg(F.count(F.lit(1)), F.sum(F.size("ids"))).collect()  # a row a leaf
+    counts, held = {leaf: n for leaf, n, _ in per_leaf}, {leaf: n for leaf, _, n in per_leaf}
     bins = bins_of(counts)
-    visits = durable(_visits(asked, tree, most, bins))
+    # Of 2 k rows, k at most are the query's own: without_copies keeps an id k times at most.
+    visits = durable(_visits(asked, tree, most, bins, held, 2 * k))
     # How many blocks of queries each bin meets: a row a bin.
     demand = durable(visits.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("qs")))
     number = lambda of: F.pmod(F.xxhash64("vec_id"), F.col(of)).cast("int")

@@ -131,6 +131,26 @@ def test_copies_keep_their_smallest_ids(spark):
     assert sorted((r["vec_id"], r["ids"]) for r in kept) == [(0, [0, 1, 2, 3, 4]), (99, [99])]
 
 
+def test_every_query_has_all_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF_ROWS", 8)
+    monkeypatch.setattr(ann, "calibrate", lambda *_: 1)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 8)) * 10
+    rows = [(i, [float(c) for c in np.float32(centres[i % 20] + rng.normal(size=8) * 1e-3)]) for i in range(1200)]
+    rows += [(1200 + 20 * i, [float(c) for c in np.float32(rng.normal(size=8) * 1e3)]) for i in range(12)]
+    found = ann.nearest(table(spark, rows), 20, 20).collect()
+    had = Counter(r["query_id"] for r in found)
+    assert had == {i: 20 for i, _ in rows if i % 20 == 0}
+
+
+def test_visits_go_on_until_the_leaves_hold_enough():
+    rows = np.random.default_rng(4).normal(size=(2000, 6))
+    tree = ann.Tree.fit(rows, 40)
+    held = {leaf: 1 for leaf in tree.visits(rows[:1], tree.leaves)[0][10:]}
+    assert [len(v) for v in tree.visits(rows[:1], 2, held, 7)] == [17]
+    assert [len(v) for v in tree.visits(rows[:1], 2, held, 10_000)] == [tree.leaves]
+
+
 def test_repeats_of_an_id_hide_no_other(spark):
     same = [0.5] * 8
     rows = [(100, same)] * 14 + [(101, same), (102, same), (102, same)] + [(200, [-1.0] * 8)]
