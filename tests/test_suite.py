@@ -26,3 +26,9 @@ def test_query_agrees_with_sql(spark, db, name):
 
 def test_entry(spark):
     assert 0 < driver.entry(spark).count() <= 100
+
+
+def test_the_default_bench_covers_the_long_queries():
+    import bench
+
+    assert {"saved_query_stats", "match_diacritics", "corpus_load"} <= set(bench.HEADLINE)
