@@ -476,6 +476,13 @@ def saved_query_wordcloud_mr(spark, sf):
     return _ungated(spark, sf).clouds
 
 
+@query
+def saved_query_wordcloud_all(spark, sf):
+    """Word clouds of analysed words for all saved queries, without a gate."""
+    queries, clauses = _saved(spark, sf)
+    return batch.run_batch(articles(spark, sf), queries, clauses, None, None, tokeniser="analyzed").clouds
+
+
 @query
 def saved_query_stats(spark, sf):
     queries, _ = _saved(spark, sf)

@@ -267,6 +267,7 @@ def oracle_sql() -> dict[str, str]:
         "result_log": f"with {BATCH} select 'run@documents' as identifier, query_id as queryid, status, count, true as timed from gated",
         "saved_query_patterns": f"with {PATTERN_BATCH} select query_id, count from counted",
         "saved_query_wordcloud_mr": f"with {BATCH} select * from (select *, row_number() over (partition by query_id order by count desc, term) as rank from (select query_id, term, count(*) as count from (select m.query_id, unnest({stripped(CLOUD_TEXT, 2)}) as term from matches m join worded x on x.identifier = m.identifier) group by query_id, term)) where rank <= 100",
+        "saved_query_wordcloud_all": f"with {BATCH} select * from (select *, row_number() over (partition by query_id order by count desc, term) as rank from (select query_id, term, count(*) as count from (select m.query_id, unnest({analyzed(CLOUD_TEXT)}) as term from matches m join worded x on x.identifier = m.identifier) where length(term) >= 2 group by query_id, term)) where rank <= 100",
         "saved_query_stats": f"with {BATCH}, sized as (select identifier, len({stripped('text_content')}) + len({stripped('article_dc_title')}) as words from worded) select s.id as query_id, cast(coalesce(sum(words), 0) as bigint) as words, count(z.identifier) as docs from stored s left join matches m on m.query_id = s.id left join sized z on z.identifier = m.identifier group by s.id",
         "match_diacritics": f"with {DECOMPOSED} select identifier from worded where {has(_ET)} or regexp_matches(s, {_text(f' r{_E} [^ ]* la ')}) or {some_word('regexp_matches(x, ' + _text(f'^que.{_E}.*$') + ')')}",
         "ingest_report": f"select count_if({XML_OK}) as articles, count_if(not ({XML_OK})) as rejected, 0 as unreadable from documents",
