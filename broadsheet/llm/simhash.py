@@ -210,6 +210,8 @@ def near_duplicates(
 ) -> DataFrame:
     """``doc_id, text_hash, fingerprint`` (signed), ``component_id``: the smallest linked doc_id.
 
+    ``group`` is one of the fingerprints of the component, also where it has no id.
+
     Documents link where their fingerprints differ in at most ``radius`` bits. Copies meet
     in one row a fingerprint first, so links join texts that differ. Texts without words
     (null, empty) share fingerprint 0. Repeated rows stay; rows with a null id keep it and
@@ -225,14 +227,22 @@ def near_duplicates(
     distinct = durable(
         marked.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows"))
     )
-    # A node is named by its smallest doc_id; a fingerprint of null ids alone links to nothing.
-    named = distinct.where(F.col("id").isNotNull())
-    group = components(links(named, radius))
-    labels = distinct.join(group, F.col("id") == F.col("node"), "left").select(
-        "fingerprint", "rows", F.coalesce("component", "id").alias("component_id")
+    # A node is a fingerprint, so those of null ids link too; repeated ids join their fingerprints.
+    nodes = distinct.select("fingerprint", F.col("fingerprint").alias("id"))
+    repeated = distinct.where(F.col("id").isNotNull()).groupBy("id").agg(
+        F.min("fingerprint").alias("b"), F.count(F.lit(1)).alias("n")
+    )
+    same = distinct.join(repeated.where(F.col("n") > 1), "id").select(F.col("fingerprint").alias("a"), "b")
+    found = components(links(nodes, radius).union(same))
+    grouped = durable(
+        distinct.join(found, F.col("fingerprint") == F.col("node"), "left").select(
+            "fingerprint", "rows", "id", F.coalesce("component", "fingerprint").alias("group")
+        )
     )
+    least = durable(grouped.groupBy("group").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("prints")))
+    labels = lookup(grouped, least, ["group"], "prints", grouped.count(), "inner").drop("id")
     return lookup(marked, durable(labels), ["fingerprint"], "rows", marked.count()).select(
-        "doc_id", "text_hash", "fingerprint", "component_id"
+        "doc_id", "text_hash", "fingerprint", "component_id", "group"
     )
 
 

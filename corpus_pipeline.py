@@ -70,10 +70,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keep one document of each group: the one with the group's smallest id.
 
     Of rows that repeat this id, those with the smallest hash of their text count, and one of
-    them stays. Of rows with a null id one stays for each fingerprint that no other row has.
+    them stays. Of rows with a null id one stays for each group without an id.
     """
     groups = simhash.near_duplicates(docs)
-    alone = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
+    alone = F.when(F.col("component_id").isNull(), F.col("group"))
     keepers = (
         groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy(F.col("component_id").alias("id"), alone.alias("alone"))

@@ -305,3 +305,12 @@ def test_lookup_with_hot_keys(spark, monkeypatch, how):
 def test_sha_of_an_empty_text_is_that_of_nothing(spark):
     kept = lines.drop_shared_lines(odd.table(spark, [(1, None, None)])).select(F.sha2("kept", 256)).first()[0]
     assert kept == hashlib.sha256(b"").hexdigest()
+
+
+def test_rows_with_null_ids_have_their_group(spark, monkeypatch):
+    rows = [(5, "0", None), (None, "3", None), (9, "15", None), (None, str(65535 << 40), None), (None, str(65535 << 40 | 1), None)]
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, size: text.cast("bigint"))
+    found = {r["fingerprint"]: r for r in simhash.near_duplicates(odd.table(spark, rows)).collect()}
+    assert [found[p]["component_id"] for p in (0, 3, 15)] == [5, 5, 5]
+    alone = [found[65535 << 40 | n] for n in (0, 1)]
+    assert {r["component_id"] for r in alone} == {None} and len({r["group"] for r in alone}) == 1
