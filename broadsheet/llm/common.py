@@ -33,15 +33,18 @@ def per_batch(work: Callable[[list], pa.Array], returns: str) -> Callable[..., C
 class Memo(dict):
     """Results of ``make`` by key, for ``map(memo.__getitem__, keys)``.
 
-    Holds two generations of at most ``most`` keys, so that memory stays bounded: what was used
-    since the last change of generation survives the next one.
+    Holds two generations of at most ``most`` keys: what was used since the last change of
+    generation survives the next one. Keys that are texts of over ``longest`` characters are not
+    held, so that memory stays bounded whatever the texts are: a result is no larger than its key.
     """
 
-    def __init__(self, make: Callable, most: int):
+    def __init__(self, make: Callable, most: int, longest: int = 64):
         super().__init__()
-        self.make, self.most, self.before = make, most, {}
+        self.make, self.most, self.longest, self.before = make, most, longest, {}
 
     def __missing__(self, key):
+        if type(key) is str and len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.most:
             self.before = dict(self)
             self.clear()

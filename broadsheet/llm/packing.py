@@ -106,6 +106,13 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return rules
 
 
+def byte_letters() -> dict[str, int]:
+    """The character that a byte-level BPE file writes for each byte, and that byte."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class Ids:
     """Texts to ids by a byte-level BPE file, as little-endian unsigned 32-bit numbers.
 
@@ -124,17 +131,15 @@ class Ids:
             or any(split.get(k) != v for k, v in fixed.items())
         ):
             raise ValueError("not a plain byte-level BPE file")
-        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in visible]
-        byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        byte_of = byte_letters()
         added = {t["content"]: t["id"] for t in made["added_tokens"]}
         ranks = {
             bytes(map(byte_of.__getitem__, token)): rank
             for token, rank in model["vocab"].items()
             if token not in added
         }
-        own = tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-        pack = lambda text: np.array(own.encode_ordinary(text), dtype="<u4").tobytes()
+        self.own = tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        pack = lambda text: np.array(self.own.encode_ordinary(text), dtype="<u4").tobytes()
         self.plain = BySpace(pack, b"".join, PIECES).encode
         self.added = {t: np.array([i], dtype="<u4").tobytes() for t, i in added.items()}
         longest = sorted(map(regex.escape, added), key=len, reverse=True)

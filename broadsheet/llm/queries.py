@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    alignment,
     ann,
+    audit,
     byte_bpe,
     language,
     lines,
     packing,
     piece_counts,
+    quality,
     shards,
     simhash,
     topk,
@@ -108,3 +111,22 @@ def op6_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(table(spark, sf, "embeddings"), k=10, every=100)
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.audit(table(spark, sf, "documents"), least_docs=10, top=10)
+
+
+@query
+def op12_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = quality.fit(docs, table(spark, sf, "labels"))
+    scored = docs.select("doc_id", quality.held_out().alias("held_out"), quality.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path
+    return alignment.align(table(spark, sf, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))

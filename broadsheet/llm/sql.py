@@ -44,5 +44,50 @@ select query_id, rank, vec_id, score from numbered where rank <= 10
 """
 
 
+_DIVERGENCE = rf"""
+with named as (
+  select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(
+      translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents
+), word as (
+  select doc, lang, source, unnest(terms) as term from named
+), kept as (
+  select lang, term, count(*) as n from word group by all having count(distinct doc) >= 10
+), size as (
+  select lang, count(*) as v, sum(n) as n from kept group by lang
+), held as (
+  select lang, source, term, count(*) as n from word semi join kept using (lang, term) group by all
+), total as (
+  select lang, source, sum(n) as n from held group by all
+), grp as (
+  select distinct lang, source from named
+), chance as (
+  select g.lang, g.source, k.term, coalesce(h.n, 0) as n,
+    1 + 1000000000::hugeint * (coalesce(h.n, 0) + 2) // (coalesce(t.n, 0) + 2 * s.v) as p,
+    1 + 1000000000::hugeint * (k.n + 2) // (s.n + 2 * s.v) as q
+  from grp g join kept k using (lang) join size s using (lang)
+  left join total t on t.lang = g.lang and t.source = g.source
+  left join held h on h.lang = g.lang and h.source = g.source and h.term = k.term
+), apart as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from chance a join chance b on a.lang = b.lang and a.term = b.term and a.source <> b.source
+  group by all
+), part as (
+  select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(x.value, 0) as bigint) as value
+  from grp a join grp b on a.lang = b.lang and a.source <> b.source
+  left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all
+  select lang, source, 'term', term, cast((p - q) * (p - q) // (p + q) as bigint)
+  from chance where n > 0 and p > q
+), ranked as (
+  select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank
+  from part
+)
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _LINE_DEDUP, "op10_exact_top_k": _TOP_K}
+    return {"op4_line_dedup": _LINE_DEDUP, "op10_exact_top_k": _TOP_K, "op11_source_divergence": _DIVERGENCE}
