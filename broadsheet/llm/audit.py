@@ -12,22 +12,26 @@ are few) and by those that both hold (streamed, added up in memory).
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
 
-#: An index in memory is full with so many entries, or after so many bytes of text.
-ENTRIES, TEXT_BYTES = 400_000, 32 << 20
-#: Terms of a page of a run, and rows of an Arrow batch.
-PAGE, BATCH = 64, 512
+#: An index in memory is full with so many terms of documents, or after so many bytes of text.
+ENTRIES, TEXT_BYTES = 2_000_000, 32 << 20
+#: Bytes of text added at once, terms of a page of a run, and pages of an Arrow batch.
+CHUNK_BYTES, PAGE, BATCH = 4 << 20, 256, 256
+#: Rows of other Arrow batches.
+ROWS = 2000
 #: Pairs of sources are added up in square tiles of this side, so many at once.
 SIDE, TILES = 256, 64
 
@@ -36,7 +40,7 @@ PARTS = 1_000_000_000
 
 PAGE_SCHEMA = (
     "shard int, lang string, first binary, terms array<binary>, docs array<bigint>, "
-    "sizes array<int>, sources array<string>, counts array<bigint>"
+    "sizes array<int>, names array<string>, sources array<int>, counts array<bigint>"
 )
 TERM_SCHEMA = "lang string, term string, docs bigint, sources array<string>, counts array<bigint>"
 
@@ -45,52 +49,96 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else
 
 
 class Index:
-    """Block postings of one task."""
+    """Block postings of one task: for each term of a document its group, and how often it occurs."""
 
     def __init__(self, shards: int, entries: int = ENTRIES, text_bytes: int = TEXT_BYTES):
         self.shards, self.entries, self.text_bytes = shards, entries, text_bytes
         self._clear()
 
     def _clear(self) -> None:
-        self.docs: dict[str, Counter] = defaultdict(Counter)
-        self.counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        self.seen = 0
-
-    def add(self, lang: str, source: str, text: bytes) -> None:
-        terms = text.translate(_FOLD).split()
-        self.counts[lang, source].update(terms)
-        self.docs[lang].update(set(terms))
-        self.seen += len(text)
+        self.terms: dict[bytes, int] = {}
+        self.langs: dict[str, int] = {}
+        self.groups: dict[tuple[str, str], int] = {}
+        self.postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # groups, terms, occurrences
+        self.size = self.seen = 0
+
+    def add(self, langs: list[str], sources: list[str], texts: list[bytes]) -> None:
+        """Add some documents, so few that their words fit into memory."""
+        for lang in langs:
+            self.langs.setdefault(lang, len(self.langs))
+        group = np.array([self.groups.setdefault(g, len(self.groups)) for g in zip(langs, sources)], np.int64)
+        cut = pc.split_pattern(pa.array([t.translate(_FOLD) for t in texts], pa.large_binary()), b" ")
+        doc = np.repeat(np.arange(len(texts)), cut.value_lengths().to_numpy(zero_copy_only=False))
+        words = cut.flatten().dictionary_encode()
+        names = words.dictionary.to_pylist()
+        own = np.array([self.terms.setdefault(t, len(self.terms)) if t else -1 for t in names], np.int64)
+        which, found = pd.factorize(doc * max(1, len(names)) + words.indices.to_numpy())
+        often = np.bincount(which, minlength=len(found))
+        of, term = found // max(1, len(names)), own[found % max(1, len(names))]
+        real = term >= 0  # not what stands between two blanks
+        self.postings.append((group[of][real], term[real], often[real]))
+        self.size += int(real.sum())
+        self.seen += sum(map(len, texts))
 
     def full(self) -> bool:
-        return self.seen >= self.text_bytes or sum(map(len, self.counts.values())) >= self.entries
+        return self.seen >= self.text_bytes or self.size >= self.entries
 
-    def spill(self) -> Iterator[tuple]:
+    def spill(self) -> Iterator[pa.RecordBatch]:
         """The index as a run: pages of neighbouring terms for each language and shard."""
-        for lang, docs in self.docs.items():
-            held = defaultdict(list)
-            for (of, source), counts in self.counts.items():
-                if of == lang:
-                    for term, n in counts.items():
-                        held[term].append((source, n))
-            place = lambda term: crc32(term) % self.shards
-            for shard, terms in groupby(sorted(docs, key=lambda t: (place(t), t)), place):
-                terms = list(terms)
-                for at in range(0, len(terms), PAGE):
-                    page = terms[at : at + PAGE]
-                    pairs = [p for t in page for p in held[t]]
-                    yield (
-                        shard, lang, page[0], page, [docs[t] for t in page], [len(held[t]) for t in page],
-                        [s for s, _ in pairs], [n for _, n in pairs],
-                    )
+        groups, held, often = (np.concatenate(x) for x in zip(*self.postings)) if self.postings else ([], [], [])
+        if len(held):
+            yield from self._pages(groups, held, often)
         self._clear()
 
+    def _pages(self, groups: np.ndarray, held: np.ndarray, often: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, shards, many = len(self.terms), self.shards, len(self.groups)
+        terms = pa.array(self.terms, pa.binary())
+        order = pc.array_sort_indices(terms).to_numpy()
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        place = np.fromiter(map(crc32, self.terms), np.int64, n) % shards * n + rank
+        lang_of = np.array([self.langs[lang] for lang, _ in self.groups], np.int64)
+        # A row is a term of a language, a posting a group of such a row.
+        rows, docs = np.unique(lang_of[groups] * (shards * n) + place[held], return_counts=True)
+        keys = (lang_of[groups] * (shards * n) + place[held]) * many + groups
+        by_key = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.diff(keys[by_key], prepend=-1))
+        counts, keys = np.add.reduceat(often[by_key], first), keys[by_key][first]
+        sizes = np.diff(np.append(np.searchsorted(keys, rows * many), len(keys)))
+        sorted_terms = terms.take(pa.array(order[rows % n]))
+        part = rows // n
+        begins = np.flatnonzero(np.diff(part, prepend=-1))
+        within = np.arange(len(rows)) - np.repeat(begins, np.diff(np.append(begins, len(rows))))
+        starts = np.flatnonzero(within % PAGE == 0)
+        ends = np.append(starts, len(rows))
+        posted = np.append(0, np.cumsum(sizes))[ends]
+        names = np.array([source for _, source in self.groups], object)
+        local = [np.unique(keys[i:j] % many, return_inverse=True) for i, j in zip(posted[:-1], posted[1:])]
+        langs = list(self.langs)
+        lists = lambda offsets, values, kind: pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(values, kind))
+        out = pa.RecordBatch.from_arrays(
+            [
+                pa.array(part[starts] % shards, pa.int32()),
+                pa.array([langs[i] for i in part[starts] // shards], pa.string()),
+                sorted_terms.take(pa.array(starts)),
+                lists(ends, sorted_terms, pa.binary()),
+                lists(ends, docs, pa.int64()),
+                lists(ends, sizes, pa.int32()),
+                pa.array([names[u].tolist() for u, _ in local], pa.list_(pa.string())),
+                lists(posted, np.concatenate([at for _, at in local]), pa.int32()),
+                lists(posted, counts, pa.int64()),
+            ],
+            schema=_arrow(PAGE_SCHEMA),
+        )
+        for at in range(0, out.num_rows, BATCH):
+            yield out.slice(at, BATCH)
+
 
 def _record_batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for row in rows:
         held.append(row)
-        if len(held) == BATCH:
+        if len(held) == ROWS:
             yield _record_batch(held, schema)
             held = []
     if held:
@@ -110,62 +158,102 @@ def _arrow(schema: str) -> pa.Schema:
 
 def runs(docs: DataFrame, shards: int, entries: int = ENTRIES, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """Pages of the runs of ``docs`` (lang, source, text, none of them null)."""
-    out = _arrow(PAGE_SCHEMA)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pages() -> Iterator[tuple]:
-            index = Index(shards, entries, text_bytes)
-            for batch in batches:
-                langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for lang, source, text in zip(langs, sources, batch.column(2)):
-                    index.add(lang, source, text.as_buffer().to_pybytes())
-                    if index.full():
-                        yield from index.spill()
-            yield from index.spill()
-
-        yield from _record_batches(pages(), out)
+        index = Index(shards, entries, text_bytes)
+        for chunk in _chunks(batches, min(CHUNK_BYTES, text_bytes)):
+            index.add(*chunk)
+            if index.full():
+                yield from index.spill()
+        yield from index.spill()
 
     return docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(build, PAGE_SCHEMA)
 
 
-def _postings(page: dict, number: int) -> Iterator[tuple]:
-    """``(term, number, docs, sources, counts)`` of a page, sorted by term."""
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list, list]]:
+    chunk: tuple[list, list, list] = ([], [], [])
+    size = 0
+    for batch in batches:
+        for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            text = row[2].as_py()
+            for values, value in zip(chunk, (row[0], row[1], text)):
+                values.append(value)
+            size += len(text) + 1
+            if size >= most:
+                yield chunk
+                chunk, size = ([], [], []), 0
+    if chunk[0]:
+        yield chunk
+
+
+class Page:
+    """A page of a run as the merge reads it; the columns are those of its Arrow batch."""
+
+    __slots__ = ("lang", "shard", "terms", "docs", "at", "end", "begin", "names", "sources", "counts")
+
+    def postings(self, i: int) -> Iterator[tuple[str, int]]:
+        part = slice(self.begin[i], self.begin[i + 1])
+        return zip(map(self.names.__getitem__, self.sources[part].tolist()), self.counts[part].tolist())
+
+
+def read_pages(batch: pa.RecordBatch) -> Iterator[Page]:
+    column = dict(zip(batch.schema.names, batch.columns))
+    terms = column["terms"].flatten().to_pylist()
+    docs = column["docs"].flatten().to_pylist()
+    sizes, sources, counts = (column[c].flatten().to_numpy() for c in ("sizes", "sources", "counts"))
+    begin = np.append(0, np.cumsum(sizes, dtype=np.int64))
     at = 0
-    for term, docs, size in zip(page["terms"], page["docs"], page["sizes"]):
-        yield term, number, docs, page["sources"][at : at + size], page["counts"][at : at + size]
+    rows = zip(column["shard"].to_pylist(), column["lang"].to_pylist(), column["names"].to_pylist())
+    for (shard, lang, names), size in zip(rows, column["terms"].value_lengths().to_pylist()):
+        page = Page()
+        page.shard, page.lang, page.names = shard, lang, names
+        page.terms, page.docs, page.begin, page.sources, page.counts = terms, docs, begin, sources, counts
+        page.at, page.end = at, at + size
         at += size
+        yield page
 
 
-def merged(pages: Iterator[dict], least_docs: int) -> Iterator[tuple]:
+def merged(pages: Iterator[Page], least_docs: int) -> Iterator[tuple]:
     """Rows of TERM_SCHEMA for the terms in at least ``least_docs`` documents.
 
     Pages come sorted by shard, language and first term. A page joins the heap when its first
     term is next, so the heap holds one page a run and not the runs.
     """
-    for (_, lang), own in groupby(pages, lambda p: (p["shard"], p["lang"])):
-        heap: list = []
-        now, total, counts = None, 0, Counter()
+
+    def row(lang: str, term: bytes, docs: int, held: list[tuple[Page, int]]) -> tuple:
+        counts: Counter = Counter()
+        for page, i in held:
+            for source, n in page.postings(i):
+                counts[source] += n
+        return lang, term.decode(), docs, list(counts), list(counts.values())
+
+    for (_, lang), own in groupby(pages, lambda p: (p.shard, p.lang)):
+        heap: list[tuple[bytes, int]] = []  # the next term of each page, and the page's number
+        opened: dict[int, Page] = {}
+        now, total, held = None, 0, []
         coming, number = next(own, None), 0
         while heap or coming is not None:
-            while coming is not None and (not heap or coming["first"] <= heap[0][0][0]):
-                stream = _postings(coming, number)
-                heapq.heappush(heap, (next(stream), stream))  # the number keeps entries apart
+            while coming is not None and (not heap or coming.terms[coming.at] <= heap[0][0]):
+                heapq.heappush(heap, (coming.terms[coming.at], number))
+                opened[number] = coming
                 coming, number = next(own, None), number + 1
-            (term, _, docs, sources, times), stream = heap[0]
+            term, which = heap[0]
+            page = opened[which]
+            i = page.at
+            page.at = i + 1
+            if i + 1 < page.end:
+                heapq.heapreplace(heap, (page.terms[i + 1], which))
+            else:
+                heapq.heappop(heap)
+                del opened[which]
             if term != now:
                 if total >= least_docs:
-                    yield lang, now.decode(), total, list(counts), list(counts.values())
-                now, total, counts = term, 0, Counter()
-            total += docs
-            for source, n in zip(sources, times):
-                counts[source] += n
-            following = next(stream, None)
-            if following is None:
-                heapq.heappop(heap)
-            else:
-                heapq.heapreplace(heap, (following, stream))
+                    yield row(lang, now, total, held)
+                now, total, held = term, 0, []
+            total += page.docs[i]
+            held.append((page, i))
         if total >= least_docs:
-            yield lang, now.decode(), total, list(counts), list(counts.values())
+            yield row(lang, now, total, held)
 
 
 def frequencies(docs: DataFrame, least_docs: int, shards: int | None = None, **index: int) -> DataFrame:
@@ -178,17 +266,12 @@ def frequencies(docs: DataFrame, least_docs: int, shards: int | None = None, **i
     out = _arrow(TERM_SCHEMA)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pages = (page for batch in batches for page in _pages(batch))
+        pages = (page for batch in batches for page in read_pages(batch))
         yield from _record_batches(merged(pages, least_docs), out)
 
     return dealt.mapInArrow(merge, TERM_SCHEMA)
 
 
-def _pages(batch: pa.RecordBatch) -> Iterator[dict]:
-    for at in range(batch.num_rows):  # a page at a time: a batch of them is large as Python objects
-        yield batch.slice(at, 1).to_pylist()[0]
-
-
 def chance(count: Column, total: Column, terms: Column) -> Column:
     """Parts of a smoothed chance, exactly: counts may be too large for 64 bits."""
     wide = lambda c: c.cast("decimal(19,0)")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import labelled
 from .common import Memo, per_batch
 from .language import learnable
 
@@ -78,117 +79,103 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks(rows: np.ndarray, cols: np.ndarray, chosen: np.ndarray, n: int, width: int):
-    """``chosen`` columns, some at a time, with their presence as a matrix of rows by columns."""
-    order = np.argsort(cols, kind="stable")
-    rows, cols = rows[order], cols[order]
-    for at in range(0, len(chosen), width):
-        part = chosen[at : at + width]
-        begins, ends = np.searchsorted(cols, part), np.searchsorted(cols, part, side="right")
-        dense = np.zeros((n, len(part)), np.float32)
-        for i, (a, b) in enumerate(zip(begins.tolist(), ends.tolist())):
-            dense[rows[a:b], i] = 1
-        yield part, dense
+def evidence(cols: np.ndarray, of: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """By how many standard errors each term's shares of both labels differ."""
+    ones, zeros = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
+    seen = np.bincount(cols)
+    in_ones = np.bincount(cols, weights=labels[of])
+    rate = seen / (ones + zeros)
+    error = np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / ones + 1 / zeros))
+    return np.abs(in_ones / ones - (seen - in_ones) / zeros) / error
 
 
-def paired(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, number: int, least: int, apart: float) -> np.ndarray:
-    """Which of ``number`` terms tell the labels apart among the rows that hold some other term.
+def gradient(
+    weights: np.ndarray, factors: np.ndarray, bias: float, cols: np.ndarray, sizes: np.ndarray,
+    labels: np.ndarray, shares: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of the weighted mean log loss, for some rows whose terms are ``cols``, ``sizes`` to a row."""
+    of = factors[cols]
+    sums = _sums(of, sizes).astype(np.float32)
+    pairs = 0.5 * ((sums**2).sum(axis=1) - _sums((of**2).sum(axis=1), sizes))
+    logit = bias + _sums(weights[cols], sizes) + pairs
+    delta = (shares * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels) / len(sizes)).astype(np.float32)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    own = np.bincount(cols, delta[row], len(weights)).astype(np.float32)
+    pulled = delta[:, None] * sums
+    parts = [np.bincount(cols, pulled[row, f], len(weights)) for f in range(factors.shape[1])]
+    return own, np.stack(parts, axis=1).astype(np.float32) - factors * own[:, None], float(delta.sum())
 
-    ``rows`` and ``cols`` are the places of the terms. Other terms count if each label has
-    ``least`` rows with them, and pairs in ``least`` rows. Among the rows of the other term, the
-    shares of both labels must differ by more than ``apart`` standard errors; as many pairs are
-    tried as the square of the terms, so ``apart`` is larger than for one term.
-    """
-    seen = np.bincount(cols, minlength=number)
-    ones = np.bincount(cols, weights=labels[rows], minlength=number)
-    others = np.flatnonzero(np.minimum(ones, seen - ones) >= least)
-    toxic = labels == 1
-    told = np.zeros(number, bool)
-    for b, right in _blocks(rows, cols, others, len(labels), 2048):
-        of_ones, of_zeros = ones[b], (seen - ones)[b]
-        for a, left in _blocks(rows, cols, np.flatnonzero(seen >= least), len(labels), 512):
-            in_ones, both = left[toxic].T @ right[toxic], left.T @ right
-            rate = both / (of_ones + of_zeros)
-            error = np.sqrt(rate * (1 - rate) * (1 / of_ones + 1 / of_zeros))
-            far = np.abs(in_ones / of_ones - (both - in_ones) / of_zeros) > apart * error
-            told[a] |= (far & (both >= least) & (a[:, None] != b)).any(axis=1)
-    return told
+
+class Adam:
+    """Steps for some places of an array at a time."""
+
+    def __init__(self, shape: tuple, rate: float):
+        self.first, self.second, self.rate = np.zeros(shape, np.float32), np.zeros(shape, np.float32), rate
+
+    def step(self, at, gradient, number: int, slower: float):
+        first = self.first[at] = 0.9 * self.first[at] + 0.1 * gradient
+        second = self.second[at] = 0.999 * self.second[at] + 0.001 * gradient * gradient
+        ahead = (first / (1 - 0.9**number)) / (np.sqrt(second / (1 - 0.999**number)) + 1e-6)
+        return self.rate * slower * ahead
 
 
 def fit_rows(
     rows: list[np.ndarray],
     labels: np.ndarray,
     weights: np.ndarray,
-    steps: int = 400,
-    least: int = 3,
-    apart: float = 4.5,
-    pair_rows: int = 20,
-    pair_apart: float = 6.5,
-    ridge: float = 1e-3,
+    rounds: int = 20,
+    batch: int = 128,
+    ridge: float = 4e-3,
+    apart: float = 3.5,
+    factor_ridge: float = 0.06,
 ) -> Model:
-    """Fit weights and factors to rows of distinct buckets by Adam on the weighted log loss.
-
-    All terms in at least ``least`` rows have a weight. Factors are for those that tell the
-    labels apart: alone, when their shares of both labels differ by more than ``apart``
-    standard errors, or in a pair (``paired``). ``ridge`` holds down the weights of the
-    others, which would otherwise be learned by heart. Without both labels the model gives every
-    text the share of label 1 (0 if there is no row at all).
+    """Fit a weight and factors for every term of the rows, by Adam on mini-batches of the log loss.
+
+    Rows are distinct buckets; no term is left out. ``ridge`` holds the weights down, and less so the
+    more a term tells the labels apart alone (from about ``apart`` standard errors on). What
+    pairs add must be stronger than ``factor_ridge``, or it fades: the many chance pairs of a
+    text are not learned by heart. Memory is in proportion to the terms of all rows, whose number
+    the caller bounds. Without both labels the model gives every text the share of label 1 (0 if
+    there is no row at all).
     """
     empty = Model(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)), -30.0)
     if not len(rows):
         return empty
     prior = float((labels * weights).sum() / weights.sum())
     bias = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
-    flat = np.concatenate(rows)
-    found, which, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    sizes = np.array([len(r) for r in rows])
-    row_of = np.repeat(np.arange(len(rows)), sizes)
-    ones, zeros = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    in_ones = np.bincount(which, weights=labels[row_of], minlength=len(found))
-    rate = seen / (ones + zeros)
-    error = np.sqrt(rate * (1 - rate) * (1 / ones + 1 / zeros))
-    often = seen >= least
-    n = int(often.sum())
-    if not n or prior in (0.0, 1.0):
+    found, cols = np.unique(np.concatenate(rows), return_inverse=True)
+    if not len(found) or prior in (0.0, 1.0):
         empty.bias = bias
         return empty
-    alone = often & (np.abs(in_ones / ones - (seen - in_ones) / zeros) > apart * error)
-    telling = (alone | paired(row_of, which, labels, len(found), pair_rows, pair_apart))[often]
-    use = often[which]
-    all_rows, every = row_of[use], (np.cumsum(often) - 1)[which[use]]
-    all_in_rows = np.bincount(all_rows, minlength=len(rows))
-    all_by_col = all_rows[np.argsort(every, kind="stable")]
-    all_in_cols = np.bincount(every, minlength=n)
-    use = telling[every]
-    row_of, col = all_rows[use], (np.cumsum(telling) - 1)[every[use]]
-    m = int(telling.sum())
-    in_rows = np.bincount(row_of, minlength=len(rows))
-    by_col = np.argsort(col, kind="stable")
-    in_cols = np.bincount(col, minlength=m)
+    cols = cols.astype(np.int32)
+    sizes = np.array([len(r) for r in rows])
+    starts = np.cumsum(sizes) - sizes
+    seen = np.bincount(cols)
+    often = np.minimum(1, seen * min(batch, len(rows)) / len(rows)).astype(np.float32)
+    told = evidence(cols, np.repeat(np.arange(len(rows)), sizes), labels)
+    # A term is only touched in the batches that have it, so its ridge is as much larger there.
+    weight_ridge = (ridge / (1 + (told / apart) ** 8) / often).astype(np.float32)
+    pair_ridge = (factor_ridge / often).astype(np.float32)[:, None]
     rng = np.random.default_rng(7)
-    state = [np.zeros(n), rng.normal(0, 0.02, (m, FACTORS)), np.array([bias])]
-    first = [np.zeros_like(s) for s in state]
-    second = [np.zeros_like(s) for s in state]
-    share = weights / weights.sum()
-    rates, decay = (0.1, 0.02, 0.1), (np.where(telling, 1e-6, ridge), 1e-5, 0.0)
-    for step in range(1, steps + 1):
-        w, v, b = state
-        of = v[col]
-        sums = _sums(of, in_rows)
-        logit = b[0] + _sums(w[every], all_in_rows) + 0.5 * ((sums**2).sum(axis=1) - _sums((of**2).sum(axis=1), in_rows))
-        delta = share * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels)
-        per_col = _sums(delta[all_by_col], all_in_cols)
-        pulled = _sums((delta[:, None] * sums)[row_of][by_col], in_cols)
-        gradient = [per_col, pulled - v * per_col[telling][:, None], np.array([delta.sum()])]
-        for i, g in enumerate(gradient):
-            g = g + decay[i] * state[i]
-            first[i] = 0.9 * first[i] + 0.1 * g
-            second[i] = 0.999 * second[i] + 0.001 * g * g
-            ahead = first[i] / (1 - 0.9**step)
-            state[i] = state[i] - rates[i] * ahead / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
-    factors = np.zeros((n, FACTORS))
-    factors[telling] = state[1]
-    return Model(found[often].astype(np.int64), state[0], factors, float(state[2][0]))
+    w = np.zeros(len(found), np.float32)
+    v = rng.normal(0, 0.02, (len(found), FACTORS)).astype(np.float32)
+    steps = Adam(w.shape, 0.05), Adam(v.shape, 0.02), Adam((1,), 0.05)
+    shares = weights / weights.mean()
+    total, number = rounds * -(-len(rows) // batch), 0
+    for _ in range(rounds):
+        order = rng.permutation(len(rows))
+        for at in range(0, len(rows), batch):
+            pick = order[at : at + batch]
+            of = sizes[pick]
+            places = np.repeat(starts[pick] - (np.cumsum(of) - of), of) + np.arange(of.sum())
+            used, here = np.unique(cols[places], return_inverse=True)
+            own, pair, shift = gradient(w[used], v[used], bias, here, of, labels[pick], shares[pick])
+            number += 1
+            slower = 1 - (number - 1) / total
+            w[used] -= steps[0].step(used, own + weight_ridge[used] * w[used], number, slower)
+            v[used] -= steps[1].step(used, pair + pair_ridge[used] * v[used], number, slower)
+            bias -= float(steps[2].step(slice(None), np.float32(shift), number, slower)[0])
+    return Model(found.astype(np.int64), w.astype(np.float64), v.astype(np.float64), bias)
 
 
 def fit(
@@ -198,39 +185,34 @@ def fit(
     text: str = "text",
     label: str = "toxic",
     sample_rows: int = 8000,
+    sample_terms: int = 2_000_000,
 ) -> Model:
-    """Learn from about ``sample_rows`` labelled rows, half of each label, drawn by a hash.
+    """Learn from labelled rows, half of each label, drawn by a hash and weighted back to the true shares.
 
-    Rows are weighted back to the true shares. Ids that are held out, null ids and null labels
-    are not used; an id with several labels is toxic if one of them is. Only the hashed terms
-    of the sample go to the driver; twice ``sample_rows`` bounds it.
+    There are about ``sample_rows`` of them (twice as many at most), and their distinct hashed terms,
+    all that goes to the driver, are at most ``sample_terms`` together: each label has half of
+    them, and its rows count in the order of their hash until that is full. So the driver
+    holds a bounded number of bytes whatever the texts are. Held-out ids, null ids and null
+    labels are not used; an id with several labels is toxic if one of them is.
     """
-    marked = (
-        labels.select(F.col(doc_id).cast("bigint").alias("id"), F.col(label).cast("int").alias("y"))
-        .where(learnable("id") & F.col("y").isNotNull())
-        .groupBy("id")
-        .agg(F.max("y").alias("y"))
-    )
-    counts = {y: n for y, n in marked.groupBy("y").count().collect() if y in (0, 1)}
-    if not counts:
-        return fit_rows([], np.zeros(0), np.zeros(0))
-    chance = F.pmod(F.xxhash64("id"), F.lit(1 << 31)) / float(1 << 31)
-    part = {y: min(1.0, sample_rows / 2 / n) for y, n in counts.items()}
-    drawn = marked.where(
-        F.col("y").isin(list(part)) & (chance < F.try_element_at(F.create_map(*[F.lit(x) for p in part.items() for x in p]), F.col("y")))
-    ).limit(2 * sample_rows)
     hashed = per_batch(
         lambda texts: pa.array([sorted({bucket(w) for w in terms(t)}) for t in texts], pa.list_(pa.int32())),
         "array<int>",
     )
-    rows = (
-        docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-        .join(F.broadcast(drawn), "id")
-        .select("id", "y", hashed(F.col("text")).alias("row"))
-        .limit(2 * sample_rows)
-        .toPandas()
-        .sort_values(["id", "y"], kind="stable")
-    )
+    own = docs.select(F.col(doc_id).alias(doc_id), F.col(text).alias("text"))
+    marks = labelled.marked(labels, label, learnable("id"), doc_id)
+    stored, part = labelled.sample(own, marks, hashed(F.col("text")), sample_rows, doc_id)
+    sizes = stored.select("y", "chance", F.size("row").alias("size")).toPandas().sort_values("chance", kind="stable")
+    upto = {}
+    for y, of in sizes.groupby("y"):
+        inside = of["size"].cumsum() <= sample_terms // 2
+        if not inside.all():  # the first row that does not fit, and rows of the same hash, stay out
+            upto[y] = float(of["chance"][~inside].min())
+            part[y] = min(part[y], upto[y])
+    kept = F.lit(True)
+    for y, chance in upto.items():
+        kept &= (F.col("y") != int(y)) | (F.col("chance") < chance)
+    rows = stored.where(kept).select("id", "y", "row").toPandas().sort_values(["id", "y"], kind="stable")
     y = rows["y"].to_numpy().astype(np.float64)
     weights = np.array([1 / part[int(v)] for v in y])
     return fit_rows([np.asarray(r, np.int64) for r in rows["row"]], y, weights)

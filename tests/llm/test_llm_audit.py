@@ -107,18 +107,21 @@ def test_tiles_are_given_away_when_full():
     assert got == want
 
 
-def test_runs_merge_with_one_page_a_run_in_the_heap():
-    index = audit.Index(2, entries=10)
-    want, pages = Counter(), []
+def test_runs_are_merged_by_term(monkeypatch):
+    monkeypatch.setattr(audit, "PAGE", 4)
+    index = audit.Index(2, entries=40)
+    want, batches = Counter(), []
     rng = random.Random(8)
     for _ in range(200):
-        text = " ".join(f"t{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(5))}" for _ in range(6))
-        want.update(text.split())
-        index.add("en", rng.choice("abc"), text.encode())
+        text = " ".join(f"T{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(5))}" for _ in range(6))
+        want.update(text.lower().split())
+        index.add(["en"], [rng.choice("abc")], [text.encode()])
         if index.full():
-            pages += index.spill()
-    pages += index.spill()
-    names = [f.name for f in audit._arrow(audit.PAGE_SCHEMA)]
-    rows = sorted((dict(zip(names, p)) for p in pages), key=lambda p: (p["shard"], p["lang"], p["first"]))
-    got = {term: sum(counts) for _, term, _, _, counts in audit.merged(iter(rows), 1)}
-    assert got == want
+            batches += index.spill()
+    batches += index.spill()
+    pages = [p for b in batches for p in audit.read_pages(b)]
+    assert len(pages) > 100 and all(p.terms[p.at : p.end] == sorted(p.terms[p.at : p.end]) for p in pages)
+    pages.sort(key=lambda p: (p.shard, p.lang, p.terms[p.at]))
+    rows = list(audit.merged(iter(pages), 1))
+    assert {term: sum(counts) for _, term, _, _, counts in rows} == want
+    assert len(rows) == len(want)

@@ -194,6 +194,51 @@ def test_toxicity_learns_a_rare_insult():
     assert model.weights[model.known[3000]] > max(0.3, np.abs(weights).max())
 
 
+def test_logits_are_sums_over_all_pairs():
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(np.arange(30), rng.normal(size=30), rng.normal(size=(30, 8)), -0.5)
+    rows = [sorted(rng.choice(30, n, replace=False).tolist()) for n in (0, 1, 2, 9)]
+    for row, found in zip(rows, model.logits(rows)):
+        pairs = sum(model.factors[i] @ model.factors[j] for i in row for j in row if i < j)
+        assert found == pytest.approx(-0.5 + model.weights[row].sum() + pairs)
+
+
+def test_gradient_of_the_machine_against_differences():
+    rng = np.random.default_rng(4)
+    sizes, labels, shares = np.array([3, 0, 4]), np.array([1.0, 0.0, 0.0]), np.array([0.5, 1.0, 2.0])
+    cols = np.array([0, 2, 4, 1, 2, 3, 4])
+    w, v = rng.normal(size=5), rng.normal(size=(5, 8))
+
+    def loss(w, v, b):
+        rows = [cols[:3].tolist(), [], cols[3:].tolist()]
+        x = toxicity.Model(np.arange(5), w, v, b).logits(rows)
+        return (shares * (np.log1p(np.exp(x)) - labels * x)).mean()
+
+    own, pair, shift = toxicity.gradient(w, v, 0.1, cols, sizes, labels, shares)
+    near = lambda a, b: (a - b) / 2e-4
+    assert shift == pytest.approx(near(loss(w, v, 0.1001), loss(w, v, 0.0999)), abs=1e-3)
+    for i in range(5):
+        step = np.eye(5)[i] * 1e-4
+        assert own[i] == pytest.approx(near(loss(w + step, v, 0.1), loss(w - step, v, 0.1)), abs=1e-3)
+        for f in range(8):
+            step = np.zeros((5, 8))
+            step[i, f] = 1e-4
+            assert pair[i, f] == pytest.approx(near(loss(w, v + step, 0.1), loss(w, v - step, 0.1)), abs=1e-3)
+
+
+def test_the_driver_gets_a_bounded_number_of_terms(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(50)) + (" bad" if i % 2 else " good"), "en") for i in range(400)]
+    docs = odd.table(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id bigint, toxic int")
+    got = []
+    monkeypatch.setattr(toxicity, "fit_rows", lambda *a: got.append(a))
+    toxicity.fit(docs, labels, sample_terms=4000)
+    sample, y, weights = got[0]
+    for label in (0, 1):
+        assert 1500 < sum(len(r) for r, of in zip(sample, y) if of == label) <= 2000
+        assert weights[y == label].sum() == pytest.approx(160, rel=0.4)
+
+
 def test_toxicity_of_the_test_table(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
