@@ -27,26 +27,40 @@ _OPTIONS = {
 }
 
 
-def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row ``(xml, zipfilename)`` for each document in the files under ``path``.
+#: Status of the row that says that a file has been read to its end.
+COMPLETE = "complete"
 
-    A file that breaks off, or is no gzip file, gives the documents before the damage and does
-    not stop the others; ``unreadable_files`` names it.
-    """
-    return records(_lines(spark, path))
 
+def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Rows ``(xml, complete, zipfilename)`` of the files under ``path``.
 
-def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.options(**READ_OPTIONS).text(path)
+    There is a row for each document, and one with ``complete`` for each file that was read to the
+    end tag of its root. Both come from the same read. A file that breaks off, is no gzip file,
+    or could not be read further gives the documents before that, no row with ``complete``,
+    and does not stop the others.
+    """
+    return records(spark.read.options(**READ_OPTIONS).text(path))
 
 
 def records(lines: DataFrame) -> DataFrame:
-    """Cut each record at the start of its document element; trailing text has none."""
+    """Cut each record at the start of its document element, and find the end of the file.
+
+    The last record of a whole file ends in a tag that its document (if it has one, which then
+    is not closed) does not open. Every other record ends inside an element of its document.
+    """
     body = F.regexp_extract("value", r"(?s)<doc(?=[\s>]).*", 0)
-    return lines.select(
-        F.concat(body, F.lit(RECORD_END)).alias("xml"),
-        F.col("_metadata.file_path").alias("zipfilename"),
-    ).where(F.col("xml") != RECORD_END)
+    closed = F.regexp_extract("value", r"</([^<>\s]+)\s*>\s*$", 1)
+    cut = once(lines.select("value", F.col("_metadata.file_path").alias("zipfilename")), {"body": body, "closed": closed})
+    opened = F.contains("body", F.concat(F.lit("<"), "closed", F.lit(">"))) | F.contains(
+        "body", F.concat(F.lit("<"), "closed", F.lit(" "))
+    )
+    row = lambda xml, complete: F.struct(xml.alias("xml"), F.lit(complete).alias("complete"))
+    none = F.array().cast("array<struct<xml:string,complete:boolean>>")
+    found = F.concat(
+        F.when(F.col("body") != "", F.array(row(F.concat("body", F.lit(RECORD_END)), False))).otherwise(none),
+        F.when((F.col("closed") != "") & ~opened, F.array(row(F.lit(None).cast("string"), True))).otherwise(none),
+    )
+    return cut.select(F.inline(found), "zipfilename")
 
 
 def _named(name: str, nth: int) -> Column:
@@ -63,7 +77,8 @@ def parse(docs: DataFrame) -> DataFrame:
     """Article rows plus ``status`` and, for a rejected document, its ``xml``.
 
     A document is rejected when it is not well-formed or when a required field is missing.
-    Only that document is set aside, not its whole file.
+    Only that document is set aside, not its whole file. The row of a file that was read to its
+    end has the status ``complete`` and only ``zipfilename`` besides.
     """
     tree = F.from_xml(escape_markup(F.col("xml")), F.lit(_MARKUP), _OPTIONS)
     parsed = once(docs, {"doc": tree})
@@ -77,7 +92,8 @@ def parse(docs: DataFrame) -> DataFrame:
         missing = missing | F.col(name).isNull()
     identifier = F.col("article_dcx_recordIdentifier")["_VALUE"]
     status = (
-        F.when(F.col("broken"), "malformed")
+        F.when(F.col("complete"), COMPLETE)
+        .when(F.col("broken"), "malformed")
         .when(missing, "missing_field")
         .when(identifier.isNull(), "missing_identifier")
         .otherwise("ok")
@@ -91,7 +107,7 @@ def parse(docs: DataFrame) -> DataFrame:
     return judged.select(
         *[values[c].alias(c) for c in ARTICLE_COLUMNS],
         "status",
-        F.when(F.col("status") != "ok", F.col("xml")).alias("rejected_xml"),
+        F.when(~F.col("status").isin("ok", COMPLETE), F.col("xml")).alias("rejected_xml"),
     )
 
 
@@ -101,7 +117,13 @@ def accepted(parsed: DataFrame) -> DataFrame:
 
 def quarantine(parsed: DataFrame) -> DataFrame:
     """Rejected documents with the reason and their source."""
-    return parsed.where(F.col("status") != "ok").select("zipfilename", "status", "rejected_xml")
+    bad = parsed.where(~F.col("status").isin("ok", COMPLETE))
+    return bad.select("zipfilename", "status", "rejected_xml")
+
+
+def completed_files(parsed: DataFrame) -> DataFrame:
+    """``zipfilename`` of each file that the read behind ``parsed`` has read to its end."""
+    return parsed.where(F.col("status") == COMPLETE).select("zipfilename").distinct()
 
 
 def listed_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -110,39 +132,44 @@ def listed_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("zipfilename"))
 
 
-def unreadable_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Quarantine rows, with status ``unreadable``, for files that do not end as XML does.
+def pending_files(spark: SparkSession, path: str | list[str], parsed: DataFrame) -> DataFrame:
+    """``zipfilename`` of the files that ``parsed`` has not read to their end: new and unfinished ones.
 
-    An intact file has the end tag of its root after its last document.
+    Give it all rows of ``parse``, or the stored ones. A whole file without documents is done.
     """
-    last = _lines(spark, path).where(F.rlike(F.col("value"), F.lit(r"</[^<>]+>\s*$")))
-    whole = last.select(F.col("_metadata.file_path").alias("zipfilename")).distinct()
-    return listed_files(spark, path).join(whole, "zipfilename", "left_anti").select(
+    return listed_files(spark, path).join(completed_files(parsed), "zipfilename", "left_anti")
+
+
+def unfinished_files(spark: SparkSession, path: str | list[str], parsed: DataFrame) -> DataFrame:
+    """Quarantine rows, with status ``unreadable``, for the files not read to their end."""
+    return pending_files(spark, path, parsed).select(
         "zipfilename", F.lit("unreadable").alias("status"), F.lit(None).cast("string").alias("rejected_xml")
     )
 
 
-def ingest_report(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def ingest_report(spark: SparkSession, path: str | list[str], parsed: DataFrame | None = None) -> DataFrame:
     """``zipfilename, articles, rejected, status`` for every file, also those without an article.
 
-    ``status`` is ``unreadable`` for a file that breaks off, ``empty`` for one without any
-    document, else ``ok``.
+    ``status`` is ``unreadable`` for a file that was not read to its end, ``empty`` for a whole
+    one without any document, else ``ok``. It tells of the read behind ``parsed``; without that
+    the files are read here, once.
     """
-    of = lambda test: F.count_if(test).alias
-    parsed = parse(read_records(spark, path)).groupBy("zipfilename").agg(
-        of(F.col("status") == "ok")("articles"), of(F.col("status") != "ok")("rejected")
+    if parsed is None:
+        parsed = parse(read_records(spark, path))
+    is_ = lambda *of: F.col("status").isin(*of)
+    counted = parsed.groupBy("zipfilename").agg(
+        F.count_if(is_("ok")).alias("articles"),
+        F.count_if(~is_("ok", COMPLETE)).alias("rejected"),
+        F.max(is_(COMPLETE)).alias("whole"),
     )
-    broken = unreadable_files(spark, path).select("zipfilename", F.lit(True).alias("broken"))
     none = F.lit(0).cast("bigint")
-    found = listed_files(spark, path).join(parsed, "zipfilename", "left").join(broken, "zipfilename", "left")
+    found = listed_files(spark, path).join(counted, "zipfilename", "left")
     return found.select(
         "zipfilename",
         F.coalesce("articles", none).alias("articles"),
         F.coalesce("rejected", none).alias("rejected"),
-        F.when(F.col("broken"), "unreadable").when(F.col("articles").isNull(), "empty").otherwise("ok").alias("status"),
+        F.when(~F.coalesce("whole", F.lit(False)), "unreadable")
+        .when(F.col("articles") + F.col("rejected") == 0, "empty")
+        .otherwise("ok")
+        .alias("status"),
     )
-
-
-def pending_files(spark: SparkSession, path: str | list[str], seen: DataFrame) -> DataFrame:
-    """Files that no row of ``seen`` comes from; give it accepted and rejected documents."""
-    return listed_files(spark, path).join(seen.select("zipfilename").distinct(), "zipfilename", "left_anti")

@@ -89,12 +89,13 @@ def test_only_new_files_are_ingested(spark, archive, tmp_path):
     first = {r["identifier"]: r["paper_dc_title"] for r in ingest.ingested(spark, out).collect()}
     assert len(first) == 5 and ingest.rejected(spark, out).count() == 2
     write(archive / "c.xml.gz", doc(8))
-    pending = xml_archive.pending_files(spark, str(archive), ingest.converted_files(spark, out))
-    assert [r["zipfilename"].rsplit("/", 1)[1] for r in pending.collect()] == ["c.xml.gz"]
+    assert names(ingest.converted_files(spark, out)) == {"a.xml.gz", "b.xml.gz"}
+    assert names(ingest.unfinished(spark, str(archive), out)) == {"c.xml.gz"}
     run()
     run()
     assert ingest.ingested(spark, out).count() == 6
-    assert xml_archive.pending_files(spark, str(archive), ingest.converted_files(spark, out)).count() == 0
+    assert ingest.unfinished(spark, str(archive), out).count() == 0
+    assert ingest.read_again(spark, str(archive), out).count() == 0
 
 
 def test_cdata_is_kept_whole(spark, tmp_path):
@@ -102,6 +103,7 @@ def test_cdata_is_kept_whole(spark, tmp_path):
     write(tmp_path / "a.xml.gz", doc(1, content=content), doc(2, content="<text><p><![CDATA[open</p></text>"))
     parsed = xml_archive.parse(xml_archive.read_records(spark, str(tmp_path / "a.xml.gz"))).collect()
     got = {r["status"]: r for r in parsed}
+    assert set(got) == {"ok", "malformed", "complete"}
     assert got["ok"]["text_content"] == "a < b c & d &amp; \n\nx\n\np<q>r"
     assert "malformed" in got
 
@@ -127,17 +129,66 @@ def test_one_bad_file_does_not_stop_the_others(spark, archive, tmp_path):
     parsed = xml_archive.parse(xml_archive.read_records(spark, path))
     ids = {r["identifier"] for r in xml_archive.accepted(parsed).collect()}
     assert {f"article:{n}" for n in (1, 2, 3, 6, 7)} <= ids
-    assert names(xml_archive.unreadable_files(spark, path)) == {"cut off.xml.gz", "no gzip.xml.gz"}
+    assert names(xml_archive.unfinished_files(spark, path, parsed)) == {"cut off.xml.gz", "no gzip.xml.gz"}
     report = {names_of(r): (r["articles"], r["rejected"], r["status"]) for r in xml_archive.ingest_report(spark, path).collect()}
     assert report["a.xml.gz"] == (3, 2, "ok") and report["only rejects.xml.gz"] == (0, 1, "ok")
     assert report["none.xml.gz"] == (0, 0, "empty") and report["no gzip.xml.gz"] == (0, 0, "unreadable")
-    assert names(xml_archive.pending_files(spark, path, parsed)) >= {"none.xml.gz", "no gzip.xml.gz"}
-    assert "only rejects.xml.gz" not in names(xml_archive.pending_files(spark, path, parsed))
+    assert names(xml_archive.completed_files(parsed)) == {"a.xml.gz", "b.xml.gz", "none.xml.gz", "only rejects.xml.gz"}
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     ingest.ingest_new_files(spark, path, out, state).awaitTermination()
     assert {f"article:{n}" for n in (1, 2, 3, 6, 7)} <= {r["identifier"] for r in ingest.ingested(spark, out).collect()}
 
 
+def fail_reading(path, at):
+    """Make local reads of an intact file fail from this byte on: a checksum beside it is wrong."""
+    import struct
+    import zlib as z
+
+    data = path.read_bytes()
+    sums = [z.crc32(data[i : i + 512]) ^ (i // 512 >= at // 512) for i in range(0, len(data), 512)]
+    crc = path.with_name(f".{path.name}.crc")
+    crc.write_bytes(b"crc\0" + struct.pack(">i", 512) + b"".join(struct.pack(">I", n) for n in sums))
+    return crc
+
+
+def test_a_read_error_of_an_intact_file_is_seen_and_read_again(spark, archive, tmp_path):
+    import random
+
+    noise = lambda n: "".join(random.Random(n).choices("abcdefghijklmnopqrstuvwxyz ", k=3000))
+    write(archive / "big.xml.gz", *[doc(100 + n, content=f"<text><p>{noise(n)}</p></text>") for n in range(200)])
+    broken = fail_reading(archive / "big.xml.gz", 250_000)
+    path, out, state = str(archive), str(tmp_path / "out"), str(tmp_path / "state")
+    parsed = xml_archive.parse(xml_archive.read_records(spark, path))
+    report = {names_of(r): (r["articles"], r["status"]) for r in xml_archive.ingest_report(spark, path).collect()}
+    assert 0 < report["big.xml.gz"][0] < 200 and report["big.xml.gz"][1] == "unreadable"
+    assert names(xml_archive.unfinished_files(spark, path, parsed)) == {"big.xml.gz"}
+    run = lambda: ingest.ingest_new_files(spark, path, out, state).awaitTermination()
+    run()
+    before = ingest.ingested(spark, out).count()
+    assert 5 < before < 205 and names(ingest.read_again(spark, path, out)) == {"big.xml.gz"}
+    assert ingest.ingested(spark, out).count() == before
+    broken.unlink()  # the file itself was whole all the time
+    run()
+    assert ingest.ingested(spark, out).count() == before and names(ingest.unfinished(spark, path, out)) == {"big.xml.gz"}
+    assert ingest.read_again(spark, path, out).count() == 0
+    assert ingest.ingested(spark, out).count() == 205 and ingest.rejected(spark, out).count() == 2
+    assert "big.xml.gz" in names(ingest.converted_files(spark, out))
+
+
+def test_the_end_of_a_file_is_not_an_end_inside_it(spark, tmp_path):
+    texts = {
+        "whole": "<r><doc><a>x</a></doc></r>", "blank after": "<r><doc><a>x</a></doc></r>\n \n", "empty": "<r></r>",
+        "open document": "<r><doc><a>x</a></doc><doc><a b='1'>x</a></r>", "only open": "<r><doc><a>x</a></r>",
+        "no root end": "<r><doc><a>x</a></doc>", "inside": "<r><doc><a>x</a></doc><doc><a>x</a>", "inside tag": "<r><doc><a>x</a></doc></r",
+        "attribute": "<r><doc><a b='1'>x</a>", "nothing": "",
+    }
+    for name, text in texts.items():
+        with gzip.open(tmp_path / f"{name}.gz", "wt") as out:
+            out.write(text)
+    found = xml_archive.read_records(spark, str(tmp_path)).where("complete")
+    assert names(found) == {f"{n}.gz" for n in ("whole", "blank after", "empty", "open document", "only open")}
+
+
 def names_of(row):
     from urllib.parse import unquote
 
