@@ -19,6 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import ALL, TITLE_ONLY
+from .edits import within_word
 from .tokens import analyze_query
 
 PerField = dict[str, Column]
@@ -91,7 +92,10 @@ def wildcard(pattern: str) -> Clause:
 
 
 def fuzzy(word: str, distance: int | None = None) -> Clause:
-    """Words within an edit distance; by default 0, 1 or 2 by the length of the word."""
+    """Words within an edit distance, a swap of neighbours being one edit.
+
+    By default it is 0, 1 or 2 by the length of the word.
+    """
     word = word.lower()
     if distance is None:
         distance = 0 if len(word) <= 2 else 1 if len(word) <= 5 else 2
@@ -159,8 +163,7 @@ def wildcard_regex(pattern: str) -> str:
 def word_test(leaf: Leaf) -> Callable[[Column], Column]:
     """The test of a wildcard or fuzzy leaf on one word."""
     if leaf.kind == "fuzzy":
-        near = leaf.distance
-        return lambda w: (w != "") & (F.levenshtein(w, F.lit(leaf.pattern), near) >= 0)
+        return lambda w: (w != "") & within_word(w, leaf.pattern, leaf.distance)
     body = leaf.pattern.strip("*")
     if "*" in body or "?" in body or not body:
         rule = wildcard_regex(leaf.pattern)

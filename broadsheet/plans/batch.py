@@ -117,6 +117,7 @@ def compile_queries(queries: DataFrame, clauses: DataFrame, vocabulary: DataFram
     keys = leaves.where(~F.col("kind").isin(*_PATTERN_KINDS)).withColumn("key", F.col("pattern")).select(columns)
     if any(r["kind"] in _PATTERN_KINDS for r in rows):
         patterns = durable(leaves.where(F.col("kind").isin(*_PATTERN_KINDS)))
+        vocabulary = durable(vocabulary)  # one pass over the texts, however often it is read
         literal = (F.col("kind") == "fuzzy") | F.rlike("pattern", F.lit("[^*?]"))
         marks = ~literal & F.contains(F.col("pattern"), F.lit("?"))
         terms = expand(patterns.where(literal), vocabulary).withColumnRenamed("term", "key")

@@ -1,9 +1,11 @@
 """Wildcard and fuzzy patterns to the words of a vocabulary.
 
-Patterns without a letter match by length alone (``expand_lengths``). Others meet words through equi joins only. Each pattern has *anchors*: pieces of text of
-which every matching word holds at least one, at its start, at its end or anywhere. Words
-are exploded into their own pieces of the lengths in use, joined on the piece, and the pairs
-are then verified. Every step is exact.
+Patterns without a letter match by length alone (``expand_lengths``). Others meet words through
+equi joins only. A wildcard has an *anchor*, a piece of text that every matching word holds at its
+start, at its end or anywhere. A fuzzy pattern and a word within its distance have a common text
+after each has lost that many characters at most (swaps included), so they meet on
+what is left of them. Words are exploded into their own pieces of the places and lengths in use, joined on
+the piece, and the pairs are then verified. Every step is exact.
 """
 
 from __future__ import annotations
@@ -11,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_NEAR = "length:"
+from ..functions.edits import shortened, within
+
+_NEAR = "near:"
 _KEYS = "array<struct<at:string,piece:string>>"
 
 
@@ -33,59 +37,58 @@ def _wildcard_anchors(pattern: Column) -> Column:
     return F.array(anchor)
 
 
-def _fuzzy_anchors(word: Column, distance: Column) -> Column:
-    """``distance + 1`` pieces: that many edits always leave one of them whole.
+def _fuzzy_anchors(word: Column, distance: int) -> Column:
+    """What is left of the pattern without up to ``distance`` characters.
 
-    The place also names the length of the word to look in, which differs from that of the
-    pattern by the distance at most.
+    The place names the distance and the length of the words to meet, which says how many
+    characters these lose.
     """
-    size = F.floor(F.length(word) / (distance + 1)).cast("int")
-    pieces = F.transform(
-        F.sequence(F.lit(0), distance),
-        lambda i: F.substr(
-            word, i * size + 1, F.when(i == distance, F.length(word)).otherwise(size)
-        ),
-    )
-    pieces = F.when(size > 0, pieces).otherwise(F.array(F.lit("")))
-    lengths = F.sequence(F.greatest(F.length(word) - distance, F.lit(1)), F.length(word) + distance)
-    keys = F.transform(
-        lengths,
-        lambda n: F.transform(
-            pieces,
-            lambda p: F.struct(F.concat(F.lit(_NEAR), n.cast("string")).alias("at"), p.alias("piece")),
-        ),
-    )
-    return F.flatten(keys)
-
-
-def pattern_anchors(patterns: DataFrame) -> DataFrame:
-    """Patterns ``(kind, pattern, distance)`` with one row for each anchor."""
-    anchors = F.when(F.col("kind") == "fuzzy", _fuzzy_anchors(F.col("pattern"), F.col("distance")))
-    anchors = anchors.otherwise(_wildcard_anchors(F.col("pattern")))
-    return patterns.select("kind", "pattern", "distance", F.inline(anchors.cast(_KEYS)))
+    keys = []
+    for lost in range(distance + 1):
+        left = F.length(word) - lost
+        lengths = F.sequence(left, left + distance)
+        pieces = shortened(word, lost)
+        place = lambda n: F.concat(F.lit(f"{_NEAR}{distance}:"), n.cast("string"))
+        met = F.flatten(
+            F.transform(
+                lengths, lambda n: F.transform(pieces, lambda p: F.struct(place(n).alias("at"), p.alias("piece")))
+            )
+        )
+        keys.append(F.when(left >= 0, met).otherwise(F.array().cast(_KEYS)))
+    return F.concat(*keys)
+
+
+def pattern_anchors(patterns: DataFrame, distances: list[int]) -> DataFrame:
+    """Patterns ``(kind, pattern, distance)`` with one row for each anchor.
+
+    ``distances`` are those of the fuzzy ones.
+    """
+    anchors = F.when(F.col("kind") != "fuzzy", _wildcard_anchors(F.col("pattern")).cast(_KEYS))
+    for distance in distances:
+        anchors = anchors.when(F.col("distance") == distance, _fuzzy_anchors(F.col("pattern"), distance).cast(_KEYS))
+    return patterns.select("kind", "pattern", "distance", F.inline(anchors))
 
 
 def _pieces(word: Column, used: list[tuple[str, int]]) -> Column:
     """The pieces of a word for the places and lengths in use."""
     length = F.length(word)
     none = F.array().cast(_KEYS)
-    near: dict[int, list[int]] = {}
+    near: dict[tuple[str, int], list[int]] = {}
     tests = []
     for at, n in used:
         if at.startswith(_NEAR):
-            near.setdefault(n, []).append(int(at.removeprefix(_NEAR)))
+            distance, size = at.removeprefix(_NEAR).split(":")
+            near.setdefault((distance, int(size) - n), []).append(int(size))
         else:
             tests.append((length >= n, _pieces_at(word, at, n)))
-    for n, lengths in near.items():
-        tests.append((length.isin(*lengths) & (length >= n), _near_pieces(word, n)))
+    for (distance, lost), sizes in near.items():
+        tests.append((length.isin(*sizes), _near_pieces(word, distance, lost)))
     return F.concat(*[F.when(test, keys).otherwise(none) for test, keys in tests])
 
 
-def _near_pieces(word: Column, n: int) -> Column:
-    at = F.concat(F.lit(_NEAR), F.length(word).cast("string"))
-    return F.transform(
-        _substrings(word, n), lambda p: F.struct(at.alias("at"), p.alias("piece"))
-    )
+def _near_pieces(word: Column, distance: str, lost: int) -> Column:
+    at = F.concat(F.lit(f"{_NEAR}{distance}:"), F.length(word).cast("string"))
+    return F.transform(shortened(word, lost), lambda p: F.struct(at.alias("at"), p.alias("piece")))
 
 
 def _substrings(word: Column, n: int) -> Column:
@@ -107,10 +110,7 @@ def _matches() -> Column:
     rule = F.concat(
         F.lit("^"), F.replace(F.replace(literal, F.lit("?"), F.lit(".")), F.lit("*"), F.lit(".*")), F.lit("$")
     )
-    near = (F.abs(F.length(word) - F.length(pattern)) <= distance) & (
-        F.call_function("levenshtein", word, pattern, distance) >= 0
-    )
-    return F.when(F.col("kind") == "fuzzy", near).otherwise(F.rlike(word, rule))
+    return F.when(F.col("kind") == "fuzzy", within(word, pattern, distance)).otherwise(F.rlike(word, rule))
 
 
 def expand_lengths(patterns: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -130,7 +130,10 @@ def expand_lengths(patterns: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def expand(patterns: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(kind, pattern, distance, term)`` for each word that a pattern with letters matches."""
-    anchors = pattern_anchors(patterns.select("kind", "pattern", "distance").distinct())
+    own = patterns.select("kind", "pattern", "distance").distinct()
+    # What users type: a few distances.
+    near = sorted(r[0] for r in own.where(F.col("kind") == "fuzzy").select("distance").distinct().collect())
+    anchors = pattern_anchors(own, near)
     lengths = anchors.select("at", F.length("piece").alias("n")).distinct()
     # One entry for each place and length of a piece, so bounded by the length of a pattern.
     used = sorted((r["at"], r["n"]) for r in lengths.collect())

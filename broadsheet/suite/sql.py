@@ -85,10 +85,29 @@ def has(word: str) -> str:
     return f"list_contains(w, {_text(word)})"
 
 
-def distance(left: str, right: str) -> str:
-    """Edit distance in characters; DuckDB counts bytes, so accented letters become capitals."""
+def near(left: str, right: str, most: int) -> str:
+    """Edit distance of at most 1 or 2, a swap of neighbours being one edit.
+
+    A swap cuts both words in two, and what is left before and after it is as near as the edits that
+    remain. DuckDB counts bytes, so accented letters become capitals.
+    """
     one = lambda x: f"translate({x}, 'áàâäãéèêëíìîïñóòôöúùûüçßœ’', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
-    return f"levenshtein({one(left)}, {one(right)})"
+    x, y = one(left), one(right)
+    swaps = lambda w: (
+        f"list_transform(range(1, greatest(length({w}), 1)), lambda k: substr({w}, 1, k - 1) || substr({w}, k + 1, 1)"
+        f" || substr({w}, k, 1) || substr({w}, k + 2))"
+    )
+    xb, yb, xa, ya = f"substr({x}, 1, j - 1)", f"substr({y}, 1, i - 1)", f"substr({x}, j + 2)", f"substr({y}, i + 2)"
+    rest = (
+        f"(levenshtein({xb}, {yb}) + levenshtein({xa}, {ya}) <= 1"
+        f" or {xa} = {ya} and list_contains({swaps(yb)}, {xb}) or {xb} = {yb} and list_contains({swaps(ya)}, {xa}))"
+    )
+    swapped = {
+        1: f"list_contains({swaps(y)}, {x})",
+        2: f"len(list_filter(range(1, greatest(length({y}), 1)), lambda i: len(list_filter([i - 1, i, i + 1],"
+        f" lambda j: j >= 1 and substr({x}, j, 2) = reverse(substr({y}, i, 2)) and length(substr({x}, j, 2)) = 2 and {rest})) > 0)) > 0",
+    }[most]
+    return f"(abs(length({x}) - length({y})) <= {most} and (levenshtein({x}, {y}) <= {most} or levenshtein({x}, {y}) <= {2 * most} and {swapped}))"
 
 
 def some_word(test: str) -> str:
@@ -107,13 +126,10 @@ MATCHES = {
     "match_wildcard": some_word(
         "(x like '%heitkeit' or x like 'th_nt%' or x like '%ßü%' or x like 'a%ti_n' or x like 'ver%')"
     ),
-    "match_fuzzy": some_word(
-        "("
-        + " or ".join(
-            f"{distance('x', _text(w))} <= {n}" for w, n in (("ander", 1), ("heitkeit", 2), ("oionai", 2))
-        )
-        + ")"
-    ),
+    # The words are looked at once each, not once an article.
+    "match_fuzzy": "list_has_any(w, (select list(x) from (select distinct unnest(w) as x from worded) where x <> '' and ("
+    + " or ".join(near("x", _text(w), n) for w, n in (("ander", 1), ("heitkeit", 2), ("oionai", 2)))
+    + ")))",
     "match_title": "list_contains(tw, 'the') or contains(ts, ' de la ') or regexp_matches(ts, ' la ')",
 }
 
@@ -179,7 +195,7 @@ leaf_hit as (
   select query_id, form, 1, identifier from (
     select distinct query_id, form, word from passages, (select distinct word from article_words)
     where form = 4 and word <> '' and (word like a[1][1:4] || '%' or word like a[2][1] || '_' || a[2][3:])
-      or form = 5 and word <> '' and {distance('word', 'a[1]')} <= 1) join article_words using (word)
+      or form = 5 and word <> '' and {near('word', 'a[1]', 1)}) join article_words using (word)
   union all
   select query_id, form, 2, identifier from passages join title_words on word = a[2] where form = 5),
 decided as (
@@ -191,7 +207,7 @@ decided as (
 PATTERNS = f"""pattern_words as (
   select distinct query_id, word from passages, (select distinct word from article_words where word <> '')
   where case query_id % 4 when 0 then true when 1 then length(word) = 5
-    when 2 then length(word) <= 4 and {distance('word', 'left(a[2], 2)')} <= 2
+    when 2 then length(word) <= 4 and {near('word', 'left(a[2], 2)', 2)}
     else contains(word, substr(a[1], 2, 3)) end),
 decided as (select distinct query_id, identifier from pattern_words join article_words using (word)),
 """

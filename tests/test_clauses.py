@@ -55,12 +55,18 @@ def found(articles):
 
 
 def edits(a, b):
-    line = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, line[0] = line[0], i
-        for j, y in enumerate(b, 1):
-            last, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, last + (x != y))
-    return line[-1]
+    """Edits of neighbours' swaps, insertions, deletions and changes, none inside another."""
+    near = {}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            if not i or not j:
+                near[i, j] = i + j
+                continue
+            ways = [near[i - 1, j] + 1, near[i, j - 1] + 1, near[i - 1, j - 1] + (a[i - 1] != b[j - 1])]
+            if i > 1 and j > 1 and a[i - 2 : i] == b[j - 2 : j][::-1]:
+                ways.append(near[i - 2, j - 2] + 1)
+            near[i, j] = min(ways)
+    return near[len(a), len(b)]
 
 
 def wild(pattern, word):
@@ -117,7 +123,9 @@ CASES = {
     "star does not find stop words": (wildcard("va*"), set()),
     "wildcard inside quotes is a separator": (phrase("modern*"), set()),
     "fuzzy with distance": (fuzzy("fllm", 1), {0, 1, 4, 7}),
-    "transposition costs two": (fuzzy("felim", 2), {0, 1, 4, 7}),
+    "a swap and an insertion": (fuzzy("felim", 2), {0, 1, 4, 7}),
+    "a swap is one edit": (fuzzy("flim", 1), {0, 1, 4, 7}),
+    "a swap is more than none": (fuzzy("flim", 0), {4}),
     "fuzzy by length": (fuzzy("Gretta"), {0, 1}),
     "wildcard with tilde": (wildcard("frisd*~"), {3}),
     "title only": (in_title(term("film nieuws")), {0, 4}),
@@ -131,6 +139,62 @@ CASES = {
 }
 
 
+def random_words(n, seed, letters="abcé"):
+    rng = random.Random(seed)
+    return ["".join(rng.choices(letters, k=rng.randrange(1, 8))) for _ in range(n)]
+
+
+def test_edit_distance_against_brute_force(spark):
+    from broadsheet.functions.edits import edit_distance, shortened, within
+
+    pairs = list(zip(random_words(600, 1), random_words(600, 2))) + [("", ""), ("", "ab"), ("ca", "abc"), ("ab", "ba")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select(
+        "a", "b", edit_distance(F.col("a"), F.col("b")).alias("n"),
+        *[within(F.col("a"), F.col("b"), F.lit(d)).alias(f"d{d}") for d in (1, 2, 3)],
+        *[shortened(F.col("a"), k).alias(f"s{k}") for k in (0, 1, 2)],
+    ).collect()
+    for r in rows:
+        n = edits(r["a"], r["b"])
+        assert (r["n"], r["d1"], r["d2"], r["d3"]) == (n, n <= 1, n <= 2, n <= 3), (r["a"], r["b"])
+        cut = {r["a"]}
+        for k in (0, 1, 2):
+            assert sorted(r[f"s{k}"]) == sorted(cut)
+            cut = {w[:i] + w[i + 1 :] for w in cut for i in range(len(w))}
+
+
+def test_words_within_a_fixed_pattern(spark):
+    from broadsheet.functions.edits import within_word
+
+    words = spark.createDataFrame([(w,) for w in random_words(500, 7) + [""]], "w string")
+    for pattern in ("abc", "aab", "bé", "aa", "a", "cab'c"):
+        for d in (0, 1, 2):
+            rows = words.select("w", within_word(F.col("w"), pattern, d).alias("near")).collect()
+            assert all(r["near"] == (edits(r["w"], pattern) <= d) for r in rows)
+
+
+def test_fuzzy_words_meet_on_what_is_left(spark):
+    from broadsheet.plans.expand import expand
+
+    words = sorted(set(random_words(300, 3, "abc") + random_words(500, 4, "abcdefghij") + ["film", "flim", "ab", "a"]))
+    patterns = [("fuzzy", p, d) for p in random_words(40, 5, "abcdefghij") + ["film", "ab"] for d in (1, 2)]
+    vocabulary = spark.createDataFrame([(w,) for w in words] + [("",)], "term string")
+    found = expand(spark.createDataFrame(patterns, "kind string, pattern string, distance int"), vocabulary)
+    want = {(p, d, w) for _, p, d in patterns for w in words if edits(p, w) <= d}
+    assert {(r["pattern"], r["distance"], r["term"]) for r in found.collect()} == want
+
+
+def test_no_key_of_a_fuzzy_word_is_held_by_far_words(spark):
+    from broadsheet.plans.expand import _pieces, pattern_anchors
+
+    words = sorted(set(random_words(2000, 6, "abcdefghijklmn")))
+    own = spark.createDataFrame([("fuzzy", "film", 2), ("fuzzy", "ab", 1)], "kind string, pattern string, distance int")
+    anchors = pattern_anchors(own, [1, 2])
+    used = sorted((r["at"], len(r["piece"])) for r in anchors.select("at", "piece").distinct().collect())
+    pieces = spark.createDataFrame([(w,) for w in words], "term string").select("term", F.inline(_pieces(F.col("term"), used)))
+    for r in pieces.join(anchors, ["at", "piece"]).collect():
+        assert edits(r["term"], r["pattern"]) <= 2 * r["distance"]
+
+
 @pytest.mark.parametrize("case", CASES)
 def test_clause(found, case):
     clause, ids = CASES[case]
