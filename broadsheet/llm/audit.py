@@ -340,9 +340,10 @@ def both_held(terms: DataFrame) -> DataFrame:
                     at, p, bare = at[order], p[order], bare[order]
 
                     def value(i: slice, j: slice) -> np.ndarray:
-                        a, b = p[i, None], p[None, j]
-                        a0, b0 = bare[i, None], bare[None, j]
-                        return _apart(a, b) - _apart(a, b0) - _apart(a0, b) + _apart(a0, b0)
+                        one, two = np.append(p[i], bare[i]), np.append(p[j], bare[j])
+                        n, m = len(one) // 2, len(two) // 2
+                        f = _apart(one[:, None], two)
+                        return f[:n, :m] - f[:n, m:] - f[n:, :m] + f[n:, m:]
 
                     yield from tiles.add(lang, at, value)
             yield from tiles.rows()
