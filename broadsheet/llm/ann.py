@@ -22,6 +22,7 @@ from .vectors import (
     best_of_block,
     best_of_matrix,
     best_pairs,
+    by_length,
     matrix,
     meet,
     ranked,
@@ -249,9 +250,14 @@ def nearest(
     entry of the index and are written out. Rows that take no part are those of
     ``vectors.usable`` and zero vectors. An empty table gives no rows. A query gets fewer than
     ``k`` rows only if there are fewer candidates: it visits leaves until they hold enough.
+    Vectors meet those of their own length, in a tree of these alone.
     """
-    spark = table.sparkSession
-    rows, _ = stored(usable(table, vec_id, vector, nonzero=True))
+    rows = durable(usable(table, vec_id, vector, nonzero=True))
+    return by_length(rows, lambda alike: _nearest(alike, k, every, wanted), k)
+
+
+def _nearest(rows: DataFrame, k: int, every: int, wanted: float) -> DataFrame:
+    spark = rows.sparkSession
     distinct, kinds = stored(without_copies(rows, k + 1))
     sample = _sample(distinct, kinds, SAMPLE)
     if not len(sample):

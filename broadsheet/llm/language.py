@@ -52,17 +52,21 @@ def presence(text: str | None) -> np.ndarray | None:
         return None
     found = np.zeros(BUCKETS, bool)
     lower = text.lower()
-    any_letter = False
+    any_letter, after_letter, last = False, True, np.zeros(0, np.uint64)
     for at in range(0, len(lower), CHUNK):
-        part = lower[max(0, at - ORDER + 1) : at + CHUNK]
+        part = lower[at : at + CHUNK]
         codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         letter = _LETTER[codes.astype(np.int64)]
         any_letter |= bool(letter.any())
         codes = np.where(letter, codes, np.uint64(32))
-        codes = codes[letter | np.r_[True, letter[:-1]]]  # one blank between words
-        grams = np.zeros(len(codes), np.uint64)
-        for order in range(1, min(ORDER, len(codes)) + 1):
-            grams = grams[: len(codes) - order + 1] * np.uint64(1 << 21) + codes[order - 1 :]
+        kept = codes[letter | np.r_[after_letter, letter[:-1]]]  # one blank between words
+        after_letter = bool(letter[-1])
+        # The last codes kept of the chunks before begin the n-grams that run over the cut.
+        kept = np.concatenate([last, kept])
+        last = kept[max(0, len(kept) - ORDER + 1) :]
+        grams = np.zeros(len(kept), np.uint64)
+        for order in range(1, min(ORDER, len(kept)) + 1):
+            grams = grams[: len(kept) - order + 1] * np.uint64(1 << 21) + kept[order - 1 :]
             mixed = (grams + np.uint64(order)) * _SPREAD
             found[(mixed >> np.uint64(50)).astype(np.int64)] = True
     return found if any_letter else None

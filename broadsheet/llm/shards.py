@@ -14,7 +14,7 @@ from ..session import durable
 
 #: What a document takes besides its text.
 FRAME = 8
-#: A group of copies of at most this share of a shard is not cut.
+#: A group of copies of at most this share of a shard is not cut, if the caller does not say else.
 SLACK = 0.01
 _ORDER = ["copies", "doc_id", "size", "text_crc32"]
 
@@ -74,10 +74,10 @@ def _near(cut: int, *borders: int) -> int:
     return min(borders, key=lambda b: (abs(b - cut), b))
 
 
-def cuts(placed: DataFrame, total: int, shards: int) -> list[int]:
+def cuts(placed: DataFrame, total: int, shards: int, slack: float = SLACK) -> list[int]:
     """Where each shard after the first begins: the row border nearest to each target.
 
-    A group of copies that is small against a shard is kept whole: its border is taken then.
+    A group of copies of at most ``slack`` of a shard is kept whole: its border is taken then.
     """
     targets = [total * k // shards for k in range(1, shards)] if total else []
     if not targets:
@@ -97,23 +97,29 @@ def cuts(placed: DataFrame, total: int, shards: int) -> list[int]:
     for target in targets:
         row = next(r for r in rows if r["start"] <= target < r["end"])
         first, last = groups[row["copies"]]
-        small = (last - first) * shards <= SLACK * total
+        small = (last - first) * shards <= slack * total
         found.append(_near(target, *((first, last) if small else (row["start"], row["end"]))))
     return found
 
 
-def shard(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(
+    docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text", slack: float = SLACK
+) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` for every row of ``docs``.
 
     Rows stand in the order of a hash of their text, then of doc_id, so that copies are
-    neighbours and each source is spread. Shards are contiguous in that order, and differ from
-    the target by about one row, or by SLACK where a group of copies is kept whole. A larger
-    group is cut. Slots count from 0 in each shard. Repeated rows are rows of their own; null
+    neighbours and each source is spread. Shards are contiguous in that order. ``slack``, from
+    0 to 1, is the size, in shards, up to which a group of copies is never cut: each border
+    of a shard then lies within the larger of half a row and half of ``slack`` of its target, so a
+    shard differs from the mean by the larger of one row and ``slack``. A larger group is cut
+    like other rows. Slots count from 0 in each shard. Repeated rows are rows of their own; null
     ids come first among copies; a document larger than a shard leaves its neighbours empty;
     an empty table gives no rows.
     """
+    if not 0 <= slack <= 1:
+        raise ValueError("slack is a share of a shard, from 0 to 1")
     placed, total = positions(sizes(docs, doc_id, text))
-    begins = cuts(placed, total, shards)
+    begins = cuts(placed, total, shards, slack)
     passed: Column = F.lit(0)
     if begins:
         passed = F.size(F.filter(F.array(*[F.lit(b) for b in begins]), lambda b: b <= F.col("start")))

@@ -227,12 +227,18 @@ def near_duplicates(
     distinct = durable(
         marked.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows"))
     )
-    # A node is a fingerprint, so those of null ids link too; repeated ids join their fingerprints.
+    # A node is a fingerprint, so those of null ids link too; an id that stands at several
+    # fingerprints joins them all.
     nodes = distinct.select("fingerprint", F.col("fingerprint").alias("id"))
-    repeated = distinct.where(F.col("id").isNotNull()).groupBy("id").agg(
-        F.min("fingerprint").alias("b"), F.count(F.lit(1)).alias("n")
+    prints = marked.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.min("fingerprint").alias("b"), F.max("fingerprint").alias("most"), F.count(F.lit(1)).alias("n")
+    )
+    repeated = durable(prints.where(F.col("b") != F.col("most")).select("doc_id", "b", "n"))
+    same = (
+        lookup(marked.select("doc_id", "fingerprint"), repeated, ["doc_id"], "n", marked.count(), "inner")
+        .select(F.col("fingerprint").alias("a"), "b")
+        .distinct()
     )
-    same = distinct.join(repeated.where(F.col("n") > 1), "id").select(F.col("fingerprint").alias("a"), "b")
     found = components(links(nodes, radius).union(same))
     grouped = durable(
         distinct.join(found, F.col("fingerprint") == F.col("node"), "left").select(

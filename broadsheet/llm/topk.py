@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .vectors import best_pairs, block_of, matrix, meet, ranked, stored, together, usable, without_copies
+from .vectors import best_pairs, block_of, by_length, matrix, meet, ranked, stored, together, usable, without_copies
 
 SCALE = 1024
 LISTS = 2
@@ -116,11 +116,15 @@ def top_k(
     Components become floor(scale * x); the score is the integer inner product, which saturates
     at 64 bits. A row is no candidate for its own id. Ties go to the smaller id, and
     copies of a vector are searched once and then written out. Rows that take no part are those
-    of ``vectors.usable``; zero vectors do take part. With fewer candidates than ``k`` all are
+    of ``vectors.usable``; zero vectors do take part. Vectors meet those of their own length. With fewer candidates than ``k`` all are
     returned; an empty table gives no rows. Queries meet candidates in blocks of bounded size.
     """
     whole = F.transform("v", lambda x: F.floor(x * scale).cast("double"))
-    rows, number = stored(usable(table, vec_id, vector, nonzero=False).select("vec_id", whole.alias("v")))
+    rows = durable(usable(table, vec_id, vector, nonzero=False).select("vec_id", whole.alias("v")))
+    return by_length(rows, lambda alike: _top_k(alike, k, every), k)
+
+
+def _top_k(rows: DataFrame, k: int, every: int) -> DataFrame:
     asked = rows.where(F.col("vec_id") % every == 0)
     q_blocks = max(1, -(-asked.count() // QUERIES))
     distinct, kinds = stored(without_copies(rows, k + 1))

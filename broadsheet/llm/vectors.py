@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,18 +17,26 @@ def usable(table: DataFrame, vec_id: str, vector: str, nonzero: bool) -> DataFra
     """``vec_id, v`` (doubles) of the vectors that take part.
 
     Left out are null ids, vectors that are null or empty or hold a null or non-finite component,
-    zero vectors where ``nonzero``, and vectors of another length than most have (of two lengths
-    that are equally frequent, the larger counts).
+    and zero vectors where ``nonzero``.
     """
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     rows = table.select(
         F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")
     ).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", finite) & (F.size("v") > 0))
-    if nonzero:
-        rows = rows.where(F.exists("v", lambda x: x != 0))
-    lengths = rows.groupBy(F.size("v").alias("n")).count()
-    most = lengths.orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("v") == F.lit(most["n"] if most else 0))
+    return rows.where(F.exists("v", lambda x: x != 0)) if nonzero else rows
+
+
+def by_length(rows: DataFrame, search: Callable[[DataFrame], DataFrame], k: int) -> DataFrame:
+    """``search`` for the best ``k`` on the vectors of each length; only two of one length have a product.
+
+    ``rows`` is a stored table. A table has one length as a rule; each further one is a search of its
+    own. An id that stands at vectors of several lengths gets the best ``k`` of all.
+    """
+    lengths = [r["n"] for r in rows.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]
+    if len(lengths) < 2:
+        return search(rows)
+    found = [search(rows.where(F.size("v") == n)) for n in lengths]
+    return ranked(reduce(DataFrame.unionByName, found).drop("rank"), k)
 
 
 def without_copies(rows: DataFrame, keep: int) -> DataFrame:

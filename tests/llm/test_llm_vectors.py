@@ -115,6 +115,23 @@ def test_tree_on_odd_rows(spark):
     assert ann.nearest(table(spark, [(20, [0.5] * 8)]), 20).count() == 0
 
 
+def test_vectors_meet_those_of_their_own_length(spark):
+    long, short = some(60), [(i + 1000, v) for i, v in some(45, width=3, seed=1)]
+    rows = long + short + [(2000, [1.0]), (20, short[0][1])]
+    parts = [[(i, v) for i, v in rows if len(v) == n] for n in (8, 3, 1)]
+    want = {}
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        best = []
+        for part in parts:
+            best += [e for at in part if at[0] == q for e in ((-whole(at[1], b), i) for i, b in part if i != q)]
+        want[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(sorted(best)[:10])]
+    found = topk.top_k(table(spark, rows), 10, 20).collect()
+    assert {tuple(r) for r in found} == {(q, *e) for q, best in want.items() for e in best}
+    near = {tuple(r)[:3] for r in ann.nearest(table(spark, rows), 3, 20, wanted=1.0).collect()}
+    assert {q for q, *_ in near} == {q for q, best in want.items() if best}
+    assert all(i >= 1000 for q, _, i in near if q >= 1000) and all(i < 1000 for q, _, i in near if 20 < q < 1000)
+
+
 def test_visits_take_the_best_bin_first():
     rows = np.random.default_rng(4).normal(size=(2000, 6))
     tree = ann.Tree.fit(rows, 40)
