@@ -52,11 +52,24 @@ def vocabulary(terms: DataFrame) -> DataFrame:
     return terms.select("term").distinct()
 
 
-def write_doc_terms(terms: DataFrame, path: str, files: int | None = None) -> None:
-    """Store term frequencies sorted by word, so that a lookup reads few row groups.
+def write_doc_terms(terms: DataFrame, path: str, files: int | None = None, by: str = "term") -> None:
+    """Store term frequencies so that a lookup reads few row groups.
 
-    The range runs over word and document: a very frequent word is cut into several files.
+    They are sorted ``by`` word (``term``) or by document (``identifier``), and a Bloom filter of that
+    column tells a row group without the value from one that only spans it. The range runs over
+    word and document: a very frequent word or a very long document is cut into several files.
     """
-    keys = ("term", ID)
+    keys = ("term", ID) if by == "term" else (ID, "term")
     ranged = terms.repartitionByRange(files, *keys) if files else terms.repartitionByRange(*keys)
-    ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    bloom = {f"parquet.bloom.filter.enabled#{by}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+    ranged.sortWithinPartitions(*keys).write.mode("overwrite").options(**bloom).parquet(path)
+
+
+def term_counts(stored: DataFrame, words: list[str]) -> DataFrame:
+    """``(term, documents, count)`` of some words from stored term frequencies.
+
+    The words are a filter that reaches the scan; Spark pushes up to
+    ``spark.sql.parquet.pushdown.inFilterThreshold`` of them one by one, and the span of more.
+    """
+    found = stored.where(F.col("term").isin(list(words)))
+    return found.groupBy("term").agg(F.count_distinct(ID).alias("documents"), F.sum("tf").alias("count"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_date, split_list
@@ -35,8 +35,13 @@ def as_json(queries: DataFrame) -> DataFrame:
     return queries.select("id", F.to_json(F.struct(*queries.columns)).alias("json"))
 
 
+def random_key(seed: int) -> Column:
+    """A key of a query's id and the seed alone, so an order by it is the same on any partitioning."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+
+
 def in_random_order(queries: DataFrame, seed: int) -> DataFrame:
-    return queries.orderBy(F.rand(seed))
+    return queries.orderBy(random_key(seed), "id")
 
 
 def decode_exclusions(queries: DataFrame) -> DataFrame:

@@ -59,6 +59,10 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
     return spread(scanned(spark, sf))
 
 
+#: Words that are looked up in stored term vectors; the last one stands nowhere.
+STORED_WORDS = ["the", "heit", "keit", "les", "and", "zzyzx"]
+
+
 def selected(spark: SparkSession, sf: str) -> DataFrame:
     return filters.filtered_query(
         articles(spark, sf), CLAUSE, LOWER, UPPER, DISTRIBUTIONS, TYPES
@@ -96,6 +100,35 @@ def page_offset(spark, sf):
     return paging.page(scanned(spark, sf), 30, 30)
 
 
+@query
+def page_late(spark, sf):
+    return paging.page(scanned(spark, sf), 150, 40)
+
+
+@query
+def saved_query_order(spark, sf):
+    """The place of each saved query in a random order that a seed fixes."""
+    ids = _saved(spark, sf)[0].select("id")
+    return paging.numbered(ids, saved_queries.random_key(7), "id").withColumnRenamed("n", "place")
+
+
+def _stored_terms(spark: SparkSession, sf: str, by: str) -> DataFrame:
+    path = shared_dir(spark)
+    postings.write_doc_terms(postings.doc_terms(articles(spark, sf)), path, by=by)
+    return spark.read.parquet(path)
+
+
+@query
+def stored_term_counts(spark, sf):
+    return postings.term_counts(_stored_terms(spark, sf, "term"), STORED_WORDS)
+
+
+@query
+def stored_wordcloud(spark, sf):
+    """The cloud of a selection from term vectors that were stored before."""
+    return cloud.counts_from_frequencies(postings.terms_of(_stored_terms(spark, sf, ID), selected(spark, sf)))
+
+
 @query
 def doc_terms_by_ids(spark, sf):
     return postings.doc_terms(postings.terms_of(articles(spark, sf), selected(spark, sf)))
@@ -215,7 +248,7 @@ def corpus_load(spark, sf):
     for _ in range(2):
         corpus.load_bulk(spark, bulk, path)
     corpus.compact_corpus(spark, path, target, 1)
-    return corpus.read_corpus(spark, target, LOWER, UPPER).select(ID, DATE, SUBJECT, SPATIAL, TITLE)
+    return corpus.read_corpus(spark, target, LOWER, UPPER).select(ID, DATE, SUBJECT, SPATIAL, TITLE, CONTENT)
 
 
 # --- scalar functions -------------------------------------------------------------------

@@ -243,13 +243,17 @@ def oracle_sql() -> dict[str, str]:
         "saved_query_scan": f"with {QUERIES} select id, query, date_lower, date_upper, replace(types, '+', '|') as exclude_article_type, replace(places, '+', '|') as exclude_distributions, user_id from stored",
         "id_pages": f"with {ARTICLES} select identifier, cast(floor((row_number() over (order by identifier) - 1) / 64) as bigint) as page from articles",
         "page_offset": f"with {ARTICLES} select identifier from articles order by identifier limit 30 offset 30",
+        "page_late": f"with {ARTICLES} select identifier from articles order by identifier limit 40 offset 150",
+        "saved_query_order": f"with {QUERIES} select id, row_number() over (order by md5('7:' || id), id) - 1 as place from stored",
+        "stored_term_counts": f"with {ARTICLES} select term, count(distinct identifier) as documents, cast(sum(tf) as bigint) as count from ({DOC_TERMS.replace('{source}', 'articles')}) where term in ('the', 'heit', 'keit', 'les', 'and', 'zzyzx') group by term",
+        "stored_wordcloud": f"with {SELECTED} {word_count} (select unnest({analyzed(CLOUD_TEXT)}) as term from selected) where length(term) >= 2 group by term",
         "doc_terms_by_ids": f"with {SELECTED} {DOC_TERMS.replace('{source}', 'selected')}",
         "multivalue_first": "select doc_id, string_split(text, chr(10))[1] as first_value from documents",
         "xml_ingest": f"select {XML_COLUMNS} from documents where {XML_OK}",
         "incremental_ingest": f"select {XML_COLUMNS} from documents where {XML_OK}",
         "xml_quarantine": "select case when doc_id % 17 = 0 then 'malformed' else 'missing_field' end as status, count(*) as docs from documents where doc_id % 17 = 0 or doc_id % 19 = 0 group by 1",
         "bulk_roundtrip": f"with {ARTICLES} select * exclude (doc_id) from articles",
-        "corpus_load": f"with {ARTICLES} select identifier, paper_dc_date, article_dc_subject, paper_dcterms_spatial, article_dc_title from articles where {IN_DATES}",
+        "corpus_load": f"with {ARTICLES} select identifier, paper_dc_date, article_dc_subject, paper_dcterms_spatial, article_dc_title, text_content from articles where {IN_DATES}",
         "paragraph_join": "select doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10) || chr(10)) as text_content from documents",
         "html_unescape_basic": "select page_id, replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') as html from pages",
         "file_stem": "select doc_id, 'issue.' || doc_id || '.xml' as stem, 'issue.' || doc_id || '.xml.json.gz' as bulk_name from documents",

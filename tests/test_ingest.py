@@ -216,11 +216,59 @@ def test_a_second_load_replaces(spark, tmp_path):
     stored = corpus.read_corpus(spark, path).collect()
     assert len(stored) == len({r["identifier"] for r in stored}) == 20
     assert {r["identifier"] for r in stored if r["article_dc_title"] == "nieuw"} == {"1", "5", "9", "13", "17"}
-    assert not (tmp_path / "corpus" / "year=1901").exists()
+    assert "1901" not in corpus.current(spark, path).years
     corpus.upsert(first.where("identifier = '1'").withColumn("paper_dc_date", F.lit(None).cast("date")), path)
     assert corpus.read_corpus(spark, path).where("paper_dc_date is null").count() == 1
 
 
+def test_a_load_that_fails_half_way_is_not_seen(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "corpus")
+    first = some_articles(spark, 20)
+    corpus.upsert(first, path)
+    begun = corpus.read_corpus(spark, path)
+    changed = first.withColumns({"article_dc_title": F.lit("nieuw"), "paper_dc_date": F.lit("1955-01-01").cast("date")})
+    titles = lambda df: sorted((r["identifier"], r["article_dc_title"]) for r in df.collect())
+    before = titles(begun)
+
+    def broken(*_):
+        raise OSError("the driver dies between the two steps")
+
+    publish = corpus._publish
+    for load in (lambda: corpus.upsert(changed, path), lambda: corpus.compact_corpus(spark, path, files=1)):
+        with monkeypatch.context() as patch:
+            patch.setattr(corpus, "_publish", broken)
+            with pytest.raises(OSError):
+                load()
+        assert titles(corpus.read_corpus(spark, path)) == before
+    # a load that began before another one was published stops instead of undoing it
+    state = corpus.current(spark, path)
+    corpus.upsert(changed, path)
+    with pytest.raises(Exception, match="FileAlreadyExists"):
+        publish(spark, path, state, state.schema, state.years)
+    after = titles(corpus.read_corpus(spark, path))
+    assert after == sorted((i, "nieuw") for i, _ in before)
+    assert titles(begun) == before  # its folders are still there
+    corpus.compact_corpus(spark, path, files=1)
+    assert corpus.remove_unused(spark, path) >= 4
+    assert titles(corpus.read_corpus(spark, path)) == after
+    assert len(list((tmp_path / "corpus").glob("load=*"))) == len(list((tmp_path / "corpus/_pointers").glob("*.json"))) == 1
+    with pytest.raises(FileNotFoundError):
+        corpus.read_corpus(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError, match="another type"):
+        corpus.write_corpus(changed.withColumn("article_dc_title", F.lit(1)), path)
+
+
+def test_an_upsert_adds_columns_and_takes_nothing(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    first = some_articles(spark, 8)
+    corpus.upsert(first, path)
+    corpus.upsert(first.where("identifier = '3'").withColumn("extra", F.lit("x")), path)
+    corpus.upsert(first.limit(0), path)
+    assert {(r["identifier"], r["extra"]) for r in corpus.read_corpus(spark, path).collect()} == {
+        (str(i), "x" if i == 3 else None) for i in range(8)
+    }
+
+
 def test_total_is_told_from_a_missing_source(spark):
     from broadsheet.operators.counts import articles_per_source
 
@@ -269,7 +317,7 @@ def test_corpus_by_year(spark, tmp_path, plan_of):
     corpus.compact_corpus(spark, path, target, 1)
     stored = corpus.read_corpus(spark, target)
     assert sorted(stored.select(*articles.columns).collect()) == sorted(articles.collect())
-    assert len(list((tmp_path / "compact").glob("year=*/*.parquet"))) == 4
+    assert len(list((tmp_path / "compact").glob("load=*/year=*/*.parquet"))) == 4
     some = corpus.read_corpus(spark, target, "1901-01-01", "1902-12-31")
     plan = plan_of(some)
     assert "PartitionFilters: [isnotnull(year" in plan and "PushedFilters: [IsNotNull(paper_dc_date)" in plan
@@ -317,6 +365,9 @@ def test_saved_queries_from_csv(spark, tmp_path):
     assert got[62]["exclude_article_type"] == [] and got[62]["date_upper"] == date(1990, 12, 31)
     assert got[7]["query"] == '"a b" OR c' and got[7]["exclude_article_type"] == ["st_advert", "st_illust"]
     assert saved_queries.in_random_order(typed, 1).count() == 2
+    many = spark.range(500).select(F.col("id").cast("int"))
+    orders = [[r["id"] for r in saved_queries.in_random_order(many.repartition(n), 3).collect()] for n in (1, 8)]
+    assert orders[0] == orders[1] != sorted(orders[0])
 
 
 def test_sinks(spark, tmp_path):

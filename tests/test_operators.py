@@ -82,6 +82,59 @@ def test_pages(spark, size):
     assert sorted((r["identifier"], r["page"]) for r in pages) == [(f"{i:05d}", i // size) for i in range(351)]
 
 
+def test_deep_pages_read_their_partitions_only(spark, plan_of):
+    ids = spark.range(2000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("identifier"))
+    ids = ids.unionByName(ids.where("identifier < '00020'"))
+    every = sorted(r["identifier"] for r in ids.collect())
+    with_parts = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = paging.position_index(ids, "identifier")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", with_parts)
+    parts = index.select("part").distinct().count()
+    assert parts > 4
+    for offset, size in ((0, 5), (7, 900), (1990, 30), (2015, 30), (2020, 5), (0, 5000), (3, 0)):
+        found = [r["identifier"] for r in paging.slice_of(index, offset, size).collect()]
+        assert found == every[offset : offset + size]
+    late = paging.slice_of(index, 1990, 5)
+    plan = plan_of(late)
+    assert "TakeOrdered" not in plan and "PartitionFilters: [isnotnull(part" in plan
+    sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
+    held = {r["part"] for r in index.where(F.col("identifier").isin(every[1990:1995])).collect()}
+    # the sort of the page samples its input first, so the scan counts twice
+    assert 5 <= rows_read(late) <= 2 * sum(sizes[p] for p in held) < 2020
+
+
+def rows_read(df):
+    """Rows that the scan of a plan has put out."""
+    from pyspark.sql import SparkSession
+
+    jvm = SparkSession.getActiveSession().sparkContext._jvm
+    run = df._jdf.queryExecution()
+    df._jdf.collectToPython()
+    plan = run.executedPlan()
+    plan = plan.finalPhysicalPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+    while plan.children().size() or plan.nodeName().endswith("QueryStage"):
+        plan = plan.plan() if plan.nodeName().endswith("QueryStage") else plan.children().apply(0)
+    return plan.metrics().apply("numOutputRows").value()
+
+
+def test_a_word_is_looked_up_in_few_rows(spark, articles, plan_of):
+    path = shared_dir(spark)
+    terms = postings.doc_terms(articles)
+    postings.write_doc_terms(terms, path, 8)
+    stored = spark.read.parquet(path)
+    total = stored.count()
+    frequent = stored.groupBy("term").count().orderBy(F.desc("count")).first()["term"]
+    one = postings.term_counts(stored, [frequent])
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term," in plan_of(one) or "PushedFilters: [In(term" in plan_of(one)
+    assert one.collect() == postings.term_counts(terms, [frequent]).collect()
+    assert 0 < rows_read(stored.where(F.col("term") == frequent)) <= total / 3
+    assert rows_read(stored.where(F.col("term") == frequent + "\u0001")) == 0  # within the span of a file
+    assert postings.term_counts(stored, ["no such word"]).collect() == []
+
+
 def test_size_gate(spark):
     sizes = spark.createDataFrame([(n,) for n in (0, 9999, 10000, 50000, 50001)], "count bigint")
     status = [r["status"] for r in filters.size_gate(sizes).orderBy("count").collect()]
