@@ -43,6 +43,9 @@ CLAUSE_COLUMNS = (
 _BITS = 62
 #: Bits of the map of words in use. It only saves work, and has this size for any table.
 _MAP_BITS = 1 << 18
+#: A key with more than 1 / (_FINE x shuffle partitions) of all rows is split, so that no partition is
+#: made of a few large pieces; and so many keys can be split at most.
+_FINE, _MOST_SPLIT = 32, 100_000
 _PATTERN_KINDS = ("wildcard", "fuzzy")
 _PATTERN = ["kind", "pattern", "distance"]
 # What stands after the field in a scope: one word, any word at all, the length of a word.
@@ -328,6 +331,46 @@ def _scope_keys(scope: str, compiled: CompiledQueries) -> Column:
     return F.transform(values, lambda v: F.struct(F.lit(scope).alias("scope"), v.alias("key")))
 
 
+def meet_lookup(keys: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Article keys joined to the stored lookup on ``(scope, key)``.
+
+    A lookup below the broadcast threshold is broadcast. Beyond it both sides are shuffled; then
+    the keys are stored and counted first, and a word that stands in very many articles, or
+    in very many queries, is split into parts on both sides.
+    """
+    on = ["scope", "key"]
+    spark = keys.sparkSession
+    size = int(lookup._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size <= spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold():
+        return keys.join(lookup, on)
+    keys = durable(keys)
+    left, right = _parts_of(keys, "left_parts"), _parts_of(lookup, "right_parts")
+    split = durable(left.join(right, "place", "full"))
+
+    def dealt(rows: DataFrame, own: str, other: str, row_id: str) -> DataFrame:
+        """Rows with a part of their own side, and a copy for each part of the other side."""
+        parts = lambda name: F.coalesce(f"{name}_parts", F.lit(1))
+        return rows.join(F.broadcast(split), F.xxhash64(*on) == F.col("place"), "left").select(
+            *rows.columns,
+            F.pmod(F.xxhash64(row_id), parts(own)).cast("int").alias(f"{own}_part"),
+            F.explode(F.sequence(F.lit(0), parts(other) - 1)).alias(f"{other}_part"),
+        )
+
+    halves = dealt(keys, "left", "right", ID), dealt(lookup, "right", "left", "query_id")
+    return halves[0].join(halves[1], [*on, "left_part", "right_part"]).drop("left_part", "right_part")
+
+
+def _parts_of(rows: DataFrame, name: str) -> DataFrame:
+    """Into how many parts each hot key is split, by the hash of the key.
+
+    At most _MOST_SPLIT keys can be hot, and a row has two numbers, so the table can be broadcast.
+    """
+    pieces = min(_FINE * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), _MOST_SPLIT)
+    share = max(rows.count() // pieces, 1)
+    counted = rows.groupBy(F.xxhash64("scope", "key").alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") > share).select("place", F.ceil(F.col("n") / share).cast("int").alias(name))
+
+
 def saved_query_matches(articles: DataFrame, compiled: CompiledQueries) -> DataFrame:
     """``(query_id, identifier)`` for every match of every query."""
     if not compiled.scopes:
@@ -335,7 +378,7 @@ def saved_query_matches(articles: DataFrame, compiled: CompiledQueries) -> DataF
     articles = articles.where(date_between(compiled.date_lower, compiled.date_upper))
     keys = article_keys(articles, compiled)
     filters = compiled.rules.drop("steps")
-    hits = keys.join(compiled.lookup, ["scope", "key"]).join(filters, "query_id").where(
+    hits = meet_lookup(keys, compiled.lookup).join(filters, "query_id").where(
         F.col(DATE).between(F.col("date_lower"), F.col("date_upper"))
         & ~F.coalesce(F.array_contains("article_types", F.col(SUBJECT)), F.lit(False))
         & ~F.coalesce(F.array_contains("distributions", F.col(SPATIAL)), F.lit(False))

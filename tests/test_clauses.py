@@ -268,6 +268,35 @@ def test_batch_without_any_broadcast(articles, spark):
     assert ids == {i: expected(c) for i, c in enumerate(clauses)}
 
 
+@pytest.mark.parametrize("hot", ["articles", "queries", "both"])
+def test_a_heavy_word_is_dealt_to_all_tasks(spark, hot):
+    """One word in all articles, or in a third of the queries, with nothing broadcast."""
+    n = 20_000
+    own = lambda rows, name: rows.select(F.lit("all/1").alias("scope"), F.concat(F.lit("w"), F.col("id") % 5000).alias("key"), name)
+    heavy = lambda rows, name: rows.select(F.lit("all/1").alias("scope"), F.lit("de").alias("key"), name)
+    ids, queries = F.col("id").cast("string").alias("identifier"), F.col("id").cast("int").alias("query_id")
+    many, few = spark.range(n), spark.range(30)
+    keys = own(many, ids).unionByName(heavy(many if hot != "queries" else few, ids))
+    lookup = own(many, queries).unionByName(heavy(spark.range(n // 2, n // 2 + 300) if hot == "both" else (many if hot == "queries" else few), queries))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    lookup = durable(lookup)
+    want = keys.join(lookup, ["scope", "key"])
+    total = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("scope", "key", "identifier", "query_id").cast("decimal(38,0)"))).first()
+    want = total(want)
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        met = durable(batch.meet_lookup(keys, lookup).withColumn("task", F.spark_partition_id()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(met.columns) == ["identifier", "key", "query_id", "scope", "task"]
+    assert total(met) == want
+    per_task = sorted(r["count"] for r in met.groupBy("task").count().collect())
+    assert len(per_task) == 8 and per_task[-1] <= 2 * per_task[4]
+
+
 def test_more_groups_than_bits_in_a_mask(articles, spark):
     many = all_of(*[any_of(term("film"), term(f"w{i}")) for i in range(150)])
     never = all_of(term("film"), *[not_(term(f"w{i}")) for i in range(150)], not_(term("garbo")))
