@@ -16,15 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def per_batch(work: Callable[[list], pa.Array], returns: str) -> Callable[..., Column]:
+def per_batch(work: Callable[[list], pa.Array], returns: str, rows: int | None = None) -> Callable[..., Column]:
     """A column function: ``work`` turns the values of one Arrow batch into an array.
 
-    Spark calls it once a row even where a filter stands on its result.
+    With ``rows`` it gets so many values of the batch at a time, which bounds the texts that a
+    worker holds as Python strings. Spark calls it once a row even where a filter stands on its result.
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield work(batch.to_pylist())
+            step = rows or max(len(batch), 1)
+            parts = [work(batch.slice(at, step).to_pylist()) for at in range(0, max(len(batch), 1), step)]
+            yield parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, returns).asNondeterministic()

@@ -245,4 +245,4 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> Column:
             ["lang_pred", "score", "known"],
         )
 
-    return per_batch(work, "struct<lang_pred:string,score:double,known:double>")(F.col(text))
+    return per_batch(work, "struct<lang_pred:string,score:double,known:double>", ROWS)(F.col(text))

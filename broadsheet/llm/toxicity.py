@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +47,20 @@ class Model:
     bias: float
 
     def __post_init__(self):
-        self.known = dict(zip(self.buckets.tolist(), range(len(self.buckets))))
-        self.memo = Memo(lambda term: self.known.get(bucket(term), -1), TERMS)
+        self.memo = Memo(self._place, TERMS)
         self.own = (self.factors**2).sum(axis=1)
 
+    @cached_property
+    def known(self) -> dict[int, int]:
+        """The place of each bucket, for looking at a model; scoring searches the sorted buckets."""
+        return dict(zip(self.buckets.tolist(), range(len(self.buckets))))
+
+    def _place(self, term: str) -> int:
+        """Which of the buckets a term has, or -1."""
+        wanted = bucket(term)
+        at = int(np.searchsorted(self.buckets, wanted))
+        return at if at < len(self.buckets) and self.buckets[at] == wanted else -1
+
     def __reduce__(self):
         return Model, (self.buckets, self.weights, self.factors, self.bias)
 
@@ -226,4 +237,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
     each other.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-    return per_batch(lambda texts: pa.array(shared.value.scores(texts), pa.float64()), "double")(F.col(text))
+    return per_batch(lambda texts: pa.array(shared.value.scores(texts), pa.float64()), "double", ROWS)(F.col(text))
