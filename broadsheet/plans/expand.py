@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.edits import shortened, within
 
 _NEAR = "near:"
+#: Wildcards meet words on pieces of these lengths only: a longer literal is met on a part of it. So a
+#: word has a fixed number of pieces a character, however many lengths the patterns have.
+_PIECES = (8, 5, 3, 2, 1)
 _KEYS = "array<struct<at:string,piece:string>>"
 
 
@@ -24,15 +27,16 @@ def _anchor(at: str, piece: Column) -> Column:
 
 
 def _wildcard_anchors(pattern: Column) -> Column:
-    """The longest literal run, with the place where it must be in the word. There is one."""
+    """A piece of the longest literal run, with the place where it must be in the word. There is one."""
     runs = F.filter(F.split(pattern, "[*?]+"), lambda r: r != "")
     longest = F.aggregate(
         runs, F.lit(""), lambda a, r: F.when(F.length(r) > F.length(a), r).otherwise(a)
     )
+    size = F.coalesce(*[F.when(F.length(longest) >= n, F.lit(n)) for n in _PIECES])
     anchor = (
-        F.when(pattern.startswith(longest), _anchor("start", longest))
-        .when(pattern.endswith(longest), _anchor("end", longest))
-        .otherwise(_anchor("inside", longest))
+        F.when(pattern.startswith(longest), _anchor("start", F.left(longest, size)))
+        .when(pattern.endswith(longest), _anchor("end", F.right(longest, size)))
+        .otherwise(_anchor("inside", F.left(longest, size)))
     )
     return F.array(anchor)
 
@@ -135,7 +139,8 @@ def expand(patterns: DataFrame, vocabulary: DataFrame) -> DataFrame:
     near = sorted(r[0] for r in own.where(F.col("kind") == "fuzzy").select("distance").distinct().collect())
     anchors = pattern_anchors(own, near)
     lengths = anchors.select("at", F.length("piece").alias("n")).distinct()
-    # One entry for each place and length of a piece, so bounded by the length of a pattern.
+    # One entry for each place and length of a piece: few of wildcards, of fuzzy ones bounded by
+    # the length of a pattern.
     used = sorted((r["at"], r["n"]) for r in lengths.collect())
     words = vocabulary.where(F.col("term") != "")
     if not used:

@@ -371,6 +371,23 @@ def streaming_wordcount(spark, sf):
     return running.latest_counts(spark.read.parquet(path))
 
 
+@query
+def running_wordcloud(spark, sf):
+    """The cloud of a stream of selected articles, in several micro-batches.
+
+    Half of the files come in after the first run has ended; the second one goes on from its state.
+    """
+    inbox, path, state = (shared_dir(spark) for _ in range(3))
+    docs = table(spark, sf, "documents")
+    for half in range(2):
+        coming = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == half)
+        coming.repartition(4, "doc_id").write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(inbox)
+        found = filters.filtered_query(articles_from_documents(stream), CLAUSE, LOWER, UPPER, DISTRIBUTIONS, TYPES)
+        running.start_running_cloud(found, path, state, min_length=2).awaitTermination()
+    return running.ranking(spark, path)
+
+
 # --- filters ----------------------------------------------------------------------------
 
 

@@ -276,6 +276,7 @@ def oracle_sql() -> dict[str, str]:
         "filtered_query": f"with {SELECTED} select identifier, paper_dc_date, article_dc_subject, paper_dcterms_spatial, article_dc_title from selected",
         "count_matches": f"with {SELECTED} select count(*) as count from selected",
         "wordcloud_mr": f"with {SELECTED} {word_count} (select unnest({stripped(CLOUD_TEXT, 2)}) as term from selected) group by term order by count desc, term limit 100",
+        "running_wordcloud": f"with {SELECTED} select *, row_number() over (order by count desc, term) as rank from ({word_count} (select unnest({stripped(CLOUD_TEXT, 2)}) as term from selected) group by term order by count desc, term limit 100)",
         "wordcloud_tv": f"with {SELECTED} {word_count} (select unnest({analyzed(CLOUD_TEXT)}) as term from selected) where length(term) >= 2 group by term",
         "wordcloud_stopwords": f"with {ARTICLES} {word_count} (select unnest({stripped(CLOUD_TEXT, 2)}) as term from articles) where term not in (select unnest({analyzed('text')}) from benchmark) group by term",
         "wordcloud_response": f"with {SELECTED}, top as ({word_count} (select unnest({stripped(CLOUD_TEXT, 2)}) as term from selected) group by term order by count desc, term limit 100) select max(count) as max_count, cast(to_json(list(struct_pack(term := term, count := count) order by count desc, term)) as varchar) as result, 'ok' as status, false as burstcloud from top",

@@ -195,6 +195,31 @@ def test_no_key_of_a_fuzzy_word_is_held_by_far_words(spark):
         assert edits(r["term"], r["pattern"]) <= 2 * r["distance"]
 
 
+def test_wildcards_of_all_lengths_meet_few_pieces(spark):
+    """Literals of 1 to 20 characters at every place: all matches, and a word's pieces grow with its length only."""
+    from fnmatch import fnmatchcase
+
+    from broadsheet.plans.expand import _PIECES, _pieces, expand, pattern_anchors
+
+    long = "abcabcdeabfghabcabcdeabfgh"
+    words = sorted(set(random_words(400, 8, "ab") + random_words(200, 9, "abc") + [long, long[::-1], "a"]))
+    patterns = set()
+    for n in range(1, 21):
+        piece = long[n % 5 : n % 5 + n]
+        patterns |= {f"{piece}*", f"*{piece}", f"*{piece}*", f"?{piece}*", f"a*{piece}", f"{piece}?*a*"}
+    patterns |= {"a*b", "ab*ba", "*a?b*", "*aa*bb*"}
+    own = spark.createDataFrame([("wildcard", p, 0) for p in sorted(patterns)], "kind string, pattern string, distance int")
+    vocabulary = spark.createDataFrame([(w,) for w in words] + [("",)], "term string")
+    want = {(p, w) for p in patterns for w in words if fnmatchcase(w, p)}
+    assert {(r["pattern"], r["term"]) for r in expand(own, vocabulary).collect()} == want
+
+    anchors = pattern_anchors(own, [])
+    used = sorted({(r["at"], len(r["piece"])) for r in anchors.collect()})
+    assert {n for _, n in used} <= set(_PIECES) and len(used) <= 3 * len(_PIECES)
+    pieces = vocabulary.select("term", F.size(_pieces(F.col("term"), used)).alias("n")).collect()
+    assert all(r["n"] <= len(_PIECES) * (len(r["term"]) + 2) for r in pieces)
+
+
 @pytest.mark.parametrize("case", CASES)
 def test_clause(found, case):
     clause, ids = CASES[case]

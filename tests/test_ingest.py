@@ -395,3 +395,36 @@ def test_running_counts_equal_a_batch(spark, tmp_path):
         running.start_running_counts(stream, out, state).awaitTermination()
     latest = running.latest_counts(spark.read.parquet(out))
     assert sorted(latest.collect()) == sorted(word_counts(articles).collect())
+
+
+def test_running_cloud_over_batches_and_a_restart(spark, tmp_path):
+    """After each batch the ranking is that of all articles so far, and the changes lead to it."""
+    inbox, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    texts = ["aa aa aa bb bb cc", "bb bb dd", "dd dd dd dd ee", "cc cc cc cc cc", "ff", "", "aa ee ee ee ee ee ee"]
+    columns = "article_dc_title string, text_content string"
+    for n, text in enumerate(texts):
+        # Each file is a batch; the query starts again for every second one.
+        spark.createDataFrame([("", text)], columns).coalesce(1).write.mode("append").parquet(inbox)
+        if n % 2 or n == len(texts) - 1:
+            stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(inbox)
+            running.start_running_cloud(stream, out, state, k=3).awaitTermination()
+    order = spark.read.parquet(f"{out}/ranking").select("batch").distinct().count()
+    assert order == len(texts)
+    place: dict[str, int] = {}
+    for batch in range(len(texts)):
+        counts: dict[str, int] = {}
+        for word in " ".join(texts[: batch + 1]).split():
+            counts[word] = counts.get(word, 0) + 1
+        best = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:3]
+        expected = {word: (count, n + 1) for n, (word, count) in enumerate(best)}
+        stored = spark.read.parquet(f"{out}/ranking/batch={batch}").collect()
+        assert {r["term"]: (r["count"], r["rank"]) for r in stored} == expected
+        for r in spark.read.parquet(f"{out}/changes/batch={batch}").collect():
+            assert r["was"] == place.get(r["term"]) and r["rank"] != r["was"]
+            if r["rank"] is None:
+                del place[r["term"]]
+            else:
+                place[r["term"]] = r["rank"]
+        assert place == {word: rank for word, (_, rank) in expected.items()}
+    last = running.ranking(spark, out).collect()
+    assert {r["term"]: (r["count"], r["rank"]) for r in last} == expected
