@@ -185,12 +185,15 @@ def read_corpus(spark: SparkSession, path: str, date_lower=None, date_upper=None
     return articles.drop("year")
 
 
-def save_bucketed(articles: DataFrame, table: str, buckets: int) -> None:
-    """Store articles as a table bucketed by id.
+def save_bucketed(articles: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Store articles as a table bucketed by id, in the warehouse or under ``path``.
 
-    The saved-query batch groups and joins by id: over this table it shuffles no article.
+    The saved-query batch groups and joins by id: over this table it shuffles no article. With
+    the words stored too (``filters.with_words``) it cuts no text either.
     """
     writer = articles.repartition(buckets, ID).write.bucketBy(buckets, ID).sortBy(ID)
+    if path is not None:
+        writer = writer.option("path", path)
     writer.mode("overwrite").saveAsTable(table)
 
 

@@ -510,6 +510,17 @@ def saved_query_counts(spark, sf):
     return _batch(spark, sf).counts.select("query_id", "count")
 
 
+@query
+def bucketed_query_counts(spark, sf):
+    """The counts of all saved queries over a stored corpus, bucketed by id, that holds its words."""
+    path = shared_dir(spark)
+    name = f"articles_{path.rsplit('/', 1)[-1]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    corpus.save_bucketed(filters.with_words(articles(spark, sf)), name, buckets, path)
+    queries, clauses = _saved(spark, sf)
+    return batch.run_batch(spark.table(name), queries, clauses, None, None).counts.select("query_id", "count")
+
+
 @query
 def query_size_gate(spark, sf):
     return _batch(spark, sf).counts.select("query_id", "status")

@@ -283,6 +283,7 @@ def oracle_sql() -> dict[str, str]:
         "query_json": f"with {QUERIES} select id, cast(to_json(struct_pack(id := id, query := query, date_lower := date_lower, date_upper := date_upper, exclude_article_type := list_filter(string_split(types, '+'), lambda x: x <> ''), exclude_distributions := list_filter(string_split(places, '+'), lambda x: x <> ''), user_id := user_id)) as varchar) as json from stored",
         "decode_exclusions": f"with {QUERIES}, {LABELS}, {EXCLUDED} select id, kind, code, label from excluded",
         "saved_query_counts": f"with {BATCH} select query_id, count from counted",
+        "bucketed_query_counts": f"with {BATCH} select query_id, count from counted",
         "query_size_gate": f"with {BATCH} select query_id, status from gated",
         "saved_query_wordcloud": f"with {BATCH} select * from (select *, row_number() over (partition by query_id order by count desc, term) as rank from (select query_id, term, count(*) as count from (select m.query_id, unnest({analyzed(CLOUD_TEXT)}) as term from matches m join gated using (query_id) join worded x on x.identifier = m.identifier where status = 'ok') where length(term) >= 2 group by query_id, term)) where rank <= 100",
         "result_log": f"with {BATCH} select 'run@documents' as identifier, query_id as queryid, status, count, true as timed from gated",
