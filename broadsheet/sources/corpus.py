@@ -157,15 +157,19 @@ def upsert(articles: DataFrame, path: str) -> None:
     readers see the corpus as it was.
     """
     spark = articles.sparkSession
-    new = durable(latest_by_id(durable(with_year(articles))))
+    new = latest_by_id(durable(with_year(articles)))
     before, ids = current(spark, path), new.select(ID)
     touched: set[str] = set()
+    partly: set[str] = set()
     if before.years:
-        left = _stored(spark, path, before).select(ID, "year").join(ids, ID, "left_semi").select("year")
-        changed = left.union(new.select("year")).distinct().collect()  # a row a year
-        touched = {_folder_of(r["year"]) for r in changed}
-    kept = _stored(spark, path, before, touched).join(ids, ID, "left_anti") if touched else None
-    rows = kept.unionByName(new, allowMissingColumns=True) if touched else new
+        found = _stored(spark, path, before).select(ID, "year").join(ids.withColumn("again", F.lit(1)), ID, "left")
+        years = found.groupBy("year").agg(F.count("again").alias("again"), F.count(F.lit(1)).alias("all")).collect()  # a row a year
+        added = {_folder_of(r["year"]) for r in new.select("year").distinct().collect()}
+        touched = added | {_folder_of(r["year"]) for r in years if r["again"]}
+        # A year whose rows are all replaced has none to keep: its texts are neither read nor shuffled.
+        partly = {_folder_of(r["year"]) for r in years if r["again"] < r["all"]} & touched
+    kept = _stored(spark, path, before, partly).join(ids, ID, "left_anti") if partly else None
+    rows = kept.unionByName(new, allowMissingColumns=True) if partly else new
     added = _write_load(rows.hint("rebalance", "year"), path)
     years = {year: loads for year, loads in before.years.items() if year not in touched} | added
     _publish(spark, path, before, _columns(new), years)
