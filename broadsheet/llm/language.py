@@ -185,6 +185,21 @@ def fit_rows(packed: np.ndarray, labels: list[str], landmarks: int = 256, ridge:
     )
 
 
+def described(rows: DataFrame) -> DataFrame:
+    """``doc_id, lang, bits, junk``: packed presence of each text and of its scrambled letters.
+
+    One function makes both: two would need two Python workers a task, which then stay.
+    """
+    packed = lambda text: None if (p := presence(text)) is None else np.packbits(p).tobytes()
+
+    def work(texts: list) -> pa.Array:
+        made = [pa.array([packed(t) for t in side], pa.binary()) for side in (texts, map(scrambled, texts))]
+        return pa.StructArray.from_arrays(made, ["bits", "junk"])
+
+    both = per_batch(work, "struct<bits:binary,junk:binary>", ROWS)(F.col("text"))
+    return rows.select("doc_id", "lang", both.alias("both")).select("doc_id", "lang", "both.bits", "both.junk")
+
+
 def fit(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -208,12 +223,8 @@ def fit(
     share = max(1, sample_rows // len(counts))
     drawn = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, share / n))])
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
-    packed = lambda text: None if (p := presence(text)) is None else np.packbits(p).tobytes()
-    bits = per_batch(lambda texts: pa.array([packed(t) for t in texts], pa.binary()), "binary")
-    junk = per_batch(lambda texts: pa.array([packed(scrambled(t)) for t in texts], pa.binary()), "binary")
     rows = (
-        usable.where(chance < F.try_element_at(drawn, F.col("lang")))
-        .select("doc_id", "lang", bits(F.col("text")).alias("bits"), junk(F.col("text")).alias("junk"))
+        described(usable.where(chance < F.try_element_at(drawn, F.col("lang"))))
         .limit(2 * sample_rows)
         .toPandas()
         .dropna(subset=["bits"])

@@ -223,10 +223,10 @@ def pack(
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = durable(counts.select("length", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip")))
     totals = dict(offsets.groupBy("length").agg(F.sum("n")).collect())  # a row a length
-    rules = spark.createDataFrame(
-        best_fit(totals, capacity),
-        "length bigint, first bigint, last bigint, sequence bigint, copies bigint, at bigint",
-    )
+    # As an Arrow table: a list of rows would go through Python workers of its own on the executors.
+    names = ["length", "first", "last", "sequence", "copies", "at"]
+    columns = list(zip(*best_fit(totals, capacity))) or [[] for _ in names]
+    rules = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names))
     placed = stored.join(offsets, ["length", "part"]).withColumn("rank", F.col("skip") + F.col("nth"))
     inside = (F.col("first") <= F.col("rank")) & (F.col("rank") < F.col("last"))
     rule = F.broadcast(rules.withColumnRenamed("length", "of"))

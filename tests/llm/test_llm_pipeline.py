@@ -12,7 +12,7 @@ import pytest  # noqa: E402
 from oracle import connect, difference  # noqa: E402
 
 import __spark_entry__  # noqa: E402
-from broadsheet.llm import queries, simhash, sql  # noqa: E402
+from broadsheet.llm import language, queries, simhash, sql  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -112,3 +112,17 @@ def test_texts_of_no_learned_language_go(spark, n_languages):
     docs = spark.createDataFrame(full, "doc_id bigint, text string, lang string")
     kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, SF).collect()}
     assert kept == set(range(80 * n_languages))
+
+
+def test_stages_start_no_more_python_workers_than_tasks(spark, plan_of, monkeypatch):
+    docs = spark.createDataFrame(
+        [(i, f"some words of text {i}", "en" if i % 2 else "nl", "web") for i in range(20)],
+        "doc_id bigint, text string, lang string, source string",
+    )
+    plans, collect = [], type(docs).toPandas
+    monkeypatch.setattr(type(docs), "toPandas", lambda df: plans.append(plan_of(df)) or collect(df))
+    model = language.fit(docs)
+    assert model.languages == ["en", "nl"]
+    assert [p.count("ArrowEvalPython") for p in plans] == [1]
+    # rules given as a list of rows would be read by workers of another kind
+    assert "ExistingRDD" not in plan_of(corpus_pipeline.pack(spark, docs, SF))
